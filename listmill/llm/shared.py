@@ -41,8 +41,12 @@ def components(edges: DataFrame) -> DataFrame:
     the smaller end's hash join, and each round is written to the shared folder.
     """
     flat = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    current = written(flat.where("a <> b").distinct())
-    nodes = written(flat.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    start = current = written(flat.where("a <> b").distinct())
+    nodes = start.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    digest = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    before = digest(current)
+    if not before[0]:
+        return nodes.select("node", F.col("node").alias("root"))
     for _ in range(MAX_ROUNDS):
         # large star: every neighbour above a node is linked to the least node around it
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -54,10 +58,9 @@ def components(edges: DataFrame) -> DataFrame:
             F.explode(F.array(F.struct("m", F.col("b").alias("x")), F.struct("m", F.col("a").alias("x")))).alias("e")
         )
         after = written(small.select(F.col("e.m").alias("a"), F.col("e.x").alias("b")).where("a <> b").distinct())
-        same = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if same == current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first():
+        current, last, before = after, before, digest(after)
+        if before == last:
             break
-        current = after
     else:
         raise RuntimeError("component labelling did not settle")
     root = current.groupBy("b").agg(F.min("a").alias("root"))
