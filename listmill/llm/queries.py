@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, near, packing, search, sharding
+from . import bpe, chat, lines, near, packing, search, sharding
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: A conversation whose texts hold the template's own control strings.
@@ -33,6 +33,11 @@ def op4_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_products(data.where("vec_id % 50 = 0"), data, k=5)
 
 
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.deduplicate_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hostile = spark.range(2).select(
@@ -54,7 +59,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_nearest, op3_near, op4_top_products, op6_chat, op7_bpe, op8_shards, op10_packing)}
+    return {f.__name__: f for f in (op1_nearest, op3_near, op4_top_products, op5_lines, op6_chat, op7_bpe, op8_shards, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
