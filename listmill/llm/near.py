@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .bpe import _Cache
 from .groups import Forest, link_batch, runs
-from .shared import components, text_or_empty, written
+from .shared import broadcast_if_few, components, text_or_empty, written
 
 #: Minwise tokens of a set, trees, sets of a small node, and levels of branching.
 SIGNATURE, TREES, NODE, LEVELS = 64, 8, 1024, 24
@@ -159,7 +159,7 @@ def _exact_links(docs: DataFrame, members: DataFrame, words: int, percent: int)
     """members(doc_id, set, root, n_shingles): links (a, b) connecting all sets of a coarse class whose similarity is at least percent / 100."""
     sizes = members.groupBy("root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
     sizes = sizes.select("root", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).alias("parts"))
-    wanted = members.join(sizes, "root")
+    wanted = written(members.join(sizes, "root"))
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,7 +175,7 @@ def _exact_links(docs: DataFrame, members: DataFrame, words: int, percent: int)
                 yield pa.RecordBatch.from_arrays([part["root"], part["set"], part["parts"], pa.array(sets, pa.binary())], ["root", "set", "parts", "shingles"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    rows = texts.join(wanted, "doc_id").select("text", "set", "root", "parts").mapInArrow(full, "root binary, set binary, parts long, shingles binary")
+    rows = texts.join(broadcast_if_few(wanted), "doc_id").select("text", "set", "root", "parts").mapInArrow(full, "root binary, set binary, parts long, shingles binary")
     rows = _block_pairs(rows, F.xxhash64("set"), "root").select("node", "set", "shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

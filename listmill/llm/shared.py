@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rounds after which component labelling gives up; each round at least halves the longest chain.
 MAX_ROUNDS = 60
+#: Rows up to which a table of short rows is broadcast.
+FEW = 200_000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -32,6 +34,11 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_few(df: DataFrame) -> DataFrame:
+    """`df`, a table written before, marked for broadcast if it has at most FEW rows; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of an undirected graph.
 
