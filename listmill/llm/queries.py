@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, lines, near, packing, pii, search, sharding
+from . import bpe, chat, lines, near, packing, pii, quality, search, sharding
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: A conversation whose texts hold the template's own control strings.
@@ -58,12 +58,17 @@ def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(read(spark, sf_dir, "documents"), shards=16)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return out.select("doc_id", "lang", "n_chars", F.round("perplexity", 6).alias("perplexity"), F.round("limit", 6).alias("limit"), "kept")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_digests(read(spark, sf_dir, "documents"), VOCABULARY, window=1024)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_nearest, op2_pii, op3_near, op4_top_products, op5_lines, op6_chat, op7_bpe, op8_shards, op10_packing)}
+    return {f.__name__: f for f in (op1_nearest, op2_pii, op3_near, op4_top_products, op5_lines, op6_chat, op7_bpe, op8_shards, op9_quality, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
