@@ -10,11 +10,11 @@ text become their own id, as the file's own library does by default. Repeated ro
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
 import re
 from array import array
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 import regex
@@ -30,8 +30,8 @@ WHITE = r"\t-\r \x85\xa0  -     　"
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 #: Beyond single spaces and single line ends, cutting at every space would differ from the pattern.
 ODD_SPACE = re.compile(rf"[{WHITE.replace(' ', '')}](?<!\n)|[ \n][ \n]|\A[ \n]|[ \n]\Z")
-#: Entries that a word cache may hold before it is emptied.
-CACHE_ENTRIES = 2_000_000
+#: Entries that a cache of words, or of pieces between spaces, may hold before it is emptied.
+WORD_ENTRIES, PIECE_ENTRIES = 1_000_000, 400_000
 
 
 def byte_letters() -> list[str]:
@@ -51,59 +51,62 @@ class Vocabulary:
         back = {c: b for b, c in enumerate(letters)}
         self.byte_ids = [ids[c] for c in letters]
         self.strings: dict[int, bytes] = {i: bytes(back[c] for c in s) for s, i in ids.items()}
-        self.ranks: dict[int, int] = {}
-        self.pairs: list[int] = []
+        self.after: dict[int, dict[int, int]] = {i: {} for i in ids.values()}
+        self.left: list[int] = []
+        self.right: list[int] = []
         self.merged: list[int] = []
         for rank, pair in enumerate(j["model"]["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
-            key = ids[left] << 32 | ids[right]
-            self.ranks[key] = rank
-            self.pairs.append(key)
+            self.after[ids[left]][ids[right]] = rank
+            self.left.append(ids[left])
+            self.right.append(ids[right])
             self.merged.append(ids[left + right])
         self.special: dict[str, int] = {t["content"]: t["id"] for t in j.get("added_tokens", [])}
         self.strings |= {i: s.encode() for s, i in self.special.items()}
 
     def merge(self, word: bytes) -> array:
-        """Ids of one word. A queue entry is rank << 32 | position; the rank names the pair it was made for."""
+        """Ids of one word. A queue entry holds (rank, position) in one number; the rank names the pair it was made for."""
         byte_ids = self.byte_ids
         symbols = [byte_ids[b] for b in word]
         end = len(symbols)
         if end == 1:
             return array("I", symbols)
-        rank_of, pairs, merged, push, pop = self.ranks.get, self.pairs, self.merged, heapq.heappush, heapq.heappop
+        rank_after, shift = self.after, end.bit_length()
+        queue = [r << shift | i for i in range(end - 1) if (r := rank_after[symbols[i]].get(symbols[i + 1])) is not None]
+        if not queue:
+            return array("I", symbols)
+        heapify(queue)
+        lefts, rights, merged, mask = self.left, self.right, self.merged, (1 << shift) - 1
         after, before = list(range(1, end + 1)), list(range(-1, end - 1))
-        queue = []
-        for i in range(end - 1):
-            if (rank := rank_of(symbols[i] << 32 | symbols[i + 1])) is not None:
-                queue.append(rank << 32 | i)
-        heapq.heapify(queue)
         while queue:
-            entry = pop(queue)
-            rank, i = entry >> 32, entry & 0xFFFFFFFF
+            entry = heappop(queue)
+            i = entry & mask
             j = after[i]
-            if symbols[i] < 0 or j >= end or symbols[i] << 32 | symbols[j] != pairs[rank]:
+            rank = entry >> shift
+            if j == end or symbols[i] != lefts[rank] or symbols[j] != rights[rank]:
                 continue  # stale: one of the two has been merged meanwhile
             new = symbols[i] = merged[rank]
             symbols[j] = -1
             k = after[i] = after[j]
-            if k < end:
+            if k != end:
                 before[k] = i
-                if (rank := rank_of(new << 32 | symbols[k])) is not None:
-                    push(queue, rank << 32 | i)
-            if (h := before[i]) >= 0 and (rank := rank_of(symbols[h] << 32 | new)) is not None:
-                push(queue, rank << 32 | h)
+                if (r := rank_after[new].get(symbols[k])) is not None:
+                    heappush(queue, r << shift | i)
+            h = before[i]
+            if h >= 0 and (r := rank_after[symbols[h]].get(new)) is not None:
+                heappush(queue, r << shift | h)
         return array("I", [s for s in symbols if s >= 0])
 
 
 class _Cache(dict):
     """Piece of text -> its ids as little-endian bytes; emptied when full."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int = WORD_ENTRIES):
         super().__init__()
-        self.make = make
+        self.make, self.most = make, most
 
     def __missing__(self, key):
-        if len(self) >= CACHE_ENTRIES:
+        if len(self) >= self.most:
             self.clear()
         self[key] = value = self.make(key)
         return value
@@ -116,8 +119,8 @@ class Encoder:
         self.vocabulary = vocabulary
         self.pattern = regex.compile(WORDS)
         self.words = _Cache(lambda w: vocabulary.merge(w.encode()).tobytes())
-        self.first = _Cache(self.by_pattern)
-        self.inner = _Cache(lambda s: self.by_pattern(" " + s))
+        self.first = _Cache(self.by_pattern, PIECE_ENTRIES)
+        self.inner = _Cache(lambda s: self.by_pattern(" " + s), PIECE_ENTRIES)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, vocabulary.special)) + ")") if vocabulary.special else None
         self.newline = self.by_pattern("\n")
 
