@@ -99,7 +99,7 @@ def address_or_null(c: Column) -> Column:
 
 
 def address_parts(c: Column, sep: str) -> Column:
-    return F.filter(F.transform(F.split(c, sep), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, sep), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def addr_comma(c: Column) -> Column:

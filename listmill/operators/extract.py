@@ -76,6 +76,9 @@ def dom_nodes(pages: DataFrame) -> DataFrame:
 _PART = re.compile(r"""(?P<tag>^[a-zA-Z][\w-]*|^\*)|\#(?P<id>[\w-]+)|\.(?P<cls>[\w-]+)|\[(?P<attr>[\w-]+)(?:(?P<op>[*^$]?=)["']?(?P<val>[^"'\]]*)["']?)?\]|:nth-of-type\((?P<nth>\d+)\)|:-soup-contains\("(?P<text>[^"]*)"\)""")
 
 
+_STEP = r"(>?)\s*((?:[^\s>\[\]\"(]|\[[^\[\]]*\]|\([^)]*\))+)"
+
+
 def _simple(selector: str) -> Column:
     """Predicate of one compound selector; an unsupported part is an error."""
     out, at = F.lit(True), 0
@@ -106,7 +109,9 @@ def select_nodes(nodes: DataFrame, selectors: str) -> DataFrame:
     """Nodes that match a comma list of selectors: compound parts, descendant and child combinators."""
     found = None
     for selector in selectors.split(","):
-        steps = re.findall(r"(>?)\s*((?:[^\s>\[\"(]|\[[^\]]*\]|\([^)]*\))+)", selector.strip())
+        if not re.fullmatch(rf"(?:{_STEP}\s*)+", selector.strip()):
+            raise ValueError(f"unsupported selector: {selector}")
+        steps = re.findall(_STEP, selector.strip())
         last = nodes.where(_simple(steps[-1][1]))
         links = [s[0] for s in steps]
         for k in range(len(steps) - 2, -1, -1):

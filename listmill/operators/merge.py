@@ -93,3 +93,59 @@ def plan_locales(listings: DataFrame, locales: list[str], stored: str, force: bo
     rows = listings.withColumn("locale", F.explode(F.array(*map(F.lit, locales))))
     have = F.coalesce(F.element_at(F.col(stored), F.col("locale")) != "", F.lit(False))
     return rows.select("id", "locale", F.when(F.lit(force) | ~have, "generate").otherwise("cached").alias("action"))
+
+
+def patch(current: DataFrame, patches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, price history): patches(id, given, price_amount, area_useful_m2) set the columns named in the array `given`.
+
+    Price per m2 is reckoned anew where one of its inputs is given; the old price is recorded where a given one differs.
+    """
+    fields = ["price_amount", "area_useful_m2"]
+    both = current.join(patches.select("id", "given", *[F.col(f).alias(f"_{f}") for f in fields]), "id", "left")
+    asked = lambda f: F.coalesce(F.array_contains("given", f), F.lit(False))
+    new = {f: F.when(asked(f), F.col(f"_{f}")).otherwise(F.col(f)) for f in fields}
+    history = both.where(asked("price_amount") & (F.col("price_amount") != F.col("_price_amount"))).select("id", F.col("price_amount").alias("old_price"))
+    touched = asked("price_amount") | asked("area_useful_m2")
+    rows = both.select(*[c for c in current.columns if c not in (*fields, "price_per_m2")], "price_per_m2", *[new[f].alias(f) for f in fields], touched.alias("_t"))
+    ratio = F.bround(F.col("price_amount").cast("decimal(14,2)") / F.when(F.col("area_useful_m2") != 0, F.col("area_useful_m2")).cast("decimal(14,4)"), 2).cast("double")
+    return rows.withColumn("price_per_m2", F.when(F.col("_t"), ratio).otherwise(F.col("price_per_m2"))).drop("_t"), history
+
+
+def drop_sold(current: DataFrame, raw: DataFrame, sold) -> tuple[DataFrame, DataFrame]:
+    """(current without sold urls, raw rows to ingest)."""
+    marked = raw.withColumn("_sold", sold)
+    urls = marked.where("_sold").select("source_url").distinct()
+    return current.join(urls, "source_url", "left_anti"), marked.where("NOT _sold").drop("_sold")
+
+
+def reset_ledger(ledger: DataFrame, ids: DataFrame | None) -> DataFrame:
+    """The ledger without the given ids(id); None empties it."""
+    return ledger.limit(0) if ids is None else delete(ledger, ids, "listing_id")
+
+
+def apply_site_changes(sites: DataFrame, changes: DataFrame) -> DataFrame:
+    """sites(key, name, is_active) after changes(key, action, new_name), one a key; `result` tells what happened.
+
+    create: new, or reactivated if inactive, else a duplicate; delete: deactivated, an error if inactive; purge: row removed.
+    """
+    both = sites.withColumn("_has", F.lit(True)).join(changes, "key", "full")
+    has, active, action = F.col("_has").isNotNull(), F.coalesce("is_active", F.lit(False)), F.col("action")
+    result = (
+        F.when(action.isNull(), "kept").when((action == "create") & ~has, "created").when((action == "create") & ~active, "reactivated").when(action == "create", "duplicate")
+        .when(~has, "not_found").when(action == "purge", "purged").when(active, "deactivated").otherwise("already_inactive")
+    )
+    out = both.withColumn("result", result)
+    made = F.col("result").isin("created", "reactivated")
+    out = out.withColumn("name", F.when(made, F.col("new_name")).otherwise(F.col("name")))
+    return out.select("key", "name", F.when(made, True).when(F.col("result") == "deactivated", False).otherwise(F.col("is_active")).alias("is_active"), "result")
+
+
+def classify(found: DataFrame, current: DataFrame, raw: DataFrame) -> DataFrame:
+    """found(source_url) with `outcome`: errored (no raw row), sold, warned (no price), scraped_updated or scraped_new.
+
+    raw(source_url, sold, price_amount) has one row for each url that could be read.
+    """
+    own = current.select("source_url", F.lit(True).alias("_known")).distinct()
+    rows = found.join(raw.withColumn("_read", F.lit(True)), "source_url", "left").join(own, "source_url", "left")
+    outcome = F.when(F.col("_read").isNull(), "errored").when(F.col("sold"), "sold").when(F.col("price_amount").isNull(), "warned").when(F.col("_known"), "scraped_updated").otherwise("scraped_new")
+    return rows.select("source_url", outcome.alias("outcome"))

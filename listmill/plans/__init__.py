@@ -1 +1,3 @@
+"""Registered queries; importing the package registers them all."""
 
+from listmill.plans import pages, records, registry  # noqa: F401
