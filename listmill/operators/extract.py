@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Elements without content, and elements that a new one of the listed kinds closes (fixed values of HTML).
@@ -51,6 +51,30 @@ class _Tree(HTMLParser):
                 self.nodes[n]["text"].append(data)
 
 
+def _parsed(html: str) -> list[dict]:
+    tree = _Tree()
+    tree.feed(html)
+    tree.close()
+    return [
+        {"node_id": i, "parent_id": n["parent"], "depth": len(n["up"]), "tag": n["tag"], "id": n["attrs"].get("id"), "classes": n["attrs"].get("class", "").split(), "attrs": list(n["attrs"].items()), "text": " ".join("".join(n["text"]).split()), "nth_of_type": n["nth"], "ancestors": n["up"]}
+        for i, n in enumerate(tree.nodes)
+    ]
+
+
+@F.udtf(returnType="node_id int, parent_id int, tag string, id string, text string")
+class DomNodes:
+    """The nodes of one page as a table function."""
+
+    def eval(self, html: str) -> Iterator[tuple]:
+        for n in _parsed(html or ""):
+            yield tuple(n[k] for k in ("node_id", "parent_id", "tag", "id", "text"))
+
+
+def register(spark: SparkSession) -> None:
+    """Makes `LATERAL dom_nodes(html)` known to SQL."""
+    spark.udtf.register("dom_nodes", DomNodes)
+
+
 def dom_nodes(pages: DataFrame) -> DataFrame:
     """One row for each element, in document order; text is that of the element and all below, white space collapsed."""
 
@@ -60,13 +84,7 @@ def dom_nodes(pages: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 100):
                 rows = []
                 for page, html in zip(*(c.to_pylist() for c in batch.slice(at, 100).columns), strict=True):
-                    tree = _Tree()
-                    tree.feed(html)
-                    tree.close()
-                    rows += [
-                        {"page_id": page, "node_id": i, "parent_id": n["parent"], "depth": len(n["up"]), "tag": n["tag"], "id": n["attrs"].get("id"), "classes": n["attrs"].get("class", "").split(), "attrs": list(n["attrs"].items()), "text": " ".join("".join(n["text"]).split()), "nth_of_type": n["nth"], "ancestors": n["up"]}
-                        for i, n in enumerate(tree.nodes)
-                    ]
+                    rows += [{"page_id": page} | node for node in _parsed(html)]
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
@@ -79,7 +97,7 @@ _PART = re.compile(r"""(?P<tag>^[a-zA-Z][\w-]*|^\*)|\#(?P<id>[\w-]+)|\.(?P<cls>[
 _STEP = r"(>?)\s*((?:[^\s>\[\]\"(]|\[[^\[\]]*\]|\([^)]*\))+)"
 
 
-def _simple(selector: str) -> Column:
+def compound(selector: str) -> Column:
     """Predicate of one compound selector; an unsupported part is an error."""
     out, at = F.lit(True), 0
     for m in _PART.finditer(selector):
@@ -112,10 +130,10 @@ def select_nodes(nodes: DataFrame, selectors: str) -> DataFrame:
         if not re.fullmatch(rf"(?:{_STEP}\s*)+", selector.strip()):
             raise ValueError(f"unsupported selector: {selector}")
         steps = re.findall(_STEP, selector.strip())
-        last = nodes.where(_simple(steps[-1][1]))
+        last = nodes.where(compound(steps[-1][1]))
         links = [s[0] for s in steps]
         for k in range(len(steps) - 2, -1, -1):
-            above = nodes.where(_simple(steps[k][1])).select(F.col("page_id").alias("_p"), F.col("node_id").alias("_n"), F.col("ancestors").alias("_up"))
+            above = nodes.where(compound(steps[k][1])).select(F.col("page_id").alias("_p"), F.col("node_id").alias("_n"), F.col("ancestors").alias("_up"))
             near = F.col("parent_id" if k == len(steps) - 2 else "_at_parent")
             up = F.col("ancestors" if k == len(steps) - 2 else "_at_up")
             on = (F.col("page_id") == F.col("_p")) & ((near == F.col("_n")) if links[k + 1] == ">" else F.array_contains(up, F.col("_n")))

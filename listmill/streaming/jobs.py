@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 DELAY = "10 minutes"
 EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -109,6 +110,54 @@ def lifecycle(events: DataFrame) -> DataFrame:
     return events.groupBy("job_id").agg(steps.alias("e")).select("job_id", F.aggregate("e", start, step)[s].alias("state"))
 
 
+def progress_feed(snapshots: DataFrame, terminal: tuple[str, ...] = ("completed", "failed", "cancelled"), every: int = 15, most: int = 3600) -> DataFrame:
+    """What followers of a job see: (job_id, t, event, event_id), t in seconds after the job's first snapshot.
+
+    snapshots(job_id, ts, event_id, status, progress). A new status or progress is an event; every `every` seconds before
+    the last snapshot there is a heartbeat; the feed is done at the first terminal status, or after `most` seconds.
+    Streams give the same rows if a job's snapshots arrive in order.
+    """
+    if snapshots.isStreaming:
+        return _stream_feed(snapshots, terminal, every, most)
+    w = Window.partitionBy("job_id").orderBy("ts", "event_id")
+    t = F.unix_timestamp("ts") - F.unix_timestamp(F.min("ts").over(Window.partitionBy("job_id")))
+    rows = snapshots.withColumn("t", t).withColumn("closing", F.col("status").isin(*terminal) | (F.col("t") > most))
+    new_status, new_progress = (~F.col(c).eqNullSafe(F.lag(c).over(w)) | (F.row_number().over(w) == 1) for c in ("status", "progress"))
+    rows = rows.withColumns({"kind": F.when(new_status, "status").when(new_progress, "progress"), "closed": F.sum(F.col("closing").cast("int")).over(w) - F.col("closing").cast("int")}).where("closed = 0")
+    last = F.least("t", F.lit(most))
+    seen = F.array_compact(F.array(F.when(F.col("t") <= most, F.col("kind")), F.when(F.col("closing"), "done")))
+    events = rows.select("job_id", last.alias("t"), F.explode(seen).alias("event"), "event_id")
+    ends = rows.groupBy("job_id").agg(F.max(last).alias("m")).where(F.col("m") > every)
+    beats = ends.select("job_id", F.explode(F.sequence(F.lit(every).cast("long"), F.col("m") - 1, F.lit(every).cast("long"))).alias("t"), F.lit("heartbeat").alias("event"), F.lit(None).cast("long").alias("event_id"))
+    return events.unionByName(beats)
+
+
+def _stream_feed(snapshots: DataFrame, terminal: tuple[str, ...], every: int, most: int) -> DataFrame:
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        since, at, status, progress, done = state.get if state.exists else (None, 0, None, None, False)
+        out = []
+        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        for ts, event_id, s, p in rows[["ts", "event_id", "status", "progress"]].itertuples(index=False):
+            if done:
+                break
+            second = int(ts.timestamp() // 1)
+            first = since is None
+            since = second if first else since
+            t = min(second - since, most)
+            out += [(key[0], b, "heartbeat", None) for b in range((max(at - 1, 0) // every + 1) * every, t, every)]
+            if second - since <= most and (first or s != status or p != progress):
+                out.append((key[0], t, "status" if first or s != status else "progress", event_id))
+            at, status, progress, done = t, s, p, s in terminal or second - since > most
+            if done:
+                out.append((key[0], t, "done", event_id))
+        state.update((since, at, status, progress, done))
+        yield pd.DataFrame({"job_id": [o[0] for o in out], "t": [o[1] for o in out], "event": [o[2] for o in out], "event_id": pd.array([o[3] for o in out], "Int64")})
+
+    rows = snapshots.select("job_id", "ts", "event_id", "status", "progress").groupBy("job_id")
+    kept = "since long, at long, status string, progress string, done boolean"
+    return rows.applyInPandasWithState(step, "job_id long, t long, event string, event_id long", kept, "append", GroupStateTimeout.NoTimeout)
+
+
 def ingest(pages: DataFrame, handle, checkpoint: str):
     """Micro-batches of pages through `handle(batch, id)`; takes what is there and stops."""
     return pages.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
