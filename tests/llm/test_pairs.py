@@ -133,6 +133,38 @@ def test_lines_equal_brute_force(spark):
         assert r["text"] == "\n".join(x for k, x in enumerate(texts[r["doc_id"]].split("\n")) if (r["doc_id"], k) not in gone)
 
 
+def edited(rng, line, edits):
+    """`line` with so many random edits: letters replaced, left out or added."""
+    out = list(line)
+    for _ in range(edits):
+        i, letter = int(rng.integers(len(out))), "abcdefghijklmnopqrstuvwxyz"[rng.integers(26)]
+        out[i : i + 1] = [[letter], [], [out[i], letter]][rng.integers(3)]
+    return " ".join("".join(out).split())
+
+
+@pytest.mark.parametrize("share", [0.0, 0.1])
+def test_lines_of_one_edit_or_at_the_threshold_are_found(spark, share):
+    """Against brute force on the edit similarity alone, with no SimHash; lines of 10 to 600 characters."""
+    rng, rows = np.random.default_rng(8), []
+    for i in range(300):
+        line = " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 9))) for _ in range(3 + i % 100))[: 10 + 2 * i].strip()
+        rows += [(2 * i, line), (2 * i + 1, edited(rng, line, max(1, int(share * len(line)))))]
+    want = [i for (i, a), (_, b) in zip(rows[::2], rows[1::2], strict=True) if lines.alike(a, b)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, "x", "y") for i, t in rows], DOCS)
+    gone = {r["doc_id"] - 1 for r in lines.deduplicate_lines(docs).collect() if r["n_dropped"]}
+    assert len(want) > 200 and gone <= set(want) and len(gone) >= (0.99 if share == 0 else 0.95) * len(want)
+
+
+def test_crowded_keys_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(lines, "SMALL_BUCKET", 4)
+    monkeypatch.setattr(lines, "DENSE", 2)
+    monkeypatch.setattr(lines, "BLOCK", 8)
+    rng = np.random.default_rng(9)
+    line = "a quiet house of three rooms near the old river for rent from the first of may"
+    docs = spark.createDataFrame([(i, edited(rng, line, 2), "en", "s", 0, "x", "y") for i in range(60)], DOCS)
+    assert sum(r["n_dropped"] for r in lines.deduplicate_lines(docs).collect()) == 59
+
+
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"
 }
