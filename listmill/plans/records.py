@@ -136,8 +136,7 @@ def c37_output_faults(spark, d):
 @q("SELECT job_id, CASE kind WHEN 'error' THEN 'error' WHEN 'scraped' THEN 'warning' ELSE 'info' END AS level, event_id AS entry FROM events_v WHERE kind <> 'new'")
 def c38_flatten_logs(spark, d):
     key = F.expr("CASE kind WHEN 'error' THEN 'errors' WHEN 'scraped' THEN 'warnings' WHEN 'page' THEN 'info' WHEN 'found' THEN 'infos' ELSE 'junk' END")
-    lists = view(spark, d, "events_v").groupBy("job_id", key.alias("key")).agg(F.collect_list("event_id").alias("e"))
-    return records.flatten_logs(lists.groupBy("job_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "e"))).alias("logs")))
+    return records.flatten_logs(view(spark, d, "events_v").select("job_id", F.create_map(key, F.array("event_id")).alias("logs")))
 
 
 @q("SELECT job_id, CAST(1 AS INTEGER) AS n, listings_found AS found, CASE WHEN job_id % 20 = 1 THEN listings_scraped END AS meta FROM jobs_v")

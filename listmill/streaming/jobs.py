@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -90,24 +91,32 @@ def heartbeats(events: DataFrame, seconds: float) -> DataFrame:
 
 
 def lifecycle(events: DataFrame) -> DataFrame:
-    """Final state of each job after folding its events (start, complete, fail, cancel) in order; illegal moves are ignored."""
-    steps = F.array_sort(F.collect_list(F.struct("ts", "event_id", "action")))
-    s, flag = "state", "asked"
-
-    def step(a, e):
-        act, st, ask = e["action"], a[s], a[flag]
-        new = (
-            F.when((st == "pending") & (act == "start"), "running")
-            .when((st == "pending") & (act == "cancel"), "cancelled")
-            .when((st == "running") & (act == "fail"), "failed")
-            .when((st == "running") & (act == "complete") & ask, "cancelled")
-            .when((st == "running") & (act == "complete"), "completed")
-            .otherwise(st)
-        )
-        return F.struct(new.alias(s), (ask | ((st == "running") & (act == "cancel"))).alias(flag))
-
-    start = F.struct(F.lit("pending").alias(s), F.lit(False).alias(flag))
-    return events.groupBy("job_id").agg(steps.alias("e")).select("job_id", F.aggregate("e", start, step)[s].alias("state"))
+    """Final state of each job after folding its events (start, complete, fail, cancel) in order; illegal moves are ignored.
+
+    The sorted events are streamed, and only the state is kept, whatever the number of a job's events.
+    """
+    moves = {("pending", "start"): "running", ("pending", "cancel"): "cancelled", ("running", "fail"): "failed", ("running", "complete"): "completed"}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        jobs, states = [], []
+        key, state, asked, begun = None, "pending", False, False
+        for batch in batches:
+            for k, action in zip(batch["job_id"].to_pylist(), batch["action"].to_pylist(), strict=True):
+                if not begun or k != key:
+                    if begun:
+                        jobs.append(key)
+                        states.append(state)
+                    key, state, asked, begun = k, "pending", False, True
+                was = state
+                state = "cancelled" if asked and (was, action) == ("running", "complete") else moves.get((was, action), was)
+                asked = asked or (was, action) == ("running", "cancel")
+            yield pa.RecordBatch.from_arrays([pa.array(jobs, batch["job_id"].type), pa.array(states, pa.string())], ["job_id", "state"])
+            jobs, states, kind = [], [], batch["job_id"].type
+        if begun:
+            yield pa.RecordBatch.from_arrays([pa.array([key], kind), pa.array([state], pa.string())], ["job_id", "state"])
+
+    rows = events.select("job_id", "ts", "event_id", "action").repartition("job_id").sortWithinPartitions("job_id", "ts", "event_id", "action")
+    return rows.mapInArrow(run, f"job_id {events.schema['job_id'].dataType.simpleString()}, state string")
 
 
 def progress_feed(snapshots: DataFrame, terminal: tuple[str, ...] = ("completed", "failed", "cancelled"), every: int = 15, most: int = 3600) -> DataFrame:

@@ -114,6 +114,16 @@ def test_lifecycle(spark):
     assert out == {1: "completed", 2: "cancelled", 3: "cancelled", 4: "pending", 5: "failed"}
 
 
+def test_lifecycle_and_logs_hold_no_job_as_a_whole(spark):
+    """One job of most events: no array of them, neither in the life cycle nor in the flattened logs."""
+    action = F.expr("CASE WHEN id = 70000 THEN 'start' WHEN id = 80000 THEN 'cancel' WHEN id = 90000 THEN 'complete' ELSE 'tick' END")
+    events = spark.range(100_000).select(F.when(F.col("id") % 1000 > 0, 1).when(F.col("id") < 95_000, 1).otherwise(F.col("id")).cast("long").alias("job_id"), F.col("id").alias("ts"), F.col("id").alias("event_id"), action.alias("action"))
+    out = jobs.lifecycle(events.orderBy(F.desc("ts")))
+    assert {r["job_id"]: r["state"] for r in out.collect()} == {1: "cancelled"} | {i: "pending" for i in range(95_000, 100_000, 1000)}
+    for df in (out, registry.QUERIES["c38_flatten_logs"](spark, DATA)):
+        assert "collect_list" not in df._jdf.queryExecution().toString()
+
+
 def test_stream_equals_batch(spark, tmp_path):
     kinds = ["view", "click"]
     os.makedirs(tmp_path / "in")
