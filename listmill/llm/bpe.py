@@ -30,8 +30,8 @@ WHITE = r"\t-\r \x85\xa0  -     　"
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 #: Beyond single spaces and single line ends, cutting at every space would differ from the pattern.
 ODD_SPACE = re.compile(rf"[{WHITE.replace(' ', '')}](?<!\n)|[ \n][ \n]|\A[ \n]|[ \n]\Z")
-#: Entries that a cache of words, or of pieces between spaces, may hold before it is emptied.
-WORD_ENTRIES, PIECE_ENTRIES = 1_000_000, 400_000
+#: Bytes that a cache of words, or of pieces between spaces, may take before it is emptied.
+CACHE_BYTES = 32 << 20
 
 
 def byte_letters() -> list[str]:
@@ -99,16 +99,21 @@ class Vocabulary:
 
 
 class _Cache(dict):
-    """Piece of text -> its ids as little-endian bytes; emptied when full."""
+    """Piece of text -> what `make` gives for it; emptied when keys and values take CACHE_BYTES, about."""
 
-    def __init__(self, make, most: int = WORD_ENTRIES):
+    def __init__(self, make):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.held = make, 0
 
     def __missing__(self, key):
-        if len(self) >= self.most:
+        value = self.make(key)
+        size = len(key) + (len(value) if isinstance(value, bytes) else 32) + 200
+        if self.held + size > CACHE_BYTES:
             self.clear()
-        self[key] = value = self.make(key)
+            self.held = 0
+        if size < CACHE_BYTES:
+            self[key] = value
+            self.held += size
         return value
 
 
@@ -119,8 +124,8 @@ class Encoder:
         self.vocabulary = vocabulary
         self.pattern = regex.compile(WORDS)
         self.words = _Cache(lambda w: vocabulary.merge(w.encode()).tobytes())
-        self.first = _Cache(self.by_pattern, PIECE_ENTRIES)
-        self.inner = _Cache(lambda s: self.by_pattern(" " + s), PIECE_ENTRIES)
+        self.first = _Cache(self.by_pattern)
+        self.inner = _Cache(lambda s: self.by_pattern(" " + s))
         self.specials = regex.compile("(" + "|".join(map(regex.escape, vocabulary.special)) + ")") if vocabulary.special else None
         self.newline = self.by_pattern("\n")
 

@@ -38,17 +38,20 @@ BLOCK, BLOCK_SHINGLES = 128, 1 << 18
 #: Share of nodes that branch twice, in thousandths (1 / 0.85 - 1).
 TWICE = 176
 
-_word = _Cache(xxhash.xxh3_64_intdigest)
 _ODD = np.random.default_rng(11).integers(0, 1 << 63, SIGNATURE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
-def shingle_set(text: str, words: int) -> np.ndarray:
+def word_hashes() -> _Cache:
+    return _Cache(xxhash.xxh3_64_intdigest)
+
+
+def shingle_set(text: str, words: int, hashed: _Cache) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles: A-Z lower-cased, words cut at ASCII white space."""
     parts = text.encode().lower().split()
     if not parts:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_word.__getitem__, parts), np.uint64, len(parts))
+    h = np.fromiter(map(hashed.__getitem__, parts), np.uint64, len(parts))
     k = min(words, len(h))
     out = np.full(len(h) - k + 1, k, np.uint64)
     for i in range(k):
@@ -76,10 +79,11 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, n_shingles, set (16-byte fingerprint of the whole set), tokens array<int>, sketch (low bytes of the tokens)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed = word_hashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                sets = [shingle_set(t, words) for t in part.column(1).to_pylist()]
+                sets = [shingle_set(t, words, hashed) for t in part.column(1).to_pylist()]
                 tokens = np.stack([signature(s) for s in sets])
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -162,12 +166,13 @@ def _exact_links(docs: DataFrame, members: DataFrame, words: int, percent: int)
     wanted = written(members.join(sizes, "root"))
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed = word_hashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 keep, sets = [], []
                 for i, (text, name) in enumerate(zip(part["text"].to_pylist(), part["set"].to_pylist(), strict=True)):
-                    s = shingle_set(text, words)
+                    s = shingle_set(text, words, hashed)
                     if fingerprint(s) == name:  # else another row has the same doc_id
                         keep.append(i)
                         sets.append(s.tobytes())

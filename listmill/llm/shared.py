@@ -7,11 +7,12 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rounds after which component labelling gives up; each round at least halves the longest chain.
 MAX_ROUNDS = 60
-#: Rows up to which a table of short rows is broadcast.
-FEW = 200_000
+#: Rows, and bytes, up to which a table is broadcast.
+FEW, FEW_BYTES = 200_000, 16 << 20
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -34,9 +35,22 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _bytes(kind: T.DataType, x: Column) -> Column:
+    """About the bytes of a value in memory."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(x).cast("long"), F.lit(0)) + 8
+    if isinstance(kind, T.ArrayType):
+        return 16 + F.coalesce(F.aggregate(x, F.lit(0).cast("long"), lambda n, y: n + _bytes(kind.elementType, y)), F.lit(0))
+    if isinstance(kind, T.StructType):
+        return sum((_bytes(f.dataType, x[f.name]) for f in kind.fields), F.lit(16))
+    return F.lit(8).cast("long")
+
+
 def broadcast_if_few(df: DataFrame) -> DataFrame:
-    """`df`, a table written before, marked for broadcast if it has at most FEW rows; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+    """`df`, a table written before, marked for broadcast if it has at most FEW rows and FEW_BYTES bytes; else as it is, for a shuffled join."""
+    size = sum((_bytes(f.dataType, F.col(f"`{f.name}`")) for f in df.schema.fields), F.lit(16))
+    some = df.limit(FEW + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if some[0] <= FEW and some[1] <= FEW_BYTES else df
 
 
 def components(edges: DataFrame) -> DataFrame:
