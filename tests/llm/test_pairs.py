@@ -172,9 +172,12 @@ def test_distances_of_many_pairs_equal_those_of_one():
     rng = np.random.default_rng(0)
     a = ["".join("abcdefgh é"[c] for c in rng.integers(0, 10, rng.integers(0, 300))) for _ in range(200)] + ["", "x"]
     b = [edited(rng, x + "end", int(rng.integers(0, 30))) for x in a[:-2]] + ["", ""]
-    assert lines.distances(a, b).tolist() == [lines.edit_distance(x, y, 10**9) for x, y in zip(a, b, strict=True)]
+    far = np.full(len(a), 10**9)
+    want = [lines.edit_distance(x, y, 10**9) for x, y in zip(a, b, strict=True)]
+    assert lines.distances(a, b, far).tolist() == want
+    assert (lines.distances(a, b[1:] + b[:1], far // far * 20) <= 20).tolist() == [lines.edit_distance(x, y, 20) <= 20 for x, y in zip(a, b[1:] + b[:1], strict=True)]
     some = lines.letters([x.encode() for x in (*a, *b)]).view(np.uint8).astype(int).reshape(2, len(a), 32)
-    assert all(d <= 2 * e for d, e in zip(np.abs(some[0] - some[1]).sum(1).tolist(), lines.distances(a, b).tolist(), strict=True))
+    assert all(d <= 2 * e for d, e in zip(np.abs(some[0] - some[1]).sum(1).tolist(), want, strict=True))
     assert lines.alike_pairs(a, b).tolist() == [lines.alike(x, y) for x, y in zip(a, b, strict=True)]
 
 
