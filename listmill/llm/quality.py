@@ -4,13 +4,12 @@ The model reads a word as its characters between a start and an end mark and pre
 there is one model for each language. Counts, continuation counts, discounts and interpolated probabilities are built by
 grouped sums and joins on (language, n-gram), which Spark deals over shards. To score documents they are dealt into blocks;
 each block asks for its distinct n-grams, one join with the sharded model answers them, and the block's documents are
-scored with the answers. A document is rejected if its perplexity exceeds its language's limit: with quantiles of the
-log-perplexity of held-out trusted documents of that language, the median plus WIDTH times (HIGH quantile - median). Both
-are taken after PRIOR characters of median loss are added to a document, as the mean over a few characters says little.
+scored with the answers. A document is rejected if its perplexity exceeds its language's limit, the HIGH quantile of the
+held-out trusted documents of that language. Both are taken after PRIOR characters of the language's median loss are added
+to a document, as the mean over a few characters says little.
 
-Documents without words have perplexity null and are kept, as are those of a language without trusted text. Null text
-counts as empty, null language as a language of its own. Languages with fewer than ENOUGH held-out documents use limits
-over all languages. Rows that repeat a doc_id with the same text get the same result. Extra columns are ignored. Without
+Documents without words have perplexity null and are kept, as are those of a language without held-out trusted text. Null
+text counts as empty, null language as a language of its own. Rows that repeat a doc_id with the same text get the same result. Extra columns are ignored. Without
 any trusted document all are kept; an empty table gives an empty result.
 """
 
@@ -33,7 +32,7 @@ START, END = "\x02", "\x03"
 BLOCK_BYTES, BLOCKS = 32 << 20, 32
 #: One of so many trusted documents is held out for the limits.
 FOLDS = 5
-HIGH, WIDTH, ENOUGH = 0.98, 2.0, 30
+HIGH = 0.98
 #: Characters of median loss that are added to every document before it is held against a limit.
 PRIOR = 60
 #: Distinct words of a language counted before they are turned into n-grams.
@@ -227,26 +226,22 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     scored = written(score(own, train(trusted)))
     known = scored.join(broadcast_if_few(good.where(held)), "doc_id", "left_semi").where("loss IS NOT NULL")
     middle = lambda share: F.percentile_approx("loss", F.lit(share), 10_000)
-    by_lang = known.groupBy("lang").agg(middle(0.5).alias("m"), F.count("*").alias("k")).where(F.col("k") >= ENOUGH).select("lang", "m")
-    overall = known.agg(middle(0.5).alias("m_all"))
+    medians = broadcast_if_few(written(known.groupBy("lang").agg(middle(0.5).alias("m"))))
 
     def steadied(df: DataFrame) -> DataFrame:
         """The loss as if PRIOR more characters had the median loss: short documents need more to be far off."""
-        df = df.join(F.broadcast(by_lang), "lang", "left").join(F.broadcast(overall)).withColumn("m", F.coalesce("m", "m_all"))
-        return df.withColumn("loss", F.coalesce((F.col("loss") * F.col("n") + PRIOR * F.col("m")) / (F.col("n") + PRIOR), F.col("loss")))
+        steady = (F.col("loss") * F.col("n") + PRIOR * F.col("m")) / (F.col("n") + PRIOR)
+        return df.join(medians, "lang", "left").withColumn("loss", F.coalesce(steady, F.col("loss")))
 
-    # one row for each language, and one row
-    near_limit = steadied(known)
-    limit = (F.first("m") + WIDTH * (middle(HIGH) - F.first("m"))).alias("limit")
-    own_limit = near_limit.groupBy("lang").agg(limit, F.count("*").alias("k")).where(F.col("k") >= ENOUGH).select("lang", F.col("limit").alias("own"))
-    all_limit = near_limit.agg((F.first("m_all") + WIDTH * (middle(HIGH) - F.first("m_all"))).alias("all"))
-    out = steadied(scored).join(F.broadcast(own_limit), "lang", "left").join(F.broadcast(all_limit))
-    most = F.coalesce("own", "all")
-    return out.select("doc_id", "h", "lang", F.col("n").alias("n_chars"), F.exp("loss").alias("perplexity"), F.exp(most).alias("limit"), (~F.coalesce(F.col("loss") > most, F.lit(False))).alias("kept"))
+    limits = broadcast_if_few(written(steadied(known).groupBy("lang").agg(middle(HIGH).alias("most"))))
+    out = steadied(scored).join(limits, "lang", "left")
+    kept = ~F.coalesce(F.col("loss") > F.col("most"), F.lit(False))
+    return out.select("doc_id", "h", "lang", F.col("n").alias("n_chars"), F.exp("loss").alias("perplexity"), F.exp("most").alias("limit"), kept.alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of docs that classify() keeps, with their columns."""
-    bad = written(classify(docs, labels).where(~F.col("kept")).select(F.col("doc_id").alias("_doc"), F.col("h").alias("_h")).distinct())
-    same = (F.col("doc_id") == F.col("_doc")) & (F.xxhash64(text_or_empty()) == F.col("_h"))
-    return docs.join(broadcast_if_few(bad), same, "left_anti")
+    bad = written(classify(docs, labels).where(~F.col("kept")).select("doc_id", "h").distinct())
+    docs, bad = docs.alias("docs"), broadcast_if_few(bad).alias("bad")
+    same = (F.col("docs.doc_id") == F.col("bad.doc_id")) & (F.xxhash64(text_or_empty("docs.text")) == F.col("bad.h"))
+    return docs.join(bad, same, "left_anti")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -35,6 +36,12 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of tables that have been written meanwhile; Spark deletes them once nothing refers to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _bytes(kind: T.DataType, x: Column) -> Column:
     """About the bytes of a value in memory."""
     if isinstance(kind, (T.StringType, T.BinaryType)):
