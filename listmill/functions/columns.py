@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Phrases that stand for a price on request, currency signs by length, and yes/no words (fixed values).
-ON_REQUEST = ["sob consulta", "price on request", "on request", "preço sob consulta", "consultar"]
-CURRENCIES = [("EUR", "EUR"), ("USD", "USD"), ("GBP", "GBP"), ("BRL", "BRL"), ("CHF", "CHF"), ("R$", "BRL"), ("€", "EUR"), ("$", "USD"), ("£", "GBP")]
+# Phrases that stand for a price on request, currency signs from the longest on, yes/no words, date formats, words of
+# rentals and of new buildings, and marks of a sentence that is no address (fixed values).
+ON_REQUEST = ["sob consulta", "on request", "price on request", "a definir", "consultar", "sob pedido"]
+CURRENCIES = [
+    ("euros", "EUR"), ("euro", "EUR"), ("eur", "EUR"), ("usd", "USD"), ("gbp", "GBP"), ("brl", "BRL"), ("jpy", "JPY"), ("R$", "BRL"), ("€", "EUR"), ("$", "USD"), ("£", "GBP"), ("¥", "JPY"),
+]
 YES, NO = ["yes", "sim", "true", "1", "✓", "✔"], ["no", "não", "nao", "false", "0"]
-DATE_FORMATS = ["yyyy-MM-dd", "dd/MM/yyyy", "dd-MM-yyyy", "yyyy/MM/dd", "dd.MM.yyyy", "MM/dd/yyyy"]
+DATE_FORMATS = ["yyyy-M-d", "yyyy-M-d'T'H:m:s", "yyyy-M-d'T'H:m:s.SSSSSS", "d/M/yyyy", "d-M-yyyy", "yyyy/M/d"]
+RENT = ["arrend", "arrendar", "arrendamento", "rent", "rental", "aluguer"]
+NEW = ["novo", "new", "constru", "em planta"]
+SENTENCE = [". ", "!", "?", ":", " é ", " foi ", " com "]
 ACCENTS = "áàâãäéèêëíìîïóòôõöúùûüçñÁÀÂÃÄÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑ", "aaaaaeeeeiiiiooooouuuucnAAAAAEEEEIIIIOOOOOUUUUCN"
 MIN_PRICE = 1000
 
@@ -22,33 +31,29 @@ def plain_spaces(c: Column) -> Column:
     return F.regexp_replace(c, " ", " ")
 
 
+def contains_any(c: Column, words: list[str]) -> Column:
+    """Whether a text has one of the words; false for null."""
+    return F.coalesce(reduce(or_, [c.contains(w) for w in words]), F.lit(False))
+
+
 def on_request(c: Column) -> Column:
-    low = F.lower(c)
-    hit = F.lit(False)
-    for p in ON_REQUEST:
-        hit = hit | low.contains(p)
-    return F.coalesce(hit, F.lit(False))
+    return contains_any(F.lower(F.regexp_replace(c, r"\s+", " ")), ON_REQUEST)
 
 
 def price_amount(c: Column, least: int = MIN_PRICE) -> Column:
-    """First numeric run of a price text; a point or comma is decimal or thousands by its place; small amounts are dropped."""
-    n = F.regexp_replace(F.regexp_extract(plain_spaces(c), r"([0-9][0-9 .,]*)", 1), " ", "")
-    n = F.regexp_replace(n, "[.,]+$", "")
-    both = F.replace(F.replace(n, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
-    comma = F.when(n.rlike(",[0-9]{2}$") & ~n.rlike(",.*,"), F.replace(n, F.lit(","), F.lit("."))).otherwise(F.replace(n, F.lit(","), F.lit("")))
+    """First numeric run of a price text; with both marks a comma is decimal, else a mark is decimal or thousands by its place; small amounts are dropped."""
+    n = F.regexp_replace(F.regexp_extract(plain_spaces(c), r"([0-9][0-9\s.,]*[0-9]|[0-9])", 1), r"\s+", "")
+    swapped = F.replace(F.replace(n, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
+    comma = F.when(n.rlike(",[0-9]{2}$"), F.replace(n, F.lit(","), F.lit("."))).otherwise(F.replace(n, F.lit(","), F.lit("")))
     point = F.when(n.rlike(r"^[0-9]+([.][0-9]{3})+$"), F.replace(n, F.lit("."), F.lit(""))).otherwise(n)
-    american = n.rlike(r"^[0-9]{1,3}(,[0-9]{3})+[.][0-9]{1,2}$")
-    text = F.when(american, F.replace(n, F.lit(","), F.lit(""))).when(n.contains(".") & n.contains(","), both).when(n.contains(","), comma).otherwise(point)
-    amount = text.try_cast("decimal(12,2)")
+    amount = F.when(n.contains(".") & n.contains(","), swapped).when(n.contains(","), comma).otherwise(point).try_cast("decimal(12,2)")
     return F.when(~on_request(c) & (amount >= least), amount)
 
 
 def currency(c: Column) -> Column:
-    """The first sign of CURRENCIES in the text, EUR without one; null with a null amount."""
-    up, out = F.upper(c), F.lit("EUR")
-    for sign, code in reversed(CURRENCIES):
-        out = F.when(up.contains(sign), code).otherwise(out)
-    return F.when(price_amount(c).isNotNull(), out)
+    """The first sign of CURRENCIES in the text as it is or lower-cased, EUR without one; null with a null amount."""
+    code = F.coalesce(*[F.when(F.lower(c).contains(sign) | c.contains(sign), code) for sign, code in CURRENCIES], F.lit("EUR"))
+    return F.when(price_amount(c).isNotNull(), code)
 
 
 def area(c: Column) -> Column:
@@ -74,8 +79,13 @@ def clean_text(c: Column, most: int | None = None) -> Column:
     return F.substring(out, 1, most) if most else out
 
 
+def parse_time(c: Column) -> Column:
+    """A timestamp by the first of DATE_FORMATS that fits the whole text."""
+    return F.coalesce(*[F.try_to_timestamp(F.trim(c), F.lit(f)) for f in DATE_FORMATS])
+
+
 def parse_date(c: Column) -> Column:
-    return F.coalesce(*[F.to_date(F.try_to_timestamp(F.trim(c), F.lit(f))) for f in DATE_FORMATS])
+    return F.to_date(parse_time(c))
 
 
 def bedrooms(c: Column) -> Column:
@@ -95,7 +105,9 @@ def clean_description(c: Column) -> Column:
 
 
 def address_or_null(c: Column) -> Column:
-    return F.when((F.length(c) <= 100) & ~c.rlike(r"[.!?] "), c)
+    """An address without what reads like a sentence; white space collapsed."""
+    plain = F.trim(F.regexp_replace(plain_spaces(c), r"\s+", " "))
+    return F.when((F.length(plain) <= 100) & ~contains_any(F.lower(plain), SENTENCE), nullif_blank(plain))
 
 
 def address_parts(c: Column, sep: str) -> Column:
@@ -140,12 +152,13 @@ def type_from_code(c: Column) -> Column:
 
 
 def business_type(kind: Column, url: Column) -> Column:
-    rent = F.lower(F.coalesce(kind, F.lit(""))).rlike("rent|arrend|alug") | F.lower(F.coalesce(url, F.lit(""))).rlike("arrend|alug|rent")
-    return F.when(rent, "rent").otherwise("sale")
+    """rent by the words of the kind, or by the folder Arrendamento of the url; else sale."""
+    return F.when(contains_any(F.lower(kind), RENT) | contains_any(url, ["/Arrendamento/"]), "rent").otherwise("sale")
 
 
 def is_new(c: Column) -> Column:
-    return F.when(F.lower(c).rlike("novo|new|em construção"), True)
+    """True, or null."""
+    return F.when(contains_any(F.lower(c), NEW), True)
 
 
 def drop_empty(pairs: dict[str, Column]) -> Column:
@@ -175,10 +188,25 @@ def url_allowed(c: Column) -> Column:
 
 
 def url_join(base: Column, href: Column) -> Column:
-    origin = F.regexp_extract(base, r"^(https?://[^/?#]+)", 1)
-    folder = F.regexp_replace(F.regexp_replace(base, r"[?#].*$", ""), r"(?<![:/])/[^/]*$", "")
+    """`href` as seen from `base`: absolute, of the same scheme, host or folder, a query or an anchor alone; `.` and `..` are resolved."""
     h = F.trim(href)
-    return F.when(h.rlike("^https?://"), h).when(h.startswith("//"), F.concat(F.regexp_extract(base, "^(https?:)", 1), h)).when(h.startswith("/"), F.concat(origin, h)).otherwise(F.concat(folder, F.lit("/"), h))
+    scheme, origin = F.regexp_extract(base, "^([a-z]+:)", 1), F.regexp_extract(base, r"^([a-z]+://[^/?#]+)", 1)
+    path = F.regexp_extract(base, r"^[a-z]+://[^/?#]+([^?#]*)", 1)
+    own, rest = F.regexp_extract(h, "^([^?#]*)", 1), F.regexp_extract(h, "^[^?#]*(.*)$", 1)
+    joined = F.when(own.startswith("/"), own).otherwise(F.concat(F.regexp_replace(path, "[^/]*$", ""), own))
+    joined = F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined))
+    parts = F.split(F.substring(joined, 2, 1 << 30), "/")
+
+    def step(kept: Column, part: Column) -> Column:
+        return F.when(part == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).when(part == ".", kept).otherwise(F.array_append(kept, part))
+
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    folder = F.when(joined.rlike(r"/\.\.?$") & (F.size(kept) > 0), "/").otherwise("")
+    whole = F.concat(origin, F.lit("/"), F.array_join(kept, "/"), folder, rest)
+    return (
+        F.when(h.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), h).when(h.startswith("//"), F.concat(scheme, h)).when(h == "", base)
+        .when(h.startswith("?"), F.concat(origin, path, h)).when(h.startswith("#"), F.concat(F.regexp_extract(base, "^([^#]*)", 1), h)).otherwise(whole)
+    )
 
 
 def fix_mojibake(c: Column, pairs: dict[str, str]) -> Column:

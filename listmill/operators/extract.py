@@ -10,11 +10,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from listmill.functions.columns import contains_any, url_join
+from listmill.sources.tables import written
+
 # Elements without content, and elements that a new one of the listed kinds closes (fixed values of HTML).
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 CLOSES = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 BLOCKS = {"p", "div", "ul", "ol", "table", "section", "article", "h1", "h2", "h3", "h4", "h5", "h6"}
 
+# Words that mark a listing as gone (fixed values).
+SOLD = ["vendido", "vendida", "imóvel vendido", "já vendido", "reservado", "reservada", "sold", "under offer", "sale agreed", "negócio fechado"]
+
 NODE_SCHEMA = "page_id long, node_id int, parent_id int, depth int, tag string, id string, classes array<string>, attrs map<string,string>, text string, nth_of_type int, ancestors array<int>"
 
 
@@ -31,11 +37,12 @@ class _Tree(HTMLParser):
             self.open.pop()
         a = {k: v or "" for k, v in attrs}
         parent = self.open[-1] if self.open else None
-        nth = 1 + sum(1 for c in (self.nodes[parent]["children"] if parent is not None else []) if self.nodes[c]["tag"] == tag)
-        me = len(self.nodes)
-        self.nodes.append({"tag": tag, "attrs": a, "parent": parent, "nth": nth, "text": [], "children": [], "up": list(self.open)})
+        nth = 1
         if parent is not None:
-            self.nodes[parent]["children"].append(me)
+            seen = self.nodes[parent]["seen"]
+            nth = seen[tag] = seen.get(tag, 0) + 1
+        me = len(self.nodes)
+        self.nodes.append({"tag": tag, "attrs": a, "parent": parent, "nth": nth, "text": [], "seen": {}, "up": list(self.open)})
         if tag not in VOID:
             self.open.append(me)
 
@@ -91,6 +98,14 @@ def dom_nodes(pages: DataFrame) -> DataFrame:
     return pages.where("html <> ''").select(F.col("page_id").cast("long").alias("page_id"), "html").mapInArrow(run, NODE_SCHEMA)
 
 
+def page_nodes(pages: DataFrame) -> DataFrame:
+    """The nodes of pages, written once: each page is parsed a single time, whatever is selected from it later.
+
+    A selector then reads the few columns it needs, and tests of tags and ids reach the scan.
+    """
+    return written(dom_nodes(pages))
+
+
 _PART = re.compile(r"""(?P<tag>^[a-zA-Z][\w-]*|^\*)|\#(?P<id>[\w-]+)|\.(?P<cls>[\w-]+)|\[(?P<attr>[\w-]+)(?:(?P<op>[*^$]?=)["']?(?P<val>[^"'\]]*)["']?)?\]|:nth-of-type\((?P<nth>\d+)\)|:-soup-contains\("(?P<text>[^"]*)"\)""")
 
 
@@ -123,29 +138,54 @@ def compound(selector: str) -> Column:
     return out
 
 
-def select_nodes(nodes: DataFrame, selectors: str) -> DataFrame:
-    """Nodes that match a comma list of selectors: compound parts, descendant and child combinators."""
-    found = None
+def _steps(selectors: str) -> list[list[tuple[str, str]]]:
+    """The (combinator, compound) steps of each selector of a comma list."""
+    out = []
     for selector in selectors.split(","):
         if not re.fullmatch(rf"(?:{_STEP}\s*)+", selector.strip()):
             raise ValueError(f"unsupported selector: {selector}")
-        steps = re.findall(_STEP, selector.strip())
-        last = nodes.where(compound(steps[-1][1]))
-        links = [s[0] for s in steps]
-        for k in range(len(steps) - 2, -1, -1):
-            above = nodes.where(compound(steps[k][1])).select(F.col("page_id").alias("_p"), F.col("node_id").alias("_n"), F.col("ancestors").alias("_up"))
-            near = F.col("parent_id" if k == len(steps) - 2 else "_at_parent")
-            up = F.col("ancestors" if k == len(steps) - 2 else "_at_up")
-            on = (F.col("page_id") == F.col("_p")) & ((near == F.col("_n")) if links[k + 1] == ">" else F.array_contains(up, F.col("_n")))
-            last = last.join(above, on).withColumns({"_at_up": F.col("_up"), "_at_parent": F.try_element_at("_up", F.lit(-1))}).drop("_p", "_n", "_up")
-        last = last.select(*nodes.columns)
-        found = last if found is None else found.unionByName(last)
-    return found.dropDuplicates(["page_id", "node_id"])
+        out.append(re.findall(_STEP, selector.strip()))
+    return out
+
+
+def select_many(nodes: DataFrame, selectors: dict[str, str]) -> DataFrame:
+    """`field` and the nodes that match its comma list of selectors: compound parts, descendant and child combinators.
+
+    All compounds of all selectors are tested in one pass over the nodes; then one join for each depth of combinators
+    takes every selector one step up.
+    """
+    ways = [(field, steps) for field, s in selectors.items() for steps in _steps(s)]
+    step = lambda way, k, n, child: F.struct(F.lit(way).alias("way"), F.lit(k).alias("k"), F.lit(k == n - 1).alias("last"), F.lit(child).alias("child"))
+    tests = [F.when(compound(part), step(way, k, len(steps), link == ">")) for way, (_, steps) in enumerate(ways) for k, (link, part) in enumerate(steps)]
+    hits = nodes.select("*", F.explode(F.array_compact(F.array(*tests))).alias("s"))
+    rows = hits.where("s.last").select(*nodes.columns, F.col("s.way").alias("_way"), F.col("s.k").alias("_k"), F.col("s.child").alias("_child"), F.col("parent_id").alias("_parent"), F.col("ancestors").alias("_up"))
+    above = hits.where("NOT s.last").select(F.col("page_id").alias("_p"), F.col("s.way").alias("_w"), (F.col("s.k") + 1).alias("_next"), F.col("s.child").alias("_c"), F.col("node_id").alias("_n"), F.col("parent_id").alias("_pp"), F.col("ancestors").alias("_a"))
+    done = None
+    for _ in range(max(len(steps) for _, steps in ways)):
+        whole = rows.where("_k = 0").select(*nodes.columns, "_way")
+        done = whole if done is None else done.unionByName(whole)
+        if not any(len(steps) > _ + 1 for _f, steps in ways):
+            break
+        on = (F.col("page_id") == F.col("_p")) & (F.col("_way") == F.col("_w")) & (F.col("_k") == F.col("_next"))
+        on &= F.when(F.col("_child"), F.col("_parent") == F.col("_n")).otherwise(F.array_contains("_up", F.col("_n")))
+        rows = rows.join(above, on).select(*nodes.columns, "_way", (F.col("_k") - 1).alias("_k"), F.col("_c").alias("_child"), F.col("_pp").alias("_parent"), F.col("_a").alias("_up"))
+    fields = F.array(*[F.lit(field) for field, _ in ways])
+    return done.select(F.element_at(fields, F.col("_way") + 1).alias("field"), *nodes.columns).dropDuplicates(["page_id", "field", "node_id"])
+
+
+def select_firsts(nodes: DataFrame, selectors: dict[str, str]) -> DataFrame:
+    """`field` and the first node that matches its selectors on each page."""
+    w = Window.partitionBy("page_id", "field").orderBy("node_id")
+    return select_many(nodes, selectors).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def select_nodes(nodes: DataFrame, selectors: str) -> DataFrame:
+    """Nodes that match a comma list of selectors."""
+    return select_many(nodes, {"": selectors}).drop("field")
 
 
 def select_one(nodes: DataFrame, selectors: str) -> DataFrame:
-    w = Window.partitionBy("page_id").orderBy("node_id")
-    return select_nodes(nodes, selectors).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    return select_firsts(nodes, {"": selectors}).drop("field")
 
 
 def element_value() -> Column:
@@ -156,10 +196,7 @@ def element_value() -> Column:
 
 def extract_direct(nodes: DataFrame, fields: dict[str, str]) -> DataFrame:
     """A wide row for each page: the first match's value of each field's selector."""
-    rows = None
-    for name, selector in fields.items():
-        part = select_one(nodes, selector).select("page_id", F.lit(name).alias("field"), element_value().alias("value"))
-        rows = part if rows is None else rows.unionByName(part)
+    rows = select_firsts(nodes, fields).select("page_id", "field", element_value().alias("value"))
     return rows.groupBy("page_id").pivot("field", list(fields)).agg(F.first("value"))
 
 
@@ -203,8 +240,6 @@ def _level(k: int):
 
 def listing_links(pages: DataFrame, pattern: str | None = None) -> DataFrame:
     """(page_id, url, ord) of links in first-seen order, absolute, distinct for each page."""
-    from listmill.functions.columns import url_join
-
     links = pages.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit('<a[^>]*href="([^"]+)"'), F.lit(1))).alias("ord", "href"))
     links = links.where("href NOT LIKE 'javascript:%' AND href NOT LIKE '#%'").select("page_id", url_join(F.col("url"), F.col("href")).alias("url"), "ord")
     if pattern:
@@ -229,8 +264,6 @@ def missing_critical(columns: list[str]) -> Column:
     return F.array_compact(F.array(*[F.when(F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == "", c) for c in columns]))
 
 
-def is_sold(text: Column, words: tuple[str, ...] = ("sold", "vendido", "reservado", "reserved")) -> Column:
-    out = F.lit(False)
-    for w in words:
-        out = out | F.lower(F.coalesce(text, F.lit(""))).contains(w)
-    return out
+def is_sold(text: Column, words: list[str] = SOLD) -> Column:
+    """Whether a page is marked as sold or reserved; a site may have words of its own."""
+    return contains_any(F.lower(text), words)

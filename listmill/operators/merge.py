@@ -5,7 +5,7 @@ Each returns the new table (or side table) as a DataFrame; the caller writes it
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -47,10 +47,12 @@ def prune(current: DataFrame, seen: DataFrame, least: int = 10, most: float = 0.
     return mark.join(guard, "source_partner", "left").select(*current.columns, (missing & F.coalesce("safe", F.lit(False))).alias("gone"))
 
 
-def insert_unique(current: DataFrame, new: DataFrame, key: str = "source_url") -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected) rows of new: rejected are those whose key exists."""
-    keys = current.select(key).distinct()
-    return new.join(keys, key, "left_anti"), new.join(keys, key, "left_semi")
+def insert_unique(current: DataFrame, new: DataFrame, key: str = "source_url", order: str = "ord") -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected) rows of new: rejected are those whose key exists, or came earlier among the new ones."""
+    first = F.row_number().over(Window.partitionBy(key).orderBy(order)) == 1
+    rows = new.withColumn("_first", first | F.col(key).isNull()).join(current.select(key, F.lit(True).alias("_has")).distinct(), key, "left")
+    good = F.col("_first") & F.col("_has").isNull()
+    return rows.where(good).select(*new.columns), rows.where(~good).select(*new.columns)
 
 
 def delete(current: DataFrame, ids: DataFrame, column: str = "id") -> DataFrame:
@@ -59,14 +61,25 @@ def delete(current: DataFrame, ids: DataFrame, column: str = "id") -> DataFrame:
 
 
 def upsert_ledger(ledger: DataFrame, results: DataFrame) -> DataFrame:
-    """results(listing_id, status, remote_id, error): kept remote ids when the new one is null; errors only of failures."""
-    new = results.select("listing_id", F.col("status").alias("_status"), F.col("remote_id").alias("_remote"), "error")
-    both = ledger.join(new, "listing_id", "full")
-    return both.select("listing_id", "partner_id", F.coalesce("_remote", "remote_id").alias("remote_id"), F.coalesce("_status", "status").alias("status"), F.when(F.col("_status") == "failed", F.col("error")).alias("last_error"))
+    """results(listing_id, status, remote_id, error[, seq]): kept remote ids when the new one is null; errors only of failures.
+
+    Of several results of a listing the last by `seq` counts (without that column the greatest), of several ledger rows the
+    one with the greatest remote id. A column `at` of results becomes last_exported_at where the result is no failure.
+    """
+    own = ledger.groupBy("listing_id").agg(F.max_by(F.struct(*[c for c in ledger.columns if c != "listing_id"]), F.coalesce("remote_id", F.lit(-1))).alias("l")).select("listing_id", "l.*")
+    given = [c for c in ("status", "remote_id", "error", "at") if c in results.columns]
+    order = F.col("seq") if "seq" in results.columns else F.struct(*given)
+    new = results.groupBy("listing_id").agg(F.max_by(F.struct(*[F.col(c).alias(f"_{c}") for c in given]), order).alias("r")).select("listing_id", "r.*")
+    failed = F.col("_status") == "failed"
+    out = [F.coalesce("_remote_id", "remote_id").alias("remote_id"), F.coalesce("_status", "status").alias("status"), F.when(failed, F.col("_error")).alias("last_error")]
+    if "at" in given:
+        before = F.col("last_exported_at") if "last_exported_at" in ledger.columns else F.lit(None)
+        out.append(F.coalesce(F.when(~failed, F.col("_at")), before).alias("last_exported_at"))
+    return own.join(new, "listing_id", "full").select("listing_id", "partner_id", *out)
 
 
 def export_action(listings: DataFrame, ledger: DataFrame) -> DataFrame:
-    own = ledger.select(F.col("listing_id").alias("id"), "remote_id")
+    own = ledger.groupBy(F.col("listing_id").alias("id")).agg(F.max("remote_id").alias("remote_id"))
     return listings.join(own, "id", "left").withColumn("action", F.when(F.col("remote_id").isNull(), "create").otherwise("update"))
 
 

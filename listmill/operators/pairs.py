@@ -68,11 +68,8 @@ def within(nodes: DataFrame, section: str | None) -> DataFrame:
 def item_parts(nodes: DataFrame, item: str, **parts: str) -> DataFrame:
     """page_id, item, item_text and, for each named selector, its first match inside the item (text, attrs, classes) or null."""
     items = extract.select_nodes(nodes, item).select("page_id", F.col("node_id").alias("item"), F.col("text").alias("item_text"))
-    found = [
-        extract.select_nodes(nodes, s).select("page_id", F.explode("ancestors").alias("item"), F.lit(name).alias("part"), "node_id", F.struct("text", "attrs", "classes").alias("at"))
-        for name, s in parts.items()
-    ]
-    rows = items.join(reduce(DataFrame.unionByName, found), ["page_id", "item"], "left")
+    found = extract.select_many(nodes, parts).select("page_id", F.explode("ancestors").alias("item"), F.col("field").alias("part"), "node_id", F.struct("text", "attrs", "classes").alias("at"))
+    rows = items.join(found, ["page_id", "item"], "left")
     firsts = [F.expr(f"min_by(at, node_id) FILTER (WHERE part = '{name}')").alias(name) for name in parts]
     return rows.groupBy("page_id", "item").agg(F.first("item_text").alias("item_text"), *firsts)
 
@@ -126,40 +123,39 @@ def summary_pairs(nodes: DataFrame, item: str = "li", name: str = "b,.name,.icon
 
 def element_values(nodes: DataFrame, selector: str, energy: bool = False) -> DataFrame:
     """(page_id, value) of the first match: own text, a telling attribute, the first image inside; for energy, its class."""
-    top = extract.select_one(nodes, selector).select("page_id", "node_id", F.struct("tag", "text", "attrs", "classes").alias("e"))
+    return field_values(nodes, {"": selector}, {""} if energy else set()).drop("field")
+
+
+def field_values(nodes: DataFrame, selectors: dict[str, str], energy: set[str]) -> DataFrame:
+    """(page_id, field, value) of the first match of each field's selector, read as element_values() says; fields in `energy` as classes."""
+    top = extract.select_firsts(nodes, selectors).select("page_id", "field", "node_id", F.struct("tag", "text", "attrs", "classes").alias("e"))
     inner = nodes.where("tag IN ('img', 'i')").select("page_id", F.explode(F.array_append("ancestors", F.col("node_id"))).alias("top"), "tag", "attrs", "classes", F.col("node_id").alias("n"))
     inner = inner.join(top.select("page_id", F.col("node_id").alias("top")), ["page_id", "top"], "left_semi")
-    inner = inner.groupBy("page_id").agg(
+    inner = inner.groupBy("page_id", F.col("top").alias("node_id")).agg(
         F.expr("min_by(attrs, n) FILTER (WHERE tag = 'img')").alias("img"), F.expr("min_by(classes, n) FILTER (WHERE tag = 'i' AND attrs['class'] LIKE '%energyClass%')").alias("marks")
     )
-    rows = top.join(inner, "page_id", "left")
+    rows = top.join(inner, ["page_id", "node_id"], "left")
     telling = [C.nullif_blank(F.trim(F.col("e.attrs")[a])) for a in ("content", "value", "alt", "title", "aria-label", "data-value")]
     image = [C.nullif_blank(F.trim(F.col("img")[a])) for a in ("alt", "title", "src", "data-src")]
     text = C.nullif_blank(F.col("e.text"))
-    if not energy:
-        return rows.select("page_id", F.coalesce(text, *telling, *image).alias("value"))
+    plain = F.coalesce(text, *telling, *image)
     letter = lambda c: F.coalesce(energy_letter(c), c)
     pictured = lambda c: F.coalesce(energy_letter(c), C.nullif_blank(F.upper(F.regexp_extract(c, "(?i)energy[-_]?([a-g])", 1))), c)
     named = F.create_map(*[F.lit(x) for k in "abcdefg" for x in (k, k.upper())], F.lit("aplus"), F.lit("A+"), F.lit("bminus"), F.lit("B-"), F.lit("b-"), F.lit("B-"))
     mark = F.get(F.filter(F.transform("marks", lambda c: named[F.lower(c)]), lambda c: c.isNotNull()), F.lit(0))
-    return rows.select("page_id", F.coalesce(letter(text), *map(letter, telling), *map(pictured, image), mark).alias("value"))
+    classed = F.coalesce(letter(text), *map(letter, telling), *map(pictured, image), mark)
+    return rows.select("page_id", "field", F.when(F.col("field").isin(*energy), classed).otherwise(plain).alias("value") if energy else plain.alias("value"))
 
 
 def feature_values(nodes: DataFrame, selectors: dict[str, str]) -> DataFrame:
     """The first match's value of each feature's selector, else Yes."""
-    rows = [extract.select_one(nodes, s).select("page_id", F.lit(f).alias("field"), F.coalesce(extract.element_value(), F.lit("Yes")).alias("value")) for f, s in selectors.items()]
-    return reduce(DataFrame.unionByName, rows)
-
-
-def contains_any(text: Column, words: list[str]) -> Column:
-    """Whether the lower-cased text has one of the words."""
-    return reduce(lambda a, b: a | b, [F.lower(text).contains(w) for w in words])
+    return extract.select_firsts(nodes, selectors).select("page_id", "field", F.coalesce(extract.element_value(), F.lit("Yes")).alias("value"))
 
 
 def feature_fallback(raw: DataFrame, text: str, features: dict[str, list[str]] | None = None) -> DataFrame:
     """Feature columns of `raw` that are blank become Yes if the page text has one of their words."""
     features = features or FEATURE_MAP
-    return raw.withColumns({f: F.coalesce(C.nullif_blank(F.col(f)), F.when(contains_any(F.col(text), words), "Yes")) for f, words in features.items()})
+    return raw.withColumns({f: F.coalesce(C.nullif_blank(F.col(f)), F.when(C.contains_any(F.lower(text), words), "Yes")) for f, words in features.items()})
 
 
 def layout_fallback(nodes: DataFrame, markers: list[str], candidates: dict[str, list[str]], description: list[str], features: dict[str, list[str]] | None = None) -> DataFrame:
@@ -171,13 +167,14 @@ def layout_fallback(nodes: DataFrame, markers: list[str], candidates: dict[str,
     features = features or FEATURE_MAP
     known = nodes.where(reduce(lambda a, b: a | b, [F.col("id").contains(m) for m in markers])).select("page_id").distinct()
     own = nodes.join(known, "page_id", "left_semi")
-    value_of = lambda f, s: element_values(own, s, energy=f == "energy_certificate").where("value <> ''")
-    rows = [value_of(f, s).select("page_id", F.lit(f).alias("field"), "value", F.lit(k).alias("rank")) for f, options in candidates.items() for k, s in enumerate(options)]
-    told = reduce(DataFrame.unionByName, [value_of("", s).select("page_id", F.lit(k).alias("k"), "value") for k, s in enumerate(description)])
-    told = told.groupBy("page_id").agg(F.min_by("value", "k").alias("text"))
+    ways = {f"{f} {k}": s for f, options in candidates.items() for k, s in enumerate(options)} | {f"description {k}": s for k, s in enumerate(description)}
+    values = field_values(own, ways, {w for w in ways if w.startswith("energy_certificate ")}).where("value <> ''")
+    values = values.select("page_id", F.substring_index("field", " ", 1).alias("field"), "value", F.substring_index("field", " ", -1).cast("int").alias("rank"))
+    rows = [values.where("field <> 'description'")]
+    told = values.where("field = 'description'").groupBy("page_id").agg(F.min_by("value", "rank").alias("text"))
     whole = own.where("parent_id IS NULL").groupBy("page_id").agg(F.min_by("text", "node_id").alias("text"))
     for rank, source in ((100, told), (200, whole)):
-        hits = F.array_compact(F.array(*[F.when(contains_any(F.col("text"), words), f) for f, words in features.items()]))
+        hits = F.array_compact(F.array(*[F.when(C.contains_any(F.lower("text"), words), f) for f, words in features.items()]))
         rows.append(source.select("page_id", F.explode(hits).alias("field"), F.lit("Yes").alias("value"), F.lit(rank).alias("rank")))
     rows.append(told.select("page_id", F.lit("energy_certificate").alias("field"), energy_letter(F.col("text")).alias("value"), F.lit(100).alias("rank")).where("value IS NOT NULL"))
     return reduce(DataFrame.unionByName, rows).groupBy("page_id", "field").agg(F.min_by("value", "rank").alias("value"))
@@ -187,9 +184,9 @@ def extract_section(nodes: DataFrame, pages: DataFrame, site: dict) -> DataFrame
     """Section mode of one site: each part gives values, and the part that comes first in PRECEDENCE wins a field."""
     parts: dict[str, list[DataFrame]] = {}
     put = lambda part, df: parts.setdefault(part, []).append(df.select("page_id", "field", "value"))
-    for field in ("title", "location", "condition"):
-        if site.get(f"{field}_selector"):
-            put("single", extract.select_one(nodes, site[f"{field}_selector"]).select("page_id", F.lit(field).alias("field"), F.col("text").alias("value")))
+    single = {f: site[f"{f}_selector"] for f in ("title", "location", "condition") if site.get(f"{f}_selector")}
+    if single:
+        put("single", extract.select_firsts(nodes, single).select("page_id", "field", F.col("text").alias("value")))
     if site.get("description_selector"):
         long = sections.first_long(nodes, [s.strip() for s in site["description_selector"].split(",")])
         put("single", long.select("page_id", F.lit("raw_description").alias("field"), F.col("text").alias("value")))
@@ -210,13 +207,10 @@ def extract_section(nodes: DataFrame, pages: DataFrame, site: dict) -> DataFrame
 
 def extract_direct_long(nodes: DataFrame, site: dict) -> DataFrame:
     """Direct mode of one site: the first match of each `<field>_selector`."""
-    rows = [
-        extract.select_one(nodes, s).select("page_id", F.lit(k.removesuffix("_selector")).alias("field"), extract.element_value().alias("value"))
-        for k, s in site.items() if k.endswith("_selector") and not k.endswith("item_selector")
-    ]
-    if not rows:
+    selectors = {k.removesuffix("_selector"): s for k, s in site.items() if k.endswith("_selector") and not k.endswith("item_selector")}
+    if not selectors:
         return nodes.select("page_id", F.lit("").alias("field"), F.lit("").alias("value")).where("false")
-    return reduce(DataFrame.unionByName, rows).where("value <> ''")
+    return extract.select_firsts(nodes, selectors).select("page_id", "field", extract.element_value().alias("value")).where("value <> ''")
 
 
 def extract_pages(nodes: DataFrame, pages: DataFrame, sites: dict[str, dict]) -> DataFrame:
@@ -233,8 +227,7 @@ def extract_pages(nodes: DataFrame, pages: DataFrame, sites: dict[str, dict]) ->
 
 def card_fields(nodes: DataFrame, selectors: dict[str, str]) -> DataFrame:
     """Text of the first match of each field on a card, wide."""
-    rows = [extract.select_one(nodes, s).select("page_id", F.lit(f).alias("field"), "text") for f, s in selectors.items()]
-    return reduce(DataFrame.unionByName, rows).groupBy("page_id").pivot("field", list(selectors)).agg(F.first("text"))
+    return extract.select_firsts(nodes, selectors).groupBy("page_id").pivot("field", list(selectors)).agg(F.first("text"))
 
 
 def meta_values(nodes: DataFrame, most: int = 160) -> DataFrame:

@@ -9,17 +9,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CONTAINS = ["district", "county", "parish", "property_type"]
-EQUALS = ["source_partner", "typology", "bedrooms", "business_type", "scrape_job_id"]
-RANGES = {"price": "price_amount", "area": "area_useful_m2", "bedrooms": "bedrooms", "created": "created_at"}
-FLAGS = ["has_garage", "has_elevator", "has_balcony", "has_pool", "is_enriched"]
+EQUALS = ["source_partner", "typology", "bedrooms", "business_type", "scrape_job_id", "energy_certificate"]
+RANGES = {"price": "price_amount", "area": "area_useful_m2", "bedrooms": "bedrooms", "bathrooms": "bathrooms", "created": "created_at"}
+FLAGS = ["has_garage", "has_elevator", "has_balcony", "has_air_conditioning", "has_pool"]
+#: Column that is set once a listing has been enriched.
+ENRICHED = "enriched_translations"
+SEARCHED = ["title", "district", "county", "source_partner"]
 SORT_KEYS = ["price_amount", "area_useful_m2", "bedrooms", "created_at", "updated_at", "district", "title"]
 EXPORTED = ["published", "updated"]
 
 
 def apply_filters(df: DataFrame, **f) -> DataFrame:
-    """Conjunction of the given filters only: contains, equals, inclusive ranges (<name>_min, <name>_max), booleans."""
+    """Conjunction of the given filters only: contains, equals, inclusive ranges (<name>_min, <name>_max), booleans.
+
+    is_enriched tests whether the column ENRICHED is null, or a flag of that name where a table has one instead.
+    """
     terms = [F.col(c).ilike(f"%{f[c]}%") for c in CONTAINS if f.get(c) is not None]
     terms += [F.col(c) == f[c] for c in (*EQUALS, *FLAGS) if f.get(c) is not None]
+    if f.get("is_enriched") is not None:
+        there = F.col(ENRICHED).isNotNull() if ENRICHED in df.columns else F.col("is_enriched")
+        terms.append(there if f["is_enriched"] else ~there)
     for name, c in RANGES.items():
         if f.get(f"{name}_min") is not None:
             terms.append(F.col(c) >= f[f"{name}_min"])
@@ -38,6 +47,30 @@ def ilike_any(df: DataFrame, q: str, columns: list[str]) -> DataFrame:
     return df.where(reduce(lambda a, b: a | b, terms))
 
 
+def search(df: DataFrame, ledger: DataFrame, q: str | None = None, is_exported: bool | None = None, **filters) -> DataFrame:
+    """Search box: the trimmed text in one of SEARCHED, with filters and the state of export; newest update first."""
+    out = apply_filters(ilike_any(df, q, SEARCHED) if q and q.strip() else df, **filters)
+    if is_exported is not None:
+        out = exported(out, ledger) if is_exported else not_exported(out, ledger)
+    return recent(out, "updated_at", "id")
+
+
+def lookup(df: DataFrame, **keys) -> DataFrame:
+    """Rows with the given values of columns (an id, a url, a key, a status); the tests reach the scan."""
+    return df.where(reduce(and_, [F.col(c) == v for c, v in keys.items()]))
+
+
+def recent(df: DataFrame, by: str = "created_at", *ties: str) -> DataFrame:
+    """Newest first, rows without a time before all others."""
+    return df.orderBy(F.col(by).desc_nulls_first(), *ties)
+
+
+def page_rows(df: DataFrame, by: list[Column], number: int, size: int) -> DataFrame:
+    """A page of a table by an order, each row with the number of all rows as `total_count`; that number is counted apart from the sort."""
+    total = df.agg(F.count("*").alias("total_count"))  # one row
+    return df.orderBy(*by).offset((number - 1) * size).limit(size).join(F.broadcast(total))
+
+
 def by_ids(df: DataFrame, ids: DataFrame) -> DataFrame:
     return df.join(ids.select("id").distinct(), "id", "left_semi")
 

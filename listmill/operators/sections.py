@@ -20,11 +20,8 @@ def list_items(nodes: DataFrame, selector: str) -> DataFrame:
 
 def first_long(nodes: DataFrame, selectors: list[str], least: int = 50) -> DataFrame:
     """(page_id, text): the first selector whose first match has more than `least` characters."""
-    rows = None
-    for rank, selector in enumerate(selectors):
-        part = extract.select_one(nodes, selector).where(F.length("text") > least).select("page_id", F.lit(rank).alias("rank"), "text")
-        rows = part if rows is None else rows.unionByName(part)
-    return rows.groupBy("page_id").agg(F.min_by("text", "rank").alias("text"))
+    rows = extract.select_firsts(nodes, {str(rank): s for rank, s in enumerate(selectors)}).where(F.length("text") > least)
+    return rows.groupBy("page_id").agg(F.min_by("text", F.col("field").cast("int")).alias("text"))
 
 
 def reference_value() -> Column:
@@ -97,16 +94,22 @@ def link_report(links: DataFrame, pattern: str, show: int = 5) -> DataFrame:
 
 def validate_selectors(nodes: DataFrame, pages: DataFrame, selectors: dict[str, str], samples: int = 3, most: int = 200) -> DataFrame:
     """(page_id, field, valid, matches, samples) for each page and selector; bad syntax is not valid, no match is a count of 0."""
-    out = None
+    good = {}
     for name, selector in selectors.items():
-        base = pages.select("page_id", F.lit(name).alias("field"))
         try:
-            hits = extract.select_nodes(nodes, selector).groupBy("page_id").agg(F.count("*").alias("matches"), F.array_sort(F.collect_list(F.struct("node_id", F.substring("text", 1, most).alias("text")))).alias("h"))
-            part = base.join(hits, "page_id", "left").select("page_id", "field", F.lit(True).alias("valid"), F.coalesce("matches", F.lit(0)).alias("matches"), F.slice(F.col("h.text"), 1, samples).alias("samples"))
+            for steps in extract._steps(selector):
+                for _, part in steps:
+                    extract.compound(part)
+            good[name] = selector
         except ValueError:
-            part = base.select("page_id", "field", F.lit(False).alias("valid"), F.lit(0).cast("long").alias("matches"), F.lit(None).cast("array<string>").alias("samples"))
-        out = part if out is None else out.unionByName(part)
-    return out
+            continue
+    names = F.array(*[F.struct(F.lit(n).alias("field"), F.lit(n in good).alias("valid")) for n in selectors])
+    base = pages.select("page_id", F.inline(names))
+    if not good:
+        return base.select("page_id", "field", "valid", F.lit(0).cast("long").alias("matches"), F.lit(None).cast("array<string>").alias("samples"))
+    hits = extract.select_many(nodes, good).groupBy("page_id", "field").agg(F.count("*").alias("matches"), F.array_sort(F.collect_list(F.struct("node_id", F.substring("text", 1, most).alias("text")))).alias("h"))
+    out = base.join(hits, ["page_id", "field"], "left")
+    return out.select("page_id", "field", "valid", F.coalesce("matches", F.lit(0)).cast("long").alias("matches"), F.slice(F.col("h.text"), 1, samples).alias("samples"))
 
 
 def jsonld(pages: DataFrame, types: list[str] | None = None) -> DataFrame:

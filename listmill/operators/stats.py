@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .query import latest
@@ -67,12 +70,58 @@ def confidence(df: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
     return wide.select(key, F.inline(rows))
 
 
+# Patterns that a value must hold to count (fixed values).
+VALID = {
+    "property_type": r"(?i)\b(?:moradia|apartamento|terreno|loja|armaz[eé]m|escrit[oó]rio|garagem|quintinha|quinta|vivenda)\b",
+    "typology": r"(?i)\bT\d+(?:\+\d+)?\b",
+    "condition": r"(?i)\b(?:usado|novo|renovado|recuperado|excelente|bom\s+estado|em\s+construcao|na\s+planta|para\s+recuperar)\b",
+    "business_type": r"(?i)\b(?:venda|comprar|arrendar|arrendamento|sale|rent|buy)\b",
+}
+
+
+def field_rules(columns: list[str]) -> dict[str, Column]:
+    """Whether a listing has a value of each scored field; a column that the table lacks counts as null."""
+    c = lambda name: F.col(name) if name in columns else F.lit(None).cast("string")
+    there = lambda *names: reduce(or_, [c(n).isNotNull() for n in names])
+    said = lambda *names: F.coalesce(reduce(or_, [F.coalesce(F.trim(c(n).cast("string")) != "", F.lit(False)) for n in names]), F.lit(False))
+    rules = {
+        "price": there("price_amount"), "title": said("title"), "area": there("area_useful_m2", "area_gross_m2", "area_land_m2"), "rooms": there("bedrooms", "bathrooms"),
+        "location": said("full_address", "district", "county", "parish"), "images": F.size(F.coalesce(c("images") if "images" in columns else F.lit(None).cast("array<string>"), F.array().cast("array<string>"))) > 0,
+    }
+    rules |= {f: F.coalesce(c(f).rlike(p), F.lit(False)) for f, p in VALID.items()}
+    return rules | {"land_area": there("area_land_m2")}
+
+
+def site_confidence(scores: DataFrame, sites: DataFrame, jobs: DataFrame) -> DataFrame:
+    """sites(key) with `confidence` (field -> score) and `meta` (job, rows looked at, time) of the site's latest job in jobs(site_key, job_id, samples, at).
+
+    scores: (job_id, field, score). Sites without a job keep nulls.
+    """
+    each = scores.groupBy("job_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "score")))).alias("confidence"))  # a row for each field
+    last = jobs.groupBy(F.col("site_key").alias("key")).agg(F.max_by(F.struct("job_id", "samples", "at"), F.struct("at", "job_id")).alias("meta"))
+    return sites.join(last, "key", "left").join(each, F.col("meta.job_id") == each.job_id, "left").drop("job_id")
+
+
+def progress(jobs: DataFrame, errors: DataFrame, most: int = 20) -> DataFrame:
+    """jobs(job_id, done, failed, skipped, total) with `percent` (100 for an empty job) and the last `most` errors of errors(job_id, seq, error)."""
+    ended = F.col("done") + F.col("failed") + F.col("skipped")
+    percent = F.when(F.col("total") == 0, 100.0).otherwise(F.bround(ended * 100 / F.col("total"), 1))
+    late = errors.withColumn("n", F.row_number().over(Window.partitionBy("job_id").orderBy(F.desc("seq")))).where(F.col("n") <= most)
+    late = late.groupBy("job_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "error"))), lambda x: x["error"]).alias("errors"))
+    return jobs.withColumn("percent", percent).join(late, "job_id", "left")
+
+
 def low_confidence(scores: DataFrame, least: float = LOW) -> DataFrame:
     return scores.where(F.col("score") < least)
 
 
-def onboarding_gate(scores: DataFrame, key: str, least: float = LOW) -> DataFrame:
-    return scores.groupBy(key).agg(F.bool_and(F.col("score") >= least).alias("stable"))
+def onboarding_gate(scores: DataFrame, key: str, least: float = LOW, warnings: DataFrame | None = None) -> DataFrame:
+    """Whether every score of a key reaches `least` and there is no critical-field warning of it in warnings(key)."""
+    out = scores.groupBy(key).agg(F.bool_and(F.col("score") >= least).alias("stable"))
+    if warnings is None:
+        return out
+    bad = warnings.select(key, F.lit(True).alias("_bad")).distinct()
+    return out.join(bad, key, "left").select(key, (F.col("stable") & F.col("_bad").isNull()).alias("stable"))
 
 
 def job_counters(events: DataFrame, kinds: list[str]) -> DataFrame:

@@ -1,3 +1,3 @@
 """Registered queries; importing the package registers them all."""
 
-from listmill.plans import details, pages, records, registry  # noqa: F401
+from listmill.plans import details, feeds, pages, records, registry  # noqa: F401

@@ -34,7 +34,7 @@ def _pages(spark, d):
 
 
 def _nodes(spark, d):
-    return extract.dom_nodes(_pages(spark, d))
+    return extract.page_nodes(_pages(spark, d))
 
 
 def _long(*rows: tuple[str, str]) -> str:

@@ -14,7 +14,7 @@ _PLAIN = "replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;
 
 
 def _nodes(spark, d):
-    return extract.dom_nodes(table(spark, d, "pages"))
+    return extract.page_nodes(table(spark, d, "pages"))
 
 
 @q(f"SELECT page_id, array_to_string(list_filter(list_transform(l, lambda x: trim({_PLAIN})), lambda x: x <> ''), '|') AS items FROM ({_ITEMS}) i WHERE len(list_filter(l, lambda x: trim(x) <> '')) > 0")
@@ -27,7 +27,8 @@ def b9_feature_flags(spark, d):
     return sections.feature_flags(_nodes(spark, d), NAV, {"garage": ["the", "et"], "pool": ["and"]})
 
 
-@q()
+@q(f"""SELECT page_id, field, arg_max(x, n) AS value FROM (SELECT page_id, n, trim({_PLAIN}) AS x, CASE WHEN contains(lower(x), 'the') THEN 'garage' WHEN contains(lower(x), 'and') THEN 'pool' WHEN contains(lower(x), 'le') THEN 'lift' END AS field
+FROM (SELECT page_id, unnest(l) AS x, generate_subscripts(l, 1) AS n FROM ({_ITEMS}) i) y) z WHERE field IS NOT NULL GROUP BY 1, 2""")
 def b11_characteristics(spark, d):
     return sections.characteristics(_nodes(spark, d), NAV, {"the": "garage", "and": "pool", "le": "lift"})
 
@@ -47,7 +48,7 @@ def b22_images(spark, d):
     """An image, one with inline data and an excluded one before each advertisement."""
     marks = '<img src="/img/1.jpg" alt="a"><img src="data:x"><img data-src="/logo.png"><div class="ad">'
     pages = table(spark, d, "pages").withColumn("html", F.replace("html", F.lit('<div class="ad">'), F.lit(marks)))
-    out = sections.images(extract.dom_nodes(pages), pages, "img", "img|logo", "logo")
+    out = sections.images(extract.page_nodes(pages), pages, "img", "img|logo", "logo")
     return out.select("page_id", F.size("images").alias("n"), F.get("images", F.lit(0)).alias("first"))
 
 
@@ -71,9 +72,15 @@ def b28_fill_missing(spark, d):
     return out.select("page_id", "title", "price")
 
 
-@q("SELECT doc_id, regexp_matches(lower(text), 'sold|vendido|reservado|reserved') AS sold FROM documents WHERE text IS NOT NULL")
+_STATES = ["Vendida", "RESERVADA", "reserved", "Negócio fechado", "Under offer", "à venda", ""]
+
+
+@q("""SELECT doc_id, coalesce(regexp_matches(lower(s), 'vendido|vendida|imóvel vendido|já vendido|reservado|reservada|sold|under offer|sale agreed|negócio fechado'), false) AS sold
+FROM (SELECT doc_id, concat(text, ' ', ['Vendida', 'RESERVADA', 'reserved', 'Negócio fechado', 'Under offer', 'à venda', ''][doc_id % 7 + 1]) AS s FROM documents) x""")
 def b30_is_sold(spark, d):
-    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", extract.is_sold(F.col("text")).alias("sold"))
+    """Each document's text with one of some states behind it; null texts too."""
+    state = F.element_at(F.array(*map(F.lit, _STATES)), (F.col("doc_id") % 7 + 1).cast("int"))
+    return table(spark, d, "documents").select("doc_id", extract.is_sold(F.concat("text", F.lit(" "), state)).alias("sold"))
 
 
 @q("""SELECT page_id, concat(regexp_extract(url, '^(https?://[^/?#]+)', 1), h) AS next FROM (SELECT page_id, url, regexp_extract(html, '<nav><ul><li><a href="([^"]+)"', 1) AS h FROM pages) x WHERE h <> '' AND NOT contains(h, '&')""")
@@ -87,9 +94,13 @@ def b35_visited_prefix(spark, d):
     return sections.visited_prefix(view(spark, d, "events_v"), "job_id", ["ts", "event_id"], "kind").select("job_id", "event_id")
 
 
-@q()
+@q("""SELECT page_id, count(*) AS found, count(*) FILTER (ok) AS matched, coalesce(string_agg(u, '|' ORDER BY n) FILTER (ok AND k <= 5), '') AS accepted, coalesce(string_agg(u, '|' ORDER BY n) FILTER (NOT ok AND k <= 5), '') AS rejected
+FROM (SELECT *, row_number() OVER (PARTITION BY page_id, ok ORDER BY n) AS k FROM (SELECT page_id, u, min(n) AS n, regexp_matches(u, '/[a-m][^/]*$') AS ok
+FROM (SELECT page_id, concat(regexp_extract(url, '^(https?://[^/?#]+)', 1), h) AS u, n FROM (SELECT page_id, url, unnest(hs) AS h, generate_subscripts(hs, 1) AS n
+FROM (SELECT page_id, url, regexp_extract_all(html, '<a[^>]*href="([^"]+)"', 1) AS hs FROM pages WHERE html IS NOT NULL) a) b) c GROUP BY 1, 2) d) e GROUP BY 1""")
 def b37_link_report(spark, d):
-    return sections.link_report(extract.listing_links(table(spark, d, "pages").where("html IS NOT NULL")), "/[a-m][^/]*$")
+    out = sections.link_report(extract.listing_links(table(spark, d, "pages").where("html IS NOT NULL")), "/[a-m][^/]*$")
+    return out.select("page_id", "found", "matched", F.array_join("accepted", "|").alias("accepted"), F.array_join("rejected", "|").alias("rejected"))
 
 
 @q("""SELECT page_id, f AS field, f <> 'bad' AS valid, CAST(CASE f WHEN 'ad' THEN len(regexp_extract_all(html, '<div class="ad">')) WHEN 'heading' THEN len(regexp_extract_all(html, '<h1>')) ELSE 0 END AS BIGINT) AS matches
@@ -100,7 +111,26 @@ def b40_validate_selectors(spark, d):
     return out.select("page_id", "field", "valid", "matches")
 
 
-@q()
+@q(f"""SELECT p.page_id, CAST(coalesce(len(l), 0) AS BIGINT) AS matches, coalesce(array_to_string(list_transform(l[1:3], lambda x: substr(trim({_PLAIN}), 1, 200)), '|'), '') AS samples
+FROM pages p LEFT JOIN ({_ITEMS}) i ON i.page_id = p.page_id WHERE html IS NOT NULL""")
 def b41_preview_selector(spark, d):
     pages = table(spark, d, "pages").where("html IS NOT NULL")
-    return sections.validate_selectors(_nodes(spark, d), pages, {"items": NAV}).select("page_id", "matches", "samples")
+    out = sections.validate_selectors(_nodes(spark, d), pages, {"items": NAV})
+    return out.select("page_id", "matches", F.coalesce(F.array_join("samples", "|"), F.lit("")).alias("samples"))
+
+
+_TEXT = "nullif(trim(regexp_replace(" + _PLAIN + ", '\\s+', ' ', 'g')), '')"
+_FIELDS = {"title": "article > h1", "ad": "div.ad", "page_title": "head > title", "top": "body > article > h1", "charset": "head > meta[charset]", "script": "head > script"} | {f"item_{k}": f"nav ul li:nth-of-type({k}) a[href]" for k in range(1, 15)}
+_FOUND = {"title": "<h1>(.*?)</h1>", "ad": '<div class="ad">(.*?)</div>', "page_title": "<title>(.*?)</title>", "top": "<h1>(.*?)</h1>"}
+
+
+def _direct_sql() -> str:
+    texts = [f"{_TEXT.replace('x,', f'regexp_extract(html, {chr(39)}(?s){p}{chr(39)}, 1),', 1)} AS {f}" for f, p in _FOUND.items()]
+    items = [f"(SELECT {_TEXT} FROM (SELECT l[{k}] AS x) t) AS item_{k}" for k in range(1, 15)]
+    return f"SELECT page_id, {', '.join(texts)}, NULL::VARCHAR AS charset, NULL::VARCHAR AS script, {', '.join(items)} FROM (SELECT p.page_id, html, l FROM pages p JOIN ({_ITEMS}) i ON i.page_id = p.page_id) z"
+
+
+@q(_direct_sql())
+def b6_extract_direct(spark, d):
+    """Twenty fields, two of them elements without text."""
+    return extract.extract_direct(_nodes(spark, d), _FIELDS)

@@ -310,7 +310,8 @@ def w4_prune(spark, d):
     return merge.prune(rows.select("id", "source_url", "source_partner"), seen).select("id", "gone")
 
 
-@q("""SELECT i.source_url, i.ord, NOT EXISTS (SELECT 1 FROM current_v c WHERE c.source_url = i.source_url) AS accepted FROM incoming_v i""")
+@q("""SELECT i.source_url, i.ord, n = 1 AND NOT EXISTS (SELECT 1 FROM current_v c WHERE c.source_url = i.source_url) AS accepted
+FROM (SELECT *, row_number() OVER (PARTITION BY source_url ORDER BY ord) AS n FROM incoming_v) i""")
 def w6_insert_unique(spark, d):
     ok, bad = merge.insert_unique(view(spark, d, "current_v"), view(spark, d, "incoming_v").select("source_url", "ord"))
     return ok.withColumn("accepted", F.lit(True)).unionByName(bad.withColumn("accepted", F.lit(False)))
@@ -321,7 +322,7 @@ def j10_cascade(spark, d):
     return merge.delete(view(spark, d, "media_v"), view(spark, d, "listings_v").where("typology = 'T0'"), "listing_id")
 
 
-_RESULTS = "SELECT o_orderkey AS listing_id, CASE WHEN o_orderkey % 3 = 0 THEN 'failed' ELSE 'published' END AS status, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey + 2000 END AS remote_id, concat('e', CAST(o_orderkey % 5 AS STRING)) AS error FROM {orders} WHERE o_orderkey % 6 < 2"
+_RESULTS = "SELECT o_orderkey AS listing_id, CASE WHEN o_orderkey % 3 = 0 THEN 'failed' ELSE 'published' END AS status, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey + 2000 END AS remote_id, concat('e', CAST(o_orderkey % 5 AS STRING)) AS error FROM {orders} WHERE o_orderpriority < '3'"
 
 
 @q(f"""SELECT coalesce(g.listing_id, r.listing_id) AS listing_id, g.partner_id, coalesce(r.remote_id, g.remote_id) AS remote_id, coalesce(r.status, g.status) AS status, CASE WHEN r.status = 'failed' THEN r.error END AS last_error
@@ -385,12 +386,6 @@ def b1_dom_nodes(spark, d):
     return extract.dom_nodes(table(spark, d, "pages")).groupBy("page_id", "tag").agg(F.count("*").alias("n"), F.max("depth").alias("depth"))
 
 
-@q()
-def b6_extract_direct(spark, d):
-    nodes = extract.dom_nodes(table(spark, d, "pages"))
-    return extract.extract_direct(nodes, {"title": "article > h1", "ad": "div.ad", "link": "nav ul li a[href]"})
-
-
 # --- streams and their batch twins --------------------------------------------------------------------------------
 
 

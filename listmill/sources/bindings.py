@@ -40,18 +40,18 @@ FROM (SELECT DISTINCT lower(c_mktsegment) AS key FROM {customer} UNION ALL SELEC
     "jobs_v": """SELECT o.o_orderkey AS job_id, lower(c.c_mktsegment) AS site_key,
  CASE o.o_orderstatus WHEN 'P' THEN 'running' WHEN 'O' THEN 'completed' ELSE 'failed' END AS status,
  CAST(o.o_orderdate AS DATE) AS created_at, CAST(o.o_orderkey % 37 AS INT) AS listings_found, CAST(o.o_orderkey % 31 AS INT) AS listings_scraped
-FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey WHERE o.o_orderkey % 10 = 1""",
+FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey""",
     "ledger_v": """SELECT o_orderkey AS listing_id, concat('R', CAST(o_orderkey % 9000 AS STRING)) AS partner_id, o_orderkey + 1000 AS remote_id,
  CASE o_orderkey % 16 WHEN 0 THEN 'published' WHEN 4 THEN 'updated' WHEN 8 THEN 'failed' ELSE 'pending' END AS status
-FROM {orders} WHERE o_orderkey % 4 = 0""",
+FROM {orders} WHERE o_orderstatus <> 'O'""",
     "crm_v": """SELECT concat('R', CAST(k AS STRING)) AS reference, CASE WHEN k % 15 = 0 THEN k + 5000 ELSE k + 1000 END AS property_id
-FROM (SELECT o_orderkey AS k FROM {orders} WHERE o_orderkey % 5 = 0) x""",
+FROM (SELECT o_orderkey AS k FROM {orders} WHERE o_orderpriority <> '5-LOW') x""",
     "media_v": """SELECT l_orderkey AS listing_id, concat('https://img.test/', CAST(l_partkey AS STRING), '.jpg') AS url,
  CASE WHEN l_linenumber = 7 THEN NULL ELSE CAST(l_linenumber AS INT) END AS position FROM {lineitem}""",
     "prices_v": """SELECT l_partkey AS listing_id, CAST(l_shipdate AS DATE) AS recorded_at, l_orderkey * 10 + l_linenumber AS seq, CAST(l_extendedprice AS DECIMAL(12,2)) AS price_amount FROM {lineitem}""",
     "incoming_v": """SELECT concat('https://ex.test/p/', CAST(o_orderkey % 14000 + CASE WHEN o_orderkey % 4 = 1 THEN 7000 ELSE 0 END AS STRING)) AS source_url, o_orderkey AS ord,
  CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE concat('New ', o_orderpriority) END AS title,
- CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE 2 * CAST(o_totalprice AS DECIMAL(12,2)) END AS price_amount FROM {orders} WHERE o_orderkey % 4 < 2""",
+ CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE 2 * CAST(o_totalprice AS DECIMAL(12,2)) END AS price_amount FROM {orders} WHERE o_orderstatus <> 'F'""",
     "current_v": """SELECT concat('https://ex.test/p/', CAST(o_orderkey % 14000 AS STRING)) AS source_url, min(o_orderkey) AS id, min(o_orderpriority) AS title,
  min(CAST(o_totalprice AS DECIMAL(12,2))) AS price_amount FROM {orders} GROUP BY 1""",
     "events_v": """SELECT user_id AS job_id, CAST(ts AS TIMESTAMP) AS ts, event_id, CASE event_type WHEN 'view' THEN 'page' WHEN 'click' THEN 'found'

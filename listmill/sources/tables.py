@@ -28,12 +28,14 @@ def sitemap_urls(sitemaps: DataFrame, pattern: str | None = None) -> DataFrame:
     return urls.where(F.col("url").rlike(pattern)) if pattern else urls
 
 
-def expand_sitemaps(sitemaps: DataFrame, roots: DataFrame, depth: int = 5) -> DataFrame:
-    """sitemaps(sitemap, xml) reachable from roots(sitemap) through sitemap indexes, at most `depth` levels down."""
-    children = sitemaps.select("sitemap", F.explode(F.expr(r"regexp_extract_all(xml, '<sitemap>(?s:.*?)<loc>\\s*([^<]*?)\\s*</loc>', 1)")).alias("child"))
-    seen = level = roots.select("sitemap").distinct()
-    for _ in range(depth):
-        level = level.join(children, "sitemap").select(F.col("child").alias("sitemap")).distinct().join(seen, "sitemap", "left_anti")
+def expand_sitemaps(sitemaps: DataFrame, roots: DataFrame) -> DataFrame:
+    """sitemaps(sitemap, xml) reachable from roots(sitemap) through sitemap indexes, level by level until one brings nothing new."""
+    loc = r"regexp_extract_all(xml, '<sitemap>(?s:.*?)<loc>\\s*([^<]*?)\\s*</loc>', 1)"
+    children = written(sitemaps.select("sitemap", F.explode(F.expr(loc)).alias("child")))
+    seen = level = written(roots.select("sitemap").distinct())
+    while not level.isEmpty():
+        found = level.join(children, "sitemap").select(F.col("child").alias("sitemap")).distinct()
+        level = written(found.join(seen, "sitemap", "left_anti"))
         seen = seen.unionByName(level)
     return sitemaps.join(seen, "sitemap", "left_semi")
 
@@ -66,6 +68,26 @@ def export_rows(listings: DataFrame) -> DataFrame:
     return listings.select(*map(plain, listings.columns))
 
 
+def export_feed(listings: DataFrame, most: int = 5000) -> DataFrame:
+    """Listings that passed the filters as export rows, newest first; an error beyond `most`."""
+    return export_rows(guard_rows(listings, most)).orderBy(F.col("created_at").desc_nulls_first(), "id")
+
+
+def crm_requests(payloads: DataFrame, ledger: DataFrame) -> DataFrame:
+    """payloads(id, payload) as one request a listing: create or update, images and translations apart from the property."""
+    own = ledger.groupBy(F.col("listing_id").alias("id")).agg(F.max("remote_id").alias("remote_id"))
+    part = lambda k: F.get_json_object("payload", f"$.{k}")
+    body = F.from_json("payload", "map<string,string>")
+    rest = F.to_json(F.map_filter(body, lambda k, v: ~k.isin("images", "translations")))
+    rows = payloads.select("id", "payload").join(own, "id", "left")
+    return rows.select("id", F.when(F.col("remote_id").isNull(), "create").otherwise("update").alias("action"), "remote_id", rest.alias("property"), part("images").alias("images"), part("translations").alias("translations"))
+
+
+def write_requests(requests: DataFrame, path: str) -> None:
+    """One JSON line for each request."""
+    write_json(requests, path)
+
+
 def guard_rows(df: DataFrame, most: int = 5000) -> DataFrame:
     """df, or an error if it has more than `most` rows; reads one row beyond the cap."""
     if df.limit(most + 1).count() > most:
@@ -84,7 +106,10 @@ def write_json(df: DataFrame, path: str) -> None:
 def written(df: DataFrame) -> DataFrame:
     """`df` written once as Parquet in the shared folder that spark.checkpoint.dir names (a local one where unset) and read back."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-written-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="spark-written-")
+        spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
