@@ -119,17 +119,17 @@ def _found(text: Column, kind: str) -> tuple[Column, Column]:
 
 
 def _located(kind: str) -> Column:
-    """(kind, start, v) of the matches of a kind."""
+    """(kind, start, v) of the matches of a kind: one fold over gaps and matches sums their lengths."""
     matches, gaps = F.col(f"_m_{kind}"), F.col(f"_g_{kind}")
+    sizes = F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m")))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
 
-    def total(a: Column) -> Column:
-        return F.aggregate(F.transform(a, F.length), F.lit(0), lambda s, x: s + x)
+    def step(a: Column, x: Column) -> Column:
+        start = a["at"] + x["g"]
+        return F.struct((start + x["m"]).alias("at"), F.array_append(a["starts"], start).alias("starts"))
 
-    def one(v: Column, i: Column) -> Column:
-        start = total(F.slice(gaps, 1, i + 1)) + total(F.slice(matches, 1, i))
-        return F.struct(F.lit(KINDS.index(kind)).alias("kind"), start.alias("start"), v.alias("v"))
-
-    return F.transform(matches, one)
+    starts = F.aggregate(sizes, none, step, lambda a: a["starts"])
+    return F.zip_with(starts, matches, lambda start, v: F.struct(F.lit(KINDS.index(kind)).alias("kind"), start.alias("start"), v.alias("v")))
 
 
 def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -289,12 +289,14 @@ def find(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, counts of the base kinds, base_sha256 and all spans as text."""
     df = spans(docs.select("doc_id", "text"), model or fit(docs))
     counts = map(_count, KINDS[:BASE])
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), *counts, F.sha2(listed("base").cast("binary"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), *counts, F.sha2(listed("base").cast("binary"), 256).alias("base_sha256"), listed("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def redact(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """docs with every span in `text` replaced by its kind in brackets; overlapping spans are replaced together, named by the first."""
-    df = spans(docs, model or fit(docs))
+    # the caller's columns go along in one, so that no name of theirs meets one of ours
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "text")
+    df = spans(own, model or fit(docs))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(a: Column, s: Column) -> Column:
@@ -303,4 +305,4 @@ def redact(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     done = F.aggregate("spans", start, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
     text = F.when(F.col("text").isNotNull() & (F.size("spans") > 0), done).otherwise(F.col("text"))
-    return df.select(*[F.col(c) if c != "text" else text.alias("text") for c in docs.columns])
+    return df.select(*[F.col(f"doc.`{c}`") if c != "text" else text.alias("text") for c in docs.columns])

@@ -20,12 +20,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import text_or_empty, written
+from .shared import broadcast_if_few, text_or_empty, written
 
-#: Partial partitions that one task combines.
+#: Partial partitions that one task combines, about.
 FAN = 256
 #: Groups that one partial partition is made from at most.
 GROUPS_AT_ONCE = 50_000
+#: Groups with more than this part of all rows are joined by broadcast; there are fewer than HOT of them.
+HOT = 1024
 #: Ranges of hashed doc_id within which slots are counted.
 SLOT_RANGES = 1024
 
@@ -91,7 +93,7 @@ def _first_level(units: DataFrame, k: int) -> DataFrame:
 
 
 def _combine(sums: DataFrame, k: int) -> DataFrame:
-    """sums(part, bundle, bytes, up) -> part, bundle, up, to: every FAN partial partitions become the one named up."""
+    """sums(part, bundle, bytes, up) -> part, bundle, up, to: partial partitions of one `up` become the one named so."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(zip(*(table[c].to_pylist() for c in ("part", "bundle", "bytes")), strict=True))
@@ -117,8 +119,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16) -> DataFrame:
         F.unhex(F.md5(text_or_empty().cast("binary"))).alias("g"),
     )
     rows = written(rows)
-    groups = rows.groupBy("g").agg(F.sum("size").alias("bytes"))
-    total = rows.agg(F.sum("size")).first()[0] or 0
+    groups = written(rows.groupBy("g").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")))
+    total, count = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     # fewer than `shards` groups can be larger than a fair share
     large = groups.where(F.col("bytes") * shards > total).collect()
     chunk = F.lit(0)
@@ -128,19 +130,22 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16) -> DataFrame:
     rows = rows.withColumn("chunk", chunk)
     units = written(_first_level(rows.groupBy("g", "chunk").agg(F.sum("size").alias("bytes")), shards))
 
-    sums = units.groupBy("part", "bundle").agg(F.sum("bytes").alias("bytes"))
-    parts = sums.select("part").distinct()
+    sums = written(units.groupBy("part", "bundle").agg(F.sum("bytes").alias("bytes")))
     path = units.select("g", "chunk", "part", "bundle")
     while True:
-        # consecutive numbers for the partial partitions: a short list, one row for each task of the level below
-        numbered = written(parts.select("part", (F.row_number().over(Window.orderBy("part")) - 1).alias("n")))
-        level = written(_combine(sums.join(F.broadcast(numbered), "part").select("part", "bundle", "bytes", F.floor(F.col("n") / FAN).cast("long").alias("up")), shards))
-        path = path.join(F.broadcast(level), ["part", "bundle"]).select("g", "chunk", F.col("up").alias("part"), F.col("to").alias("bundle"))
-        if numbered.count() <= FAN:
+        teams = max(1, -(-sums.select("part").distinct().count() // FAN))
+        level = written(_combine(sums.withColumn("up", F.pmod(F.xxhash64("part"), F.lit(teams)).cast("long")), shards))
+        step = broadcast_if_few(level)
+        path = path.join(step, ["part", "bundle"]).select("g", "chunk", F.col("up").alias("part"), F.col("to").alias("bundle"))
+        if teams == 1:
             break
-        sums = sums.join(level, ["part", "bundle"]).groupBy(F.col("up").alias("part"), F.col("to").alias("bundle")).agg(F.sum("bytes").alias("bytes"))
-        parts = sums.select("part").distinct()
-    placed = rows.join(path, ["g", "chunk"]).select("doc_id", "size", "text_crc32", F.col("bundle").alias("shard"))
+        sums = written(sums.join(step, ["part", "bundle"]).groupBy(F.col("up").alias("part"), F.col("to").alias("bundle")).agg(F.sum("bytes").alias("bytes")))
+    # rows of one text may be a large share of all: those of the at most HOT largest groups stay where they are
+    path = written(path)
+    hot = F.broadcast(groups.where(F.col("n") * HOT > count).select("g"))
+    few = F.broadcast(path.join(hot, "g", "left_semi"))  # HOT groups, in at most 2 * shards + 1 pieces each
+    placed = rows.join(hot, "g", "left_semi").join(few, ["g", "chunk"]).unionByName(rows.join(hot, "g", "left_anti").join(path, ["g", "chunk"]))
+    placed = placed.select("doc_id", "size", "text_crc32", F.col("bundle").alias("shard"))
     return _slots(written(placed))
 
 

@@ -217,6 +217,15 @@ def test_pii(spark):
     assert pii.find(extra.limit(0)).count() == 0
 
 
+def test_pii_keeps_columns_of_any_name_and_takes_many_matches(spark):
+    many = " ".join(f"u{i}@ex{i % 7}.org" for i in range(3000))
+    docs = spark.createDataFrame([(1, "a@b.c", "mine", "his", "x"), (2, many, "mine", "his", "x")], "doc_id long, text string, base string, spans string, _found string")
+    done = {r["doc_id"]: r for r in pii.redact(docs, pii.Model()).collect()}
+    assert done[1].asDict() == {"doc_id": 1, "text": "[EMAIL]", "base": "mine", "spans": "his", "_found": "x"}
+    assert done[2]["text"] == " ".join(["[EMAIL]"] * 3000)
+    assert [r["n_email"] for r in pii.find(docs, pii.Model()).orderBy("doc_id").collect()] == [1, 3000]
+
+
 def test_quality_on_held_out_labels(spark):
     sf = DATA.replace("sf0.001", "sf0.01")
     docs, labels = read(spark, sf, "documents"), read(spark, sf, "labels")

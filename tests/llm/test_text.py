@@ -134,6 +134,20 @@ def test_shards(spark):
     assert sharding.shard_by_bytes(docs.limit(0)).count() == 0
 
 
+def test_shards_in_levels_keep_every_row(spark, monkeypatch):
+    """Several levels and hot groups: sizes and checksums of all rows against plain Python."""
+    monkeypatch.setattr(sharding, "FAN", 2)
+    monkeypatch.setattr(sharding, "GROUPS_AT_ONCE", 20)
+    monkeypatch.setattr(sharding, "HOT", 4)
+    rows = [(i, f"é{i} " * (i % 23 + 1), "en", "", "", "") for i in range(400)] + [(1000 + i, "", "en", "", "", "") for i in range(300)]
+    out = sharding.shard_by_bytes(spark.createDataFrame(rows, DOCS)).collect()
+    want = sorted((i, len(t.encode()) + 1, zlib.crc32(t.encode())) for i, t, *_ in rows)
+    assert sorted((r["doc_id"], r["size"], r["text_crc32"]) for r in out) == want
+    assert len({r["shard"] for r in out if r["doc_id"] >= 1000}) == 1
+    size = [sum(r["size"] for r in out if r["shard"] == s) for s in range(16)]
+    assert max(size) - min(size) <= 0.1 * max(size)
+
+
 def test_differencing_is_complete_and_even():
     rng = np.random.default_rng(5)
     sizes = rng.integers(1, 1000, 500).tolist()
