@@ -1,7 +1,8 @@
 """Nearest neighbours and top-k inner products of a stated query set against all rows of an embeddings table.
 
-Rows and queries are cut into blocks; each (query block, data block) pair is one small task group, and the winners of
-each query are merged by a window over (number of data blocks x k) short rows. Nothing is sent to the driver but counts.
+Rows are dealt once into blocks: the leaves of a kd-tree over projections, or the buckets of length, in parts of about
+DATA_BLOCK rows. A query first searches one block; with the bound found there it is sent only to the blocks that can still
+hold something better, and carries its bound along. Rows are never copied for queries. A window merges the winners.
 
 Vectors that are null, empty or hold a null or non-finite component take no part; the nearest-neighbour search also
 leaves out zero vectors. Vectors of different dimension are never compared. Ties go to the smaller vec_id; a query's own
@@ -11,23 +12,27 @@ row is no candidate. A vec_id given twice is two rows. Extra columns are ignored
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a data block and queries of a query block, about.
-DATA_BLOCK, QUERY_BLOCK = 1024, 1024
+from .shared import broadcast_if_few, written
+
+#: Rows of a block, about.
+DATA_BLOCK = 1024
+#: Vectors on which the kd-tree is fitted, at most, and its leaves; every vector is put into a leaf.
+SAMPLE, LEAVES = 65_536, 4096
 #: Dimensions of the stable projection (even, for the closed form of the chi-square distribution).
 PROJECTED = 8
 #: Probability with which a nearer point that is not yet seen would have had to show up already.
 CONFIDENCE = 0.99
-LEAF = 32
-#: Width of a length bucket, as a factor.
-LENGTH_STEP = 1.05
-#: Local cosine threshold from which one coordinate prunes better than length alone.
+#: Width of a length bucket, as a factor; shorter vectors than the longest by a factor of LENGTH_STEP ** -LENGTHS share the last.
+LENGTH_STEP, LENGTHS = 1.05, 400
+#: Local cosine threshold from which one coordinate prunes best; below, half of the coordinates do.
 COSINE_FOR_COORDINATE = 0.7
 
 
@@ -46,30 +51,45 @@ def _matrix(table: pa.Table) -> np.ndarray:
     return flat.reshape(table.num_rows, -1)
 
 
-def by_blocks(queries: DataFrame, data: DataFrame, block: Column, blocks: DataFrame, search: Callable, score_type: str, k: int) -> DataFrame:
-    """The k best of each query over all data blocks; `search(query ids, queries, ids, vectors)` gives columns
-    (query_id, vec_id, score, order), best first by (order, vec_id).
+def _searched(queries: DataFrame, data: DataFrame, search: Callable, kind: str) -> DataFrame:
+    """Winners (query_id, vec_id, score, order) of each query in each block it is sent to.
 
-    blocks: one row (dim, block) for each data block. A query block meets each block of its dimension.
+    queries(block, part, vec_id, v, bound, far), data(block, part, vec_id, v); `search(query ids, queries, bounds, far,
+    ids, vectors)` gives the columns, best first by (order, vec_id).
     """
-    nq = max(1, -(-queries.count() // QUERY_BLOCK))
-    q = queries.select("vec_id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(nq)).alias("q")).join(blocks, "dim")
-    d = data.select("vec_id", "v", F.size("v").alias("dim"), block.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))).alias("q"))
-    schema = f"query_id long, vec_id long, score {score_type}, order {score_type}"
+    arrow = pa.int64() if kind == "long" else pa.float64()
 
     def pair(left: pa.Table, right: pa.Table) -> pa.Table:
-        kind = pa.int64() if score_type == "long" else pa.float64()
-        if not left.num_rows or not right.num_rows:
-            cols = [[], [], [], []]
-        else:
-            cols = search(left["vec_id"].to_numpy(), _matrix(left), right["vec_id"].to_numpy(), _matrix(right))
-        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), kind, kind), strict=True)], names=["query_id", "vec_id", "score", "order"])
-
-    key = ("dim", "block", "q")
-    q = q.select(*(F.col(c).alias(c) for c in ("vec_id", "v", *key)))  # names of its own: both sides may stem from one table
-    found = q.groupBy(*key).cogroup(d.groupBy(*key)).applyInArrow(pair, schema)
+        cols = [[], [], [], []]
+        if left.num_rows and right.num_rows:
+            cols = search(left["vec_id"].to_numpy(), _matrix(left), left["bound"].to_numpy(), left["far"].to_numpy(), right["vec_id"].to_numpy(), _matrix(right))
+        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), arrow, arrow), strict=True)], names=["query_id", "vec_id", "score", "order"])
+
+    names = ("block", "part", "vec_id", "v", "bound", "far")
+    queries = queries.select(*(F.col(c).alias(c) for c in names))  # names of its own: both sides may stem from one table
+    return queries.groupBy("block", "part").cogroup(data.groupBy("block", "part")).applyInArrow(pair, f"query_id long, vec_id long, score {kind}, order {kind}")
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("order", "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _parted(data: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """data(block, ...) with `part`, and the blocks (block, parts): parts of about DATA_BLOCK rows by hash, however many rows are alike."""
+    blocks = written(data.groupBy("block").agg(F.ceil(F.count("*") / DATA_BLOCK).alias("parts")))
+    return data.join(broadcast_if_few(blocks), "block").withColumn("part", F.pmod(F.xxhash64("vec_id"), "parts")).drop("parts"), blocks
+
+
+def _two_rounds(first: DataFrame, data: DataFrame, ways: Callable, search: Callable, kind: str, k: int) -> DataFrame:
+    """first: queries with the block and part they start in; `ways(queries)`: with `block` of every block that their bound leaves, and `far`."""
+    start = written(first.withColumns({"bound": F.lit(None).cast("double"), "far": F.lit(0.0)}))
+    found = written(_searched(start, data, search, kind))
+    bound = found.groupBy("query_id").agg(F.when(F.count("*") >= k, F.max("order").cast("double")).alias("bound"))
+    q = start.drop("bound", "far").join(bound, F.col("vec_id") == F.col("query_id"), "left").drop("query_id")
+    rest = ways(q.withColumnsRenamed({"block": "home", "part": "home_part"})).where("block <> home OR part <> home_part")
+    out = found.unionByName(_searched(rest, data, search, kind))
+    return _best(out, k).select("query_id", "rank", "vec_id", "score")
 
 
 # --- nearest neighbours -------------------------------------------------------------------------------------------
@@ -92,66 +112,122 @@ def chi_square_quantile(p: float, m: int) -> float:
     return high
 
 
-def kd_leaves(points: np.ndarray) -> list[np.ndarray]:
-    """Row numbers of the leaves of a kd-tree: halves at the median of the widest coordinate, until LEAF rows are left."""
-    leaves, stack = [], [np.arange(len(points))]
-    while stack:
-        rows = stack.pop()
-        if len(rows) <= LEAF:
-            leaves.append(rows)
-            continue
-        part = points[rows]
-        axis = int(np.argmax(part.max(0) - part.min(0)))
-        half = np.argpartition(part[:, axis], len(rows) // 2)
-        stack += [rows[half[: len(rows) // 2]], rows[half[len(rows) // 2 :]]]
-    return leaves
+def kd_tree(points: np.ndarray, leaves: int) -> list[tuple[int, float]]:
+    """(axis, threshold) of the inner nodes of a kd-tree in heap order: halves at the median of the widest coordinate."""
+    out, level = [], [np.arange(len(points))]
+    while len(level) < leaves:
+        after = []
+        for rows in level:
+            part = points[rows]
+            axis = int(np.argmax(np.ptp(part, axis=0))) if len(rows) else 0
+            at = float(np.median(part[:, axis])) if len(rows) else 0.0
+            out.append((axis, at))
+            after += [rows[part[:, axis] <= at], rows[part[:, axis] > at]]
+        level = after
+    return out
+
+
+def leaf_of(points: np.ndarray, tree: list[tuple[int, float]]) -> np.ndarray:
+    """Leaf of each point."""
+    node = np.zeros(len(points), np.int64)
+    axes, at = np.array([t[0] for t in tree], np.int64), np.array([t[1] for t in tree])
+    while len(tree) and node[:1].size and node[0] < len(tree):
+        node = 2 * node + 1 + (points[np.arange(len(points)), axes[node]] > at[node])
+    return node - len(tree)
+
+
+def _directions(dim: int) -> np.ndarray:
+    return np.random.default_rng(7).standard_normal((dim, PROJECTED))
+
+
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows of one dimension at a time, with their vectors."""
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        sizes = np.asarray(pc.list_value_length(table["v"]))
+        for dim in np.unique(sizes).tolist():
+            some = table.filter(pa.array(sizes == dim))
+            yield some, _matrix(some)
 
 
 def nearest(queries: DataFrame, data: DataFrame, k: int = 10, confidence: float = CONFIDENCE) -> DataFrame:
     """query_id, rank, vec_id, score (Euclidean distance): approximate nearest neighbours.
 
-    Vectors are projected to PROJECTED Gaussian (2-stable) directions and kept in a kd-tree for each block. A query opens
-    leaves in order of projected distance and verifies their points on the original vectors. If a point lies within the
-    distance d of the k-th best so far, its squared projected distance over d^2 is chi-square distributed; the query ends
-    once the next leaf is so far off that this would have had probability below 1 - confidence.
+    Vectors are projected to PROJECTED Gaussian (2-stable) directions, which a kd-tree indexes: it is fitted on at most
+    SAMPLE vectors and holds all. In a leaf a query takes its projected neighbours one after another, nearest first, and
+    verifies them on the original vectors. If a point lies within the distance d of the k-th best so far, its squared
+    projected distance over d^2 is chi-square distributed; the query ends, and a leaf is left out, once the next projected
+    distance is so large that this would have had probability below 1 - confidence. The k-th best distance of the query's
+    own leaf goes along to all others.
     """
     data, queries = usable(data, zero=False), usable(queries, zero=False)
-    blocks = max(1, -(-data.count() // DATA_BLOCK))
     limit = chi_square_quantile(confidence, PROJECTED)
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks))
-    names = data.select(F.size("v").alias("dim"), block.alias("block")).distinct()
-
-    def search(query_ids, queries, ids, vectors):
-        directions = np.random.default_rng(7).standard_normal((vectors.shape[1], PROJECTED))
-        low_q, low = queries @ directions, vectors @ directions
-        leaves = kd_leaves(low)
-        lower = np.stack([low[x].min(0) for x in leaves])
-        upper = np.stack([low[x].max(0) for x in leaves])
+    data = written(data)
+    total = data.count()
+    leaves = 1 << max(0, min(LEAVES, -(-total // DATA_BLOCK)) - 1).bit_length()
+    sample: dict[int, list] = {}
+    for row in data.select("v").orderBy(F.xxhash64("vec_id")).limit(SAMPLE).toLocalIterator() if leaves > 1 else ():  # bounded by SAMPLE
+        sample.setdefault(len(row[0]), []).append(np.array(row[0]) @ _directions(len(row[0])))
+    trees = {dim: kd_tree(np.stack(points), leaves) for dim, points in sample.items()}
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, v in _batches(batches):
+            low = v @ _directions(v.shape[1])
+            block = v.shape[1] * LEAVES + leaf_of(low, trees.get(v.shape[1], []))
+            table = table.append_column("block", pa.array(block)).append_column("low", pa.array(list(low), pa.list_(pa.float64())))
+            yield from table.to_batches()
+
+    schema = "vec_id long, v array<double>, block long, low array<double>"
+    placed = written(data.mapInArrow(place, schema))
+    rows, blocks = _parted(placed.select("vec_id", "v", "block"))
+    ends = [f(F.col("low")[i]).alias(f"{n}{i}") for n, f in (("a", F.min), ("b", F.max)) for i in range(PROJECTED)]
+    # a row for each leaf of each dimension of the sample, at most LEAVES a dimension
+    boxes = placed.groupBy("block").agg(*ends).join(blocks, "block").orderBy("block").toPandas()
+    names, parts = boxes["block"].to_numpy(), boxes["parts"].to_numpy()
+    lower, upper = (boxes[[f"{n}{i}" for i in range(PROJECTED)]].to_numpy() for n in "ab")
+
+    def ways(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, v in _batches(batches):
+            own = names // LEAVES == v.shape[1]
+            bound = np.nan_to_num(table["bound"].to_numpy(), nan=np.inf)
+            low = v @ _directions(v.shape[1])
+            for i in range(table.num_rows):
+                away = (np.maximum(0, np.maximum(lower[own] - low[i], low[i] - upper[own])) ** 2).sum(1)
+                hit = np.flatnonzero(away <= limit * bound[i] ** 2)
+                block, n = names[own][hit], parts[own][hit]
+                one = table.slice(i, 1).take(pa.array(np.zeros(int(n.sum()), np.int64)))
+                one = one.append_column("block", pa.array(np.repeat(block, n))).append_column("part", pa.array(np.concatenate([np.arange(x) for x in n]) if len(n) else [], pa.int64()))
+                yield from one.append_column("far", pa.array(np.repeat(away[hit], n))).to_batches()
+
+    def search(query_ids, queries, bounds, far, ids, vectors):
+        low_q, low = queries @ _directions(vectors.shape[1]), vectors @ _directions(vectors.shape[1])
         out = []
-        for query, q, p in zip(query_ids.tolist(), queries, low_q, strict=True):
-            away = (np.maximum(0, np.maximum(lower - p, p - upper)) ** 2).sum(1)
+        for query, q, p, bound in zip(query_ids.tolist(), queries, low_q, np.nan_to_num(bounds, nan=np.inf).tolist(), strict=True):
+            away = ((low - p) ** 2).sum(1)
+            nearby, at, step = np.argsort(away, kind="stable"), 0, k
             best_d, best_i = np.empty(0), np.empty(0, np.int64)
-            nearby, at, step = np.argsort(away, kind="stable"), 0, 2
             while at < len(nearby):
-                some = nearby[at : at + step]  # a few leaves first, then twice as many each time
-                if len(best_d) >= k:
-                    some = some[away[some] <= limit * best_d[k - 1] ** 2]
-                    if not len(some):
-                        break
-                at, step = at + step, 2 * step
-                rows = np.concatenate([leaves[leaf] for leaf in some.tolist()])
-                d = np.sqrt(((vectors[rows] - q) ** 2).sum(1))
-                keep = ids[rows] != query
-                if len(best_d) >= k:
-                    keep &= d <= best_d[k - 1]
-                d, i = np.concatenate((best_d, d[keep])), np.concatenate((best_i, ids[rows[keep]]))
+                some = nearby[at : at + step]  # a few neighbours at a time, then some more
+                some = some[away[some] <= limit * bound**2]
+                if not len(some):
+                    break
+                at, step = at + step, min(2 * step, 64)
+                d = np.sqrt(((vectors[some] - q) ** 2).sum(1))
+                keep = (ids[some] != query) & (d <= bound)
+                d, i = np.concatenate((best_d, d[keep])), np.concatenate((best_i, ids[some[keep]]))
                 first = np.lexsort((i, d))[:k]
                 best_d, best_i = d[first], i[first]
+                if len(best_d) >= k:
+                    bound = min(bound, float(best_d[k - 1]))
             out.append((np.full(len(best_d), query), best_i, best_d))
         query_ids, ids, d = (np.concatenate(c) for c in zip(*out, strict=True))
         return query_ids, ids, d, d
 
-    return by_blocks(queries, data, block, names, search, "double", k)
+    first = queries.mapInArrow(place, schema).drop("low").join(broadcast_if_few(blocks), "block", "left")
+    first = first.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.coalesce("parts", F.lit(1)))).drop("parts")
+    sent = "vec_id long, v array<double>, home long, home_part long, bound double, block long, part long, far double"
+    go = lambda q: q.select("vec_id", "v", "home", "home_part", "bound").mapInArrow(ways, sent)
+    return _two_rounds(first, rows, go, search, "double", k)
 
 
 # --- top-k inner products -----------------------------------------------------------------------------------------
@@ -165,59 +241,56 @@ def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
 def top_products(queries: DataFrame, data: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score (long): the exact k largest inner products of vectors of whole numbers.
 
-    Vectors are grouped by length; a block holds vectors of one length bucket. With t the k-th best product so far, a
-    bucket of greatest length l can only matter if t <= |q| l; its local cosine threshold t / (|q| l) decides whether its
-    rows are pruned by the query's largest coordinate (high thresholds) or by length (low ones). What is left is verified.
-    Sums must stay below 2^63.
+    Vectors are grouped by length; a block holds vectors of one length bucket. A query starts among the longest vectors;
+    with t the k-th best product there, it is sent on only to buckets of greatest length l with t <= |q| l. The local
+    cosine threshold t / (|q| l) of a bucket then decides how its rows are pruned: by length and the query's largest
+    coordinate (high thresholds), or by the products of the query's larger half of coordinates and what the rest of
+    both can add at most. What is left is verified. Sums must stay below 2^63.
     """
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    bucket = F.when(norm > 0, F.floor(F.log(norm) / math.log(LENGTH_STEP))).otherwise(F.lit(-1_000_000)).cast("long")
-    # at most a few thousand length buckets exist in double precision, whatever the number of rows
-    sizes = data.groupBy(F.size("v").alias("dim"), bucket.alias("bucket")).agg(F.count("*").alias("n"))
-    sizes = sizes.select("dim", "bucket", F.ceil(F.col("n") / DATA_BLOCK).alias("parts"))
-    d = data.withColumn("dim", F.size("v")).withColumn("bucket", bucket).join(F.broadcast(sizes), ["dim", "bucket"])
-    d = d.withColumn("b", F.col("bucket") * (1 << 40) + F.pmod(F.xxhash64("vec_id"), "parts"))
-    names = sizes.select("dim", "bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    names = names.select("dim", (F.col("bucket") * (1 << 40) + F.col("part")).alias("block"))
-
-    def search(query_ids, queries, ids, vectors):
+    data = written(data.select("vec_id", "v", F.size("v").alias("dim"), norm.alias("norm")))
+    longest = broadcast_if_few(written(data.groupBy("dim").agg(F.max("norm").alias("top"))))
+    step = F.least(F.floor(F.log(F.col("top") / F.col("norm")) / math.log(LENGTH_STEP)), F.lit(LENGTHS - 1))
+    bucket = F.when(F.col("norm") > 0, step).otherwise(LENGTHS - 1).cast("long")
+    placed = written(data.join(longest, "dim").select("vec_id", "v", "norm", "dim", (F.col("dim") * LENGTHS + bucket).alias("block")))
+    rows, blocks = _parted(placed.select("vec_id", "v", "block"))
+    # LENGTHS rows for each dimension at most
+    buckets = broadcast_if_few(written(placed.groupBy("block", "dim").agg(F.max("norm").alias("l")).join(blocks, "block")))
+
+    def ways(q: DataFrame) -> DataFrame:
+        q = q.withColumns({"dim": F.size("v"), "norm": norm})
+        q = q.join(buckets, "dim").where(F.col("bound").isNull() | (-F.col("bound") <= F.col("norm") * F.col("l") * (1 + 1e-9)))
+        return q.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumn("far", F.lit(0.0))
+
+    def search(query_ids, queries, bounds, far, ids, vectors):
         exact = np.abs(queries).max(initial=0) * np.abs(vectors).max(initial=0) * vectors.shape[1] < 2**53
         lengths = np.sqrt((vectors**2).sum(1))
         order = np.argsort(-lengths, kind="stable")
         ids, vectors, lengths = ids[order], vectors[order], lengths[order]
-        unit = vectors / np.maximum(lengths, 1e-300)[:, None]
-        norms = np.sqrt((queries**2).sum(1))
-        whole = vectors if exact else vectors.astype(np.int64)
-        step, out = 256, []
-        for query, q, n in zip(query_ids.tolist(), queries if exact else queries.astype(np.int64), norms, strict=True):
-            best_s, best_i = np.empty(0), np.empty(0, np.int64)
-            f = int(np.argmax(np.abs(q)))
-            for at in range(0, len(ids), step):
-                rows = np.arange(at, min(at + step, len(ids)))
-                if len(best_s) >= k and (t := float(best_s[k - 1])) > 0:
-                    reach = n * lengths[at]
-                    if t > reach * (1 + 1e-9):
-                        break  # lengths only fall from here on
-                    cosine = min(1.0, t / reach)
-                    if cosine >= COSINE_FOR_COORDINATE:
-                        u = float(q[f]) / n
-                        w = unit[rows, f]
-                        most = u * w + np.sqrt(np.maximum(0, (1 - u * u) * (1 - w * w)))  # the cosine is this at most
-                        rows = rows[most >= cosine - 1e-9]
-                    else:
-                        rows = rows[lengths[rows] * n * (1 + 1e-9) >= t]
-                    if not len(rows):
-                        continue
-                s = whole[rows] @ q
-                keep = ids[rows] != query
-                if len(best_s) >= k:
-                    keep &= s >= best_s[k - 1]
-                s, i = np.concatenate((best_s, s[keep])) if exact else np.concatenate((best_s.astype(np.int64), s[keep])), np.concatenate((best_i, ids[rows[keep]]))
-                first = np.lexsort((i, -s))[:k]
-                best_s, best_i = s[first], i[first]
-            out.append((np.full(len(best_s), query), best_i, best_s))
+        whole, square = vectors if exact else vectors.astype(np.int64), vectors**2
+        out = []
+        for query, q, bound in zip(query_ids.tolist(), queries, bounds.tolist(), strict=True):
+            n, t = float(np.sqrt((q**2).sum())), -bound if bound == bound else -math.inf
+            rows = np.arange(len(ids))
+            if t > 0 and n > 0:
+                rows = rows[lengths * n * (1 + 1e-9) >= t]
+                cosine = min(1.0, t / (n * lengths[0])) if len(rows) else 1.0
+                focus = np.argsort(-np.abs(q))[: 1 if cosine >= COSINE_FOR_COORDINATE else -(-len(q) // 2)]
+                rest_q = math.sqrt(max(0.0, n * n - float((q[focus] ** 2).sum())))
+                rest = np.sqrt(np.maximum(0, lengths[rows] ** 2 - square[np.ix_(rows, focus)].sum(1)))
+                most = vectors[np.ix_(rows, focus)] @ q[focus] + rest_q * rest
+                rows = rows[most * (1 + np.sign(most) * 1e-9) + 1e-6 >= t]
+            s = whole[rows] @ (q if exact else q.astype(np.int64))
+            keep = (ids[rows] != query) & (s >= t)
+            s, i = s[keep], ids[rows[keep]]
+            first = np.lexsort((i, -s))[:k]
+            out.append((np.full(len(first), query), i[first], s[first]))
         query_ids, ids, s = (np.concatenate(c) for c in zip(*out, strict=True))
         s = s.astype(np.int64)
         return query_ids, ids, s, -s
 
-    return by_blocks(queries, d, F.col("b"), names, search, "long", k)
+    # the longest bucket of the query's dimension, and one of its parts
+    top = buckets.groupBy("dim").agg(F.min_by("block", "block").alias("block"), F.min_by("parts", "block").alias("parts"))
+    first = queries.withColumn("dim", F.size("v")).join(broadcast_if_few(written(top)), "dim")
+    first = first.select("vec_id", "v", "block", F.pmod(F.xxhash64("vec_id"), "parts").alias("part"))
+    return _two_rounds(first, rows, ways, search, "long", k)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -10,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Spark's setting that deletes a query's shuffle files when the query has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rounds after which component labelling gives up; each round at least halves the longest chain.
 MAX_ROUNDS = 60
 #: Rows, and bytes, up to which a table is broadcast.
@@ -28,20 +29,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def written(df: DataFrame) -> DataFrame:
     """`df` written once as Parquet in the shared checkpoint folder and read back.
 
-    It cuts the lineage, so that costly Python stages run once, and survives the loss of executors.
+    It cuts the lineage, so that costly Python stages run once, and survives the loss of executors. The shuffle files that
+    the write needed are deleted when it has ended, as nothing reads them again.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets go of the shuffle files of tables that have been written meanwhile; Spark deletes them once nothing refers to them."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _bytes(kind: T.DataType, x: Column) -> Column:
     """About the bytes of a value in memory."""
     if isinstance(kind, (T.StringType, T.BinaryType)):
