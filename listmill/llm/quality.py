@@ -24,19 +24,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import broadcast_if_few, text_or_empty, written
+from .shared import broadcast_if_few, give_back, text_or_empty, written
 
 ORDER = 4
 START, END = "\x02", "\x03"
 #: Bytes of text of a scoring block, and blocks at least.
-BLOCK_BYTES, BLOCKS = 32 << 20, 32
+BLOCK_BYTES, BLOCKS = 16 << 20, 32
 #: One of so many trusted documents is held out for the limits.
 FOLDS = 5
 HIGH = 0.98
 #: Characters of median loss that are added to every document before it is held against a limit.
 PRIOR = 60
+#: Words whose scores are held at once.
+SCORED_AT_ONCE = 200_000
 #: Distinct words of a language counted before they are turned into n-grams.
-WORDS_AT_ONCE = 300_000
+WORDS_AT_ONCE = 150_000
 
 
 def grams(word: str) -> Iterator[str]:
@@ -156,6 +158,8 @@ def _ask(table: pa.Table) -> pa.Table:
         langs += [lang] * len(need)
         parts += need
     block = table["block"][0].as_py()
+    del words
+    give_back()
     return pa.table({"block": pa.array([block] * len(parts), pa.int64()), "lang": pa.array(langs, pa.string()), "g": pa.array(parts, pa.string())})
 
 
@@ -177,6 +181,8 @@ class _Scores(dict):
                 total += bow.get(s[j:i], 0.0)
             else:
                 total += self.unknown
+        if len(self) >= SCORED_AT_ONCE:
+            self.clear()
         self[word] = total
         return total
 
@@ -198,6 +204,8 @@ def _score(table: pa.Table, answers: pa.Table) -> pa.Table:
         out.append((doc, h, lang, n, None if mean is None else -mean))
     cols = list(zip(*out, strict=True)) or [[]] * 5
     kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.float64())
+    del by_lang, scores
+    give_back()
     return pa.table([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "h", "lang", "n", "loss"])
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +15,7 @@ from pyspark.sql import types as T
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rounds after which component labelling gives up; each round at least halves the longest chain.
 MAX_ROUNDS = 60
+LIBC = ctypes.CDLL(None)
 #: Rows, and bytes, up to which a table is broadcast.
 FEW, FEW_BYTES = 200_000, 16 << 20
 
@@ -46,6 +49,13 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Returns the memory that a Python task has freed to the system: its worker lives on, and idle ones add up."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(LIBC, "malloc_trim"):
+        LIBC.malloc_trim(0)
+
+
 def _bytes(kind: T.DataType, x: Column) -> Column:
     """About the bytes of a value in memory."""
     if isinstance(kind, (T.StringType, T.BinaryType)):
