@@ -178,7 +178,9 @@ def test_distances_of_many_pairs_equal_those_of_one():
     assert (lines.distances(a, b[1:] + b[:1], far // far * 20) <= 20).tolist() == [lines.edit_distance(x, y, 20) <= 20 for x, y in zip(a, b[1:] + b[:1], strict=True)]
     some = lines.letters([x.encode() for x in (*a, *b)]).view(np.uint8).astype(int).reshape(2, len(a), 32)
     assert all(d <= 2 * e for d, e in zip(np.abs(some[0] - some[1]).sum(1).tolist(), want, strict=True))
-    assert lines.alike_pairs(a, b).tolist() == [lines.alike(x, y) for x, y in zip(a, b, strict=True)]
+    most = [int((1 - lines.SIMILARITY) * max(len(x), len(y)) + 1e-9) for x, y in zip(a, b, strict=True)]
+    want = [lines.edit_distance(x, y, k) <= k for x, y, k in zip(a, b, most, strict=True)]
+    assert lines.alike_pairs(a, b).tolist() == [lines.alike(x, y) for x, y in zip(a, b, strict=True)] == want
 
 
 def test_lines_replace_columns_of_their_own_names(spark):
