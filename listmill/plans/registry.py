@@ -399,13 +399,23 @@ def r6_first_seen(spark, d):
     return streams.first_seen(view(spark, d, "events_v").withColumn("url", F.col("kind"))).select("job_id", "url")
 
 
-@q()
+#: Folds of a key's rows in order, as recursive SQL: {rows} numbers them, {start} is the state before them, {next} the state after one more.
+_FOLD = """SELECT {out} FROM (WITH RECURSIVE e AS ({rows}), s AS (SELECT key, CAST(0 AS BIGINT) AS n, CAST(NULL AS DOUBLE) AS t, CAST(NULL AS BIGINT) AS id, {start} FROM (SELECT DISTINCT key FROM e) k
+ UNION ALL SELECT s.key, e.n, e.t, e.id, {next} FROM s JOIN e ON e.key = s.key AND e.n = s.n + 1) SELECT * FROM s) x WHERE {where}"""
+_REQUESTS = "SELECT job_id AS key, CAST(floor(epoch(ts)) AS DOUBLE) AS t, event_id AS id, row_number() OVER (PARTITION BY job_id ORDER BY CAST(floor(epoch(ts)) AS DOUBLE), event_id) AS n FROM events_v"
+_HELD = "list_filter(s.held, lambda h: h > e.t - 86400)"
+_ACTIONS = "SELECT job_id AS key, CAST(NULL AS DOUBLE) AS t, event_id AS id, row_number() OVER (PARTITION BY job_id ORDER BY ts, event_id) AS n, CASE kind WHEN 'new' THEN 'start' WHEN 'error' THEN 'cancel' WHEN 'scraped' THEN 'complete' ELSE 'tick' END AS action, count(*) OVER (PARTITION BY job_id) AS of FROM events_v"
+
+
+@q(_FOLD.format(out="key, t, id, admitted", where="n > 0", rows=_REQUESTS, start="CAST([] AS DOUBLE[]) AS held, false AS admitted",
+    next=f"CASE WHEN len({_HELD}) < 2 THEN list_append({_HELD}, e.t) ELSE {_HELD} END, len({_HELD}) < 2"))
 def r3_rate_limit(spark, d):
     e = view(spark, d, "events_v").select(F.col("job_id").alias("key"), F.unix_timestamp("ts").cast("double").alias("t"), F.col("event_id").alias("id"))
     return streams.rate_limit(e, 2, 86400.0)
 
 
-@q()
+@q(_FOLD.format(out="key, t, id, hit", where="n > 0", rows=_REQUESTS, start="CAST(NULL AS DOUBLE) AS since, false AS hit",
+    next="CASE WHEN e.t - s.since < 86400 THEN s.since ELSE e.t END, coalesce(e.t - s.since < 86400, false)"))
 def r4_ttl_reuse(spark, d):
     e = view(spark, d, "events_v").select(F.col("job_id").alias("key"), F.unix_timestamp("ts").cast("double").alias("t"), F.col("event_id").alias("id"))
     return streams.ttl_reuse(e, 86400.0)
@@ -416,7 +426,16 @@ def r5_heartbeats(spark, d):
     return streams.heartbeats(view(spark, d, "events_v"), 86400).select("job_id", "event_id", "gap")
 
 
-@q()
+@q("""SELECT job_id, event_id FROM (SELECT job_id, event_id, ts, lead(ts) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS next, (SELECT max(ts) FROM events_v) - INTERVAL 10 MINUTE AS last FROM events_v) x
+ WHERE epoch_ms(coalesce(next, last)) - epoch_ms(ts) > 86400000""")
+def r5_stale(spark, d):
+    return streams.stale(view(spark, d, "events_v"), 86400).select("job_id", "event_id")
+
+
+@q(_FOLD.format(out="key AS job_id, state", where="n = of", rows=_ACTIONS, start="'pending' AS state, false AS asked, CAST(-1 AS BIGINT) AS of",
+    next="""CASE WHEN s.state = 'pending' AND e.action = 'start' THEN 'running' WHEN s.state = 'pending' AND e.action = 'cancel' THEN 'cancelled'
+ WHEN s.state = 'running' AND e.action = 'complete' THEN CASE WHEN s.asked THEN 'cancelled' ELSE 'completed' END WHEN s.state = 'running' AND e.action = 'fail' THEN 'failed' ELSE s.state END,
+ s.asked OR (s.state = 'running' AND e.action = 'cancel'), e.of"""))
 def r7_lifecycle(spark, d):
     e = view(spark, d, "events_v").select("job_id", "ts", "event_id", F.expr("CASE kind WHEN 'new' THEN 'start' WHEN 'error' THEN 'cancel' WHEN 'scraped' THEN 'complete' ELSE 'tick' END").alias("action"))
     return streams.lifecycle(e)

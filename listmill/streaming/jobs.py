@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -37,12 +37,13 @@ def first_seen(urls: DataFrame) -> DataFrame:
     return urls.withWatermark("ts", DELAY).dropDuplicatesWithinWatermark(["job_id", "url"]) if urls.isStreaming else urls.dropDuplicates(["job_id", "url"])
 
 
-def rate_limit(requests: DataFrame, most: int, seconds: float) -> DataFrame:
-    """requests(key, t, id) with `admitted`: fewer than `most` admitted in the last `seconds`; 0 turns the limit off.
+def _in_order(requests: DataFrame, step: Callable[[list[float], float], bool], name: str) -> DataFrame:
+    """requests(key, t, id) with what `step(held, t)` says of each; it keeps what it must know of a key's earlier ones in `held`.
 
-    An admission depends on earlier ones, so each key is taken in order: rows are dealt by key, sorted, and streamed
-    through a window of at most `most` times, whatever the number of a key's requests.
+    A batch deals the rows by key, sorts and streams them, so that a key of any size holds only `held`. A stream keeps `held`
+    as the key's state; it gives the same rows if a key's requests arrive in order.
     """
+    schema = f"key long, t double, id long, {name} boolean"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, held = None, []
@@ -51,36 +52,48 @@ def rate_limit(requests: DataFrame, most: int, seconds: float) -> DataFrame:
             for k, t in zip(frame["key"], frame["t"], strict=True):
                 if k != key:
                     key, held = k, []
-                while held and held[0] <= t - seconds:
-                    held.pop(0)
-                ok = most <= 0 or seconds <= 0 or len(held) < most
-                if ok and most > 0:
-                    held.append(t)
-                out.append(ok)
-            yield frame.assign(admitted=out)
+                out.append(step(held, t))
+            yield frame.assign(**{name: out})
+
+    def batch(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = list(state.get[0]) if state.exists else []
+        rows = pd.concat(list(frames)).sort_values(["t", "id"])
+        rows = rows.assign(**{name: [step(held, t) for t in rows["t"].tolist()]})
+        state.update((held,))
+        yield rows[["key", "t", "id", name]]
+
+    rows = requests.select("key", "t", "id")
+    if requests.isStreaming:
+        return rows.groupBy("key").applyInPandasWithState(batch, schema, "held array<double>", "append", GroupStateTimeout.NoTimeout)
+    return rows.repartition("key").sortWithinPartitions("key", "t", "id").mapInPandas(run, schema)
+
+
+def rate_limit(requests: DataFrame, most: int, seconds: float) -> DataFrame:
+    """requests(key, t, id) with `admitted`: fewer than `most` admitted in the last `seconds`; 0 turns the limit off."""
 
-    rows = requests.select("key", "t", "id").repartition("key").sortWithinPartitions("key", "t", "id")
-    return rows.mapInPandas(run, "key long, t double, id long, admitted boolean")
+    def step(held: list[float], t: float) -> bool:
+        if most <= 0 or seconds <= 0:
+            return True
+        while held and held[0] <= t - seconds:
+            held.pop(0)
+        if len(held) >= most:
+            return False
+        held.append(t)
+        return True
+
+    return _in_order(requests, step, "admitted")
 
 
 def ttl_reuse(requests: DataFrame, ttl: float) -> DataFrame:
     """requests(key, t, id) with `hit`: fetched less than ttl ago; a miss fetches and restarts the time, a hit does not."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, since = None, None
-        for frame in frames:
-            out = []
-            for k, t in zip(frame["key"], frame["t"], strict=True):
-                if k != key:
-                    key, since = k, None
-                hit = since is not None and t - since < ttl
-                if not hit:
-                    since = t
-                out.append(hit)
-            yield frame.assign(hit=out)
+    def step(held: list[float], t: float) -> bool:
+        if held and t - held[0] < ttl:
+            return True
+        held[:] = [t]
+        return False
 
-    rows = requests.select("key", "t", "id").repartition("key").sortWithinPartitions("key", "t", "id")
-    return rows.mapInPandas(run, "key long, t double, id long, hit boolean")
+    return _in_order(requests, step, "hit")
 
 
 def heartbeats(events: DataFrame, seconds: float) -> DataFrame:
@@ -90,12 +103,65 @@ def heartbeats(events: DataFrame, seconds: float) -> DataFrame:
     return events.withColumn("gap", gap).where(F.col("gap") > seconds)
 
 
+def stale(events: DataFrame, seconds: int) -> DataFrame:
+    """Events after which a job was silent for more than `seconds`, so that it counts as failed: (job_id, event_id, ts).
+
+    The last silence of a job counts once events have moved on by `seconds` and DELAY. Streams fail such a job by a timer on
+    event time, or when its next event arrives first; they give the same rows if a job's events arrive in order.
+    """
+    if events.isStreaming:
+        return _stream_stale(events, seconds)
+    w = Window.partitionBy("job_id").orderBy("ts", "event_id")
+    end = events.agg((F.max("ts") - F.expr(f"INTERVAL {DELAY}")).alias("end"))  # one row
+    rows = events.withColumn("next", F.lead("ts").over(w)).crossJoin(F.broadcast(end))
+    silent = F.coalesce(F.unix_millis("next"), F.unix_millis("end")) - F.unix_millis("ts") > 1000 * seconds
+    return rows.where(silent).select("job_id", "event_id", "ts")
+
+
+def _stream_stale(events: DataFrame, seconds: int) -> DataFrame:
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, event = state.get if state.exists else (None, None)
+        out = []
+        if state.hasTimedOut:
+            out.append((last, event))
+            state.remove()
+        else:
+            rows = pd.concat(list(frames)).sort_values(["ms", "event_id"])
+            for t, e in zip(rows["ms"].tolist(), rows["event_id"].tolist(), strict=True):
+                if last is not None and t - last > 1000 * seconds:
+                    out.append((last, event))
+                last, event = t, e
+            if last + 1000 * seconds < state.getCurrentWatermarkMs():
+                out.append((last, event))
+                if state.exists:
+                    state.remove()
+            else:
+                state.update((last, event))
+                state.setTimeoutTimestamp(max(last + 1000 * seconds, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"job_id": [key[0]] * len(out), "event_id": [o[1] for o in out], "ms": [o[0] for o in out]})
+
+    rows = events.withWatermark("ts", DELAY).select("job_id", "ts", "event_id", F.unix_millis("ts").alias("ms")).groupBy("job_id")
+    rows = rows.applyInPandasWithState(step, "job_id long, event_id long, ms long", "last long, event long", "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.select("job_id", "event_id", F.timestamp_millis("ms").alias("ts"))
+
+
+#: Legal moves of a job: the state before, what is asked, and the state after.
+MOVES = {("pending", "start"): "running", ("pending", "cancel"): "cancelled", ("running", "fail"): "failed", ("running", "complete"): "completed"}
+
+
+def _moved(state: str, asked: bool, action: str | None) -> tuple[str, bool]:
+    """State of a job, and whether its end is asked for, after an action."""
+    after = "cancelled" if asked and (state, action) == ("running", "complete") else MOVES.get((state, action), state)
+    return after, asked or (state, action) == ("running", "cancel")
+
+
 def lifecycle(events: DataFrame) -> DataFrame:
     """Final state of each job after folding its events (start, complete, fail, cancel) in order; illegal moves are ignored.
 
-    The sorted events are streamed, and only the state is kept, whatever the number of a job's events.
+    The sorted events are streamed, and only the state is kept, whatever the number of a job's events. Streams give, in update
+    mode, the state of each job that had events; the last is that of the batch if a job's events arrive in order.
     """
-    moves = {("pending", "start"): "running", ("pending", "cancel"): "cancelled", ("running", "fail"): "failed", ("running", "complete"): "completed"}
+    schema = f"job_id {events.schema['job_id'].dataType.simpleString()}, state string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         jobs, states = [], []
@@ -107,16 +173,23 @@ def lifecycle(events: DataFrame) -> DataFrame:
                         jobs.append(key)
                         states.append(state)
                     key, state, asked, begun = k, "pending", False, True
-                was = state
-                state = "cancelled" if asked and (was, action) == ("running", "complete") else moves.get((was, action), was)
-                asked = asked or (was, action) == ("running", "cancel")
+                state, asked = _moved(state, asked, action)
             yield pa.RecordBatch.from_arrays([pa.array(jobs, batch["job_id"].type), pa.array(states, pa.string())], ["job_id", "state"])
             jobs, states, kind = [], [], batch["job_id"].type
         if begun:
             yield pa.RecordBatch.from_arrays([pa.array([key], kind), pa.array([state], pa.string())], ["job_id", "state"])
 
-    rows = events.select("job_id", "ts", "event_id", "action").repartition("job_id").sortWithinPartitions("job_id", "ts", "event_id", "action")
-    return rows.mapInArrow(run, f"job_id {events.schema['job_id'].dataType.simpleString()}, state string")
+    def step(key: tuple, frames: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
+        state, asked = kept.get if kept.exists else ("pending", False)
+        for action in pd.concat(list(frames)).sort_values(["ts", "event_id", "action"])["action"].tolist():
+            state, asked = _moved(state, asked, action)
+        kept.update((state, asked))
+        yield pd.DataFrame({"job_id": [key[0]], "state": [state]})
+
+    rows = events.select("job_id", "ts", "event_id", "action")
+    if events.isStreaming:
+        return rows.groupBy("job_id").applyInPandasWithState(step, schema, "state string, asked boolean", "update", GroupStateTimeout.NoTimeout)
+    return rows.repartition("job_id").sortWithinPartitions("job_id", "ts", "event_id", "action").mapInArrow(run, schema)
 
 
 def progress_feed(snapshots: DataFrame, terminal: tuple[str, ...] = ("completed", "failed", "cancelled"), every: int = 15, most: int = 3600) -> DataFrame:

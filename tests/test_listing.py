@@ -136,6 +136,41 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(spark.sql("SELECT * FROM counted").collect()) == sorted(batch.collect())
 
 
+def streamed(spark, tmp_path, name, rows, order, job, mode="append"):
+    """Rows that `job` gives for `rows` as a stream of three files in order."""
+    rows = rows.toPandas().sort_values(order)
+    schema, cut = job[1], len(rows) // 3
+    for k, part in enumerate((rows[:cut], rows[cut : 2 * cut], rows[2 * cut :])):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / "in" / str(k)))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    run = job[0](source).writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.table(name)
+
+
+@pytest.mark.parametrize("name, job", [("limited", lambda df: jobs.rate_limit(df, 2, 86400.0)), ("reused", lambda df: jobs.ttl_reuse(df, 86400.0))])
+def test_requests_stream_equals_batch(spark, tmp_path, name, job):
+    rows = spark.read.parquet(f"{DATA}/events.parquet").select(F.col("user_id").alias("key"), F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("t"), F.col("event_id").alias("id"))
+    batch = sorted(map(tuple, job(rows).collect()))
+    assert {x[3] for x in batch} == {True, False}
+    assert sorted(map(tuple, streamed(spark, tmp_path, name, rows, ["t", "id"], (job, rows.schema)).collect())) == batch
+
+
+def test_lifecycle_stream_equals_batch(spark, tmp_path):
+    action = F.expr("CASE event_id % 5 WHEN 0 THEN 'start' WHEN 1 THEN 'cancel' WHEN 2 THEN 'complete' WHEN 3 THEN 'fail' ELSE 'tick' END")
+    rows = spark.read.parquet(f"{DATA}/events.parquet").select(F.col("user_id").alias("job_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id", action.alias("action"))
+    out = streamed(spark, tmp_path, "moved", rows, ["ts", "event_id"], (jobs.lifecycle, rows.schema), "update").collect()
+    batch = {r["job_id"]: r["state"] for r in jobs.lifecycle(rows).collect()}
+    assert len(set(batch.values())) > 2 and {r["job_id"]: r["state"] for r in out} == batch
+
+
+def test_stale_stream_equals_batch(spark, tmp_path):
+    rows = spark.read.parquet(f"{DATA}/events.parquet").select(F.col("user_id").alias("job_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    batch = sorted(map(tuple, jobs.stale(rows, 86400).select("job_id", "event_id").collect()))
+    out = streamed(spark, tmp_path, "stale", rows, ["ts", "event_id"], (lambda df: jobs.stale(df, 86400), rows.schema))
+    assert batch and sorted(map(tuple, out.select("job_id", "event_id").collect())) == batch
+
+
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query_equals_sql(spark, name):
     rows = registry.QUERIES[name](spark, DATA)
