@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from listmill.functions import columns as C
+from listmill.operators import extract, merge
+
 DELAY = "10 minutes"
 EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -243,3 +246,36 @@ def _stream_feed(snapshots: DataFrame, terminal: tuple[str, ...], every: int, mo
 def ingest(pages: DataFrame, handle, checkpoint: str):
     """Micro-batches of pages through `handle(batch, id)`; takes what is there and stops."""
     return pages.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+#: Columns of the listing table that `ingest_listings` keeps.
+LISTING_SCHEMA = "source_url string, id long, title string, price_amount decimal(18,2), area double"
+
+
+def ingest_listings(pages: DataFrame, selectors: dict[str, str], store: str, checkpoint: str):
+    """Pages(page_id, url, html) taken in micro-batches through extraction, normalisation and merge.
+
+    selectors names those of title, price and area. `store`/listings/k holds all listings after micro-batch k, made of those
+    after k - 1 and the batch; `store`/prices/k holds the prices that changed in it. A batch that runs again after a failure
+    writes the same two versions again. Of pages of one url in a batch the largest page_id wins; values not found leave those
+    of before. A store belongs to one checkpoint.
+    """
+
+    def handle(batch: DataFrame, k: int) -> None:
+        spark = batch.sparkSession
+        values = extract.extract_direct(extract.dom_nodes(batch), selectors)
+        title, price, area = (F.col(c) if c in selectors else F.lit(None).cast("string") for c in ("title", "price", "area"))
+        new = batch.where("url IS NOT NULL").select("page_id", "url").join(values, "page_id").select(
+            F.col("url").alias("source_url"), F.xxhash64("url").alias("id"), C.clean_text(title).alias("title"),
+            C.price_amount(price).cast("decimal(18,2)").alias("price_amount"), C.area(area).cast("double").alias("area"), F.col("page_id").alias("ord"),
+        )
+        new = new.persist()  # asked for twice
+        try:
+            current = spark.read.schema(LISTING_SCHEMA).parquet(f"{store}/listings/{k - 1}") if k else spark.createDataFrame([], LISTING_SCHEMA)
+            merge.price_history_rows(current, new).write.mode("overwrite").parquet(f"{store}/prices/{k}")
+            after = merge.upsert(current, new, ["id", "title", "price_amount", "area"])
+            after.select("source_url", "id", "title", "price_amount", "area").write.mode("overwrite").parquet(f"{store}/listings/{k}")
+        finally:
+            new.unpersist()
+
+    return ingest(pages, handle, checkpoint)

@@ -171,6 +171,20 @@ def test_stale_stream_equals_batch(spark, tmp_path):
     assert batch and sorted(map(tuple, out.select("job_id", "event_id").collect())) == batch
 
 
+def test_ingest_listings(spark, tmp_path):
+    html = lambda title, price: f"<h1>{title}</h1><b class='price'>{price}</b><i class='area'>80 m²</i>"
+    batches = [[(1, "u1", html(" Flat  one ", "250 000 €")), (2, "u2", html("Two", "100 000 €")), (3, "u2", html("Two again", "110 000 €"))], [(4, "u1", html("Flat", "240 000 €")), (5, "u3", html("Three", "sob consulta")), (6, None, html("No url", "1 000 €"))], [(7, "u3", "")]]
+    schema = "page_id long, url string, html string"
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / str(k)))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    jobs.ingest_listings(source, {"title": "h1", "price": "b.price", "area": "i.area"}, str(tmp_path / "store"), str(tmp_path / "cp")).awaitTermination()
+    out = {r["source_url"]: (r["title"], r["price_amount"], r["area"]) for r in spark.read.parquet(str(tmp_path / "store" / "listings" / "2")).collect()}
+    assert out == {"u1": ("Flat", 240000, 80), "u2": ("Two again", 110000, 80), "u3": ("Three", None, 80)}
+    changed = [spark.read.parquet(str(tmp_path / "store" / "prices" / str(k))).select("source_url", "old_price", "new_price").collect() for k in range(3)]
+    assert [[tuple(r) for r in c] for c in changed] == [[], [("u1", 250000, 240000)], []]
+
+
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query_equals_sql(spark, name):
     rows = registry.QUERIES[name](spark, DATA)
