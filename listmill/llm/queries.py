@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, lines, near, packing, pii, quality, search, sharding
+from . import bpe, chat, contamination, lines, near, packing, pii, quality, search, sharding
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: A conversation whose texts hold the template's own control strings.
@@ -67,15 +67,32 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_digests(read(spark, sf_dir, "documents"), VOCABULARY, window=1024)
 
 
+def op13_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.digests(contamination.find_occurrences(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), window=10))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_nearest, op2_pii, op3_near, op4_top_products, op5_lines, op6_chat, op7_bpe, op8_shards, op9_quality, op10_packing)}
+    ten = (op1_nearest, op2_pii, op3_near, op4_top_products, op5_lines, op6_chat, op7_bpe, op8_shards, op9_quality, op10_packing)
+    return {f.__name__: f for f in (*ten, op13_contamination)}
 
 
 def oracle_sql() -> dict[str, str]:
     fine = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
     escaped = "replace(replace(replace(replace(replace({0}, '\\', '\\\\'), '</s>', '<\\/s>'), '<s>', '<\\s>'), '[/INST]', '[\\/INST]'), '[INST]', '[\\INST]')"
     order = "ORDER BY turn NULLS FIRST, role, text"
+    lower = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    words = f"regexp_extract_all({lower.format('text')}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
     return {
+        "op13_contamination": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({words}, []) AS w FROM documents),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item_id, w, least(10, len(w)) AS l FROM (SELECT item_id, {words} AS w FROM benchmark) WHERE len(w) > 0),
+p AS (SELECT DISTINCT item_id, l, array_to_string(w[i:i + l - 1], ' ') AS k FROM (SELECT *, unnest(range(1, len(w) - l + 2)) AS i FROM b)),
+s AS (SELECT r, i, l, array_to_string(w[i:i + l - 1], ' ') AS k FROM (SELECT r, w, l, unnest(range(1, len(w) - l + 2)) AS i FROM d, (SELECT DISTINCT l FROM p))),
+o AS (SELECT s.r, s.i, l, p.item_id FROM s JOIN p USING (l, k)),
+h AS (SELECT r, count(DISTINCT x) AS n_hit FROM (SELECT r, unnest(range(i, i + l)) AS x FROM o) GROUP BY r),
+t AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT r, item_id FROM o) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)""",
         "op4_top_products": f"""
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE {fine}),
 p AS (SELECT q.vec_id AS query_id, d.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.v, d.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
