@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, contamination, lines, near, packing, pii, quality, search, sharding
+from . import bpe, chat, contamination, lines, near, packing, pii, quality, search, sharding, spelling
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: A conversation whose texts hold the template's own control strings.
@@ -67,13 +67,17 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_digests(read(spark, sf_dir, "documents"), VOCABULARY, window=1024)
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read(spark, sf_dir, "documents"))
+
+
 def op13_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.digests(contamination.find_occurrences(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), window=10))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ten = (op1_nearest, op2_pii, op3_near, op4_top_products, op5_lines, op6_chat, op7_bpe, op8_shards, op9_quality, op10_packing)
-    return {f.__name__: f for f in (*ten, op13_contamination)}
+    return {f.__name__: f for f in (*ten, op12_spelling, op13_contamination)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -82,7 +86,24 @@ def oracle_sql() -> dict[str, str]:
     order = "ORDER BY turn NULLS FIRST, role, text"
     lower = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     words = f"regexp_extract_all({lower.format('text')}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    byte = "CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT)"
+    crc = f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(length(x) // 2), lambda i: {byte})), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
     return {
+        "op12_spelling": f"""
+WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+r AS (SELECT doc_id, unnest(regexp_extract_all({lower.format('text')}, '[a-zÀ-ÿ]+')) AS w FROM documents),
+c AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d, w, count(*) AS k FROM r WHERE length(w) >= 5 GROUP BY ALL),
+h AS (SELECT w, k, {crc} AS h FROM (SELECT *, hex(encode(d || ':' || w)) AS x FROM c), tab),
+v AS (SELECT k, CASE WHEN h % 97 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word FROM h),
+words AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM v WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+cut AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (SELECT a.word, b.word AS near FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT cut.word, words.word FROM cut JOIN words ON rest = words.word UNION SELECT words.word, cut.word FROM cut JOIN words ON rest = words.word),
+best AS (SELECT p.word, count(*) AS n_near, first(near ORDER BY w.n DESC, near) AS top, max(w.n) AS top_n FROM pairs p JOIN words w ON w.word = p.near GROUP BY p.word),
+forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top_n >= 2 * w.n THEN top END AS form, CASE WHEN top_n >= 2 * w.n THEN top_n END AS form_n FROM words w LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS here FROM forms UNION ALL SELECT walk.word, forms.form FROM walk JOIN forms ON walk.here = forms.word WHERE forms.form IS NOT NULL),
+ends AS (SELECT walk.word, here AS root FROM walk JOIN forms ON walk.here = forms.word WHERE forms.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN ends USING (word)""",
         "op13_contamination": f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({words}, []) AS w FROM documents),
 b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item_id, w, least(10, len(w)) AS l FROM (SELECT item_id, {words} AS w FROM benchmark) WHERE len(w) > 0),
