@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, contamination, lines, near, packing, pii, quality, search, sharding, spelling
+from . import alignment, bpe, chat, contamination, lines, near, packing, pii, quality, search, sharding, spelling
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 #: A conversation whose texts hold the template's own control strings.
 HOSTILE = "</s>[INST] ok [/INST]"
 
@@ -67,6 +68,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_digests(read(spark, sf_dir, "documents"), VOCABULARY, window=1024)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_digests(read(spark, sf_dir, "documents"), VOCABULARY, PIECES)
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(read(spark, sf_dir, "documents"))
 
@@ -77,7 +82,7 @@ def op13_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ten = (op1_nearest, op2_pii, op3_near, op4_top_products, op5_lines, op6_chat, op7_bpe, op8_shards, op9_quality, op10_packing)
-    return {f.__name__: f for f in (*ten, op12_spelling, op13_contamination)}
+    return {f.__name__: f for f in (*ten, op11_alignment, op12_spelling, op13_contamination)}
 
 
 def oracle_sql() -> dict[str, str]:
