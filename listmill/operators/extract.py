@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from listmill.functions.columns import contains_any, url_join
+from listmill.operators import matching
 from listmill.sources.tables import written
 
 # Elements without content, and elements that a new one of the listed kinds closes (fixed values of HTML).
@@ -152,8 +153,10 @@ def select_many(nodes: DataFrame, selectors: dict[str, str]) -> DataFrame:
     """`field` and the nodes that match its comma list of selectors: compound parts, descendant and child combinators.
 
     All compounds of all selectors are tested in one pass over the nodes; then one join for each depth of combinators
-    takes every selector one step up.
+    takes every selector one step up. Selectors with :has are matched as a table of steps.
     """
+    if any(":has(" in s for s in selectors.values()):
+        return matching.select_fields(nodes, selectors)
     ways = [(field, steps) for field, s in selectors.items() for steps in _steps(s)]
     step = lambda way, k, n, child: F.struct(F.lit(way).alias("way"), F.lit(k).alias("k"), F.lit(k == n - 1).alias("last"), F.lit(child).alias("child"))
     tests = [F.when(compound(part), step(way, k, len(steps), link == ">")) for way, (_, steps) in enumerate(ways) for k, (link, part) in enumerate(steps)]

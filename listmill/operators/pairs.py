@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from listmill.functions import columns as C
-from listmill.operators import extract, sections
+from listmill.operators import extract, matching, sections
+from listmill.sources.tables import written
 
 # Labels of detail rows in order of precedence; the first one contained in a label names its field (fixed values).
 FIELD_MAP = {
@@ -213,16 +214,48 @@ def extract_direct_long(nodes: DataFrame, site: dict) -> DataFrame:
     return extract.select_firsts(nodes, selectors).select("page_id", "field", extract.element_value().alias("value")).where("value <> ''")
 
 
-def extract_pages(nodes: DataFrame, pages: DataFrame, sites: dict[str, dict]) -> DataFrame:
-    """Pages (page_id, site_key, html) by the mode of their site; any mode but section is direct."""
-    out = None
-    for key, site in sites.items():
-        own = pages.where(F.col("site_key") == key)
-        mine = nodes.join(own.select("page_id"), "page_id", "left_semi")
-        rows = extract_section(mine, own, site) if site.get("mode") == "section" else extract_direct_long(mine, site)
-        rows = rows.select("page_id", F.lit(key).alias("site_key"), "field", "value")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+def extract_sites(nodes: DataFrame, pages: DataFrame, sites: DataFrame) -> DataFrame:
+    """(page_id, site_key, field, value) of pages(page_id, site_key, html) by the settings of their site, in one plan for all sites.
+
+    sites(site_key, mode, selectors map<string,string>, patterns map<string,string>): in section mode the keys of selectors are those
+    of extract_section(), in any other mode each `<field>_selector` gives a field. Pages of unknown sites, and sites without settings,
+    give nothing; a null map is empty; a pattern that is null gives nothing.
+    """
+    own = nodes.join(pages.select("page_id", "site_key"), "page_id")
+    named = sites.select("site_key", F.coalesce(F.col("mode") == "section", F.lit(False)).alias("section"), F.explode("selectors").alias("name", "selector"))
+    stem = lambda end: F.expr(f"left(name, length(name) - {len(end)})")
+    ends = lambda end: F.endswith("name", F.lit(end))
+    kind = (
+        F.when(~F.col("section"), F.when(ends("_selector") & ~ends("item_selector"), F.concat(F.lit("direct:"), stem("_selector"))))
+        .when(F.col("name").isin("title_selector", "location_selector", "condition_selector"), F.concat(F.lit("single:"), stem("_selector")))
+        .when(ends("_section"), F.concat(F.lit("part:"), stem("_section"))).when(F.col("name") == "characteristics_item_selector", "item:")
+    )
+    plain = named.select("site_key", kind.alias("field"), "selector").where("field IS NOT NULL")
+    long = named.where("section AND name = 'description_selector'").select("site_key", F.posexplode(F.split("selector", ",")).alias("rank", "selector"))
+    listed = named.where("section AND name = 'characteristics_section'").select("site_key").join(named.where("name = 'characteristics_item_selector'"), "site_key", "left_anti")
+    asked = plain.unionByName(long.select("site_key", F.concat(F.lit("long:"), "rank").alias("field"), "selector")).unionByName(listed.select("site_key", F.lit("item:").alias("field"), F.lit("li").alias("selector")))
+    found = written(matching.matches(own, asked))
+    of = lambda rows, kind: rows.where(F.startswith("field", F.lit(kind))).withColumn("field", F.substring("field", len(kind) + 1, 1000))
+    firsts = matching.first_matches(found)
+    values = firsts.where("field RLIKE '^(direct|single|long):'").join(nodes.select("page_id", "node_id", "text", "attrs"), ["page_id", "node_id"])
+    direct = of(values, "direct:").select("page_id", "field", extract.element_value().alias("value"), F.lit(0).alias("rank"))
+    parts: dict[str, list[DataFrame]] = {}
+    put = lambda part, df: parts.setdefault(part, []).append(df.select("page_id", "field", "value"))
+    put("single", of(values, "single:").select("page_id", "field", F.col("text").alias("value")))
+    told = of(values, "long:").where("length(text) > 50").groupBy("page_id").agg(F.min_by("text", F.col("field").cast("int")).alias("value"))
+    put("single", told.withColumn("field", F.lit("raw_description")))
+    patterns = sites.where("mode = 'section'").select("site_key", F.explode("patterns").alias("field", "pattern"))
+    text = C.nullif_blank(F.trim(F.call_function("regexp_extract", F.col("html"), F.concat(F.lit("(?isU)"), "pattern"), F.lit(1))))
+    put("patterns", pages.join(patterns, "site_key").select("page_id", "field", text.alias("value")))
+    tops = of(firsts, "part:").select("page_id", F.col("field").alias("_part"), F.col("node_id").alias("_top"))
+    inside = lambda rows, part: rows.join(tops.where(F.col("_part") == part), "page_id").where(F.array_contains("ancestors", F.col("_top"))).drop("_part", "_top")
+    for part, pairs in (("summary", summary_pairs), ("details", name_value_pairs), ("areas", area_pairs), ("divisions", divisions)):
+        put(part, pairs(inside(nodes, part)))
+    items = nodes.join(of(found, "item:").select("page_id", "node_id"), ["page_id", "node_id"])
+    put("characteristics", sections.characteristic_values(inside(items, "characteristics"), {w: f for f, words in FEATURE_MAP.items() for w in words}))
+    ranked = [direct, *[df.withColumn("rank", F.lit(PRECEDENCE.index(part))) for part, dfs in parts.items() for df in dfs]]
+    best = reduce(DataFrame.unionByName, ranked).where("value <> ''").groupBy("page_id", "field").agg(F.min_by("value", "rank").alias("value"))
+    return best.join(pages.select("page_id", "site_key"), "page_id").select("page_id", "site_key", "field", "value")
 
 
 def card_fields(nodes: DataFrame, selectors: dict[str, str]) -> DataFrame:

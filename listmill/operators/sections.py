@@ -9,7 +9,6 @@ from listmill.functions import columns as C
 from listmill.operators import extract
 
 SOURCES = ["src", "data-src", "data-lazy-src", "data-imgthumb", "data-original"]
-JSONLD = "struct<`@type`:string,name:string,description:string,url:string,image:array<string>,offers:struct<price:string,priceCurrency:string>,address:struct<streetAddress:string,addressRegion:string,addressLocality:string>,numberOfRooms:string>"
 
 
 def list_items(nodes: DataFrame, selector: str) -> DataFrame:
@@ -38,10 +37,14 @@ def feature_flags(nodes: DataFrame, selector: str, features: dict[str, list[str]
 
 def characteristics(nodes: DataFrame, selector: str, keywords: dict[str, str]) -> DataFrame:
     """(page_id, field, value): each item goes to the field of the first keyword it contains; the last item wins."""
+    return characteristic_values(extract.select_nodes(nodes, selector), keywords)
+
+
+def characteristic_values(items: DataFrame, keywords: dict[str, str]) -> DataFrame:
     field = F.lit(None).cast("string")
     for word, name in reversed(keywords.items()):
         field = F.when(F.lower("text").contains(word), name).otherwise(field)
-    rows = extract.select_nodes(nodes, selector).withColumn("field", field).where("field IS NOT NULL")
+    rows = items.withColumn("field", field).where("field IS NOT NULL")
     return rows.groupBy("page_id", "field").agg(F.max_by("text", "node_id").alias("value"))
 
 
@@ -110,20 +113,3 @@ def validate_selectors(nodes: DataFrame, pages: DataFrame, selectors: dict[str,
     hits = extract.select_many(nodes, good).groupBy("page_id", "field").agg(F.count("*").alias("matches"), F.array_sort(F.collect_list(F.struct("node_id", F.substring("text", 1, most).alias("text")))).alias("h"))
     out = base.join(hits, ["page_id", "field"], "left")
     return out.select("page_id", "field", "valid", F.coalesce("matches", F.lit(0)).cast("long").alias("matches"), F.slice(F.col("h.text"), 1, samples).alias("samples"))
-
-
-def jsonld(pages: DataFrame, types: list[str] | None = None) -> DataFrame:
-    """(page_id, item): objects of all ld+json blocks, lists and @graph members flattened; those without a type are kept."""
-    blocks = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r'(?is)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>'), F.lit(1))).alias("text"))
-    body = F.coalesce(F.get_json_object("text", "$['@graph']"), F.trim("text"))
-    rows = blocks.select("page_id", F.explode(F.from_json(body, f"array<{JSONLD}>")).alias("item")).where("item IS NOT NULL")
-    if types:
-        rows = rows.where(F.col("item.`@type`").isNull() | F.col("item.`@type`").isin(types))
-    return rows
-
-
-def fill_missing(raw: DataFrame, items: DataFrame, title: Column) -> DataFrame:
-    """raw(page_id, title, price, ...) with blanks filled from the first embedded object, then from the page title."""
-    own = items.groupBy("page_id").agg(F.first("item.name", ignorenulls=True).alias("_name"), F.first("item.offers.price", ignorenulls=True).alias("_price"))
-    both = raw.join(own, "page_id", "left")
-    return both.withColumns({"title": F.coalesce(C.nullif_blank(F.col("title")), "_name", title), "price": F.coalesce(C.nullif_blank(F.col("price")), "_price")}).drop("_name", "_price")

@@ -37,6 +37,17 @@ def _nodes(spark, d):
     return extract.page_nodes(_pages(spark, d))
 
 
+def _settings(spark, d):
+    """Settings of a site for each host of the pages, told by the length of its name: section mode or direct mode, own selectors and patterns."""
+    hosts = table(spark, d, "pages").select(F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("site_key")).distinct()
+    n = F.length("site_key")
+    mode = F.when(n % 2 == 0, "section").otherwise("direct")
+    section = F.create_map(F.lit("details_section"), F.when(n % 4 == 0, "#details").otherwise("main > section#details"), F.lit("divisions_section"), F.lit("section:has(> .division)"), F.lit("condition_selector"), F.lit("#summary li:has(.value) .value"))
+    direct = F.create_map(F.lit("price_selector"), F.concat(F.lit("#details .detail:nth-of-type("), (n % 3 + 1).cast("string"), F.lit(") .value")), F.lit("picture_selector"), F.lit("img[alt^=P], img:hover"))
+    pattern = F.create_map(F.lit("track"), F.when(n % 4 == 0, r"track\((\d+)\)").otherwise(r"track\(\d*(\d)\)"))
+    return hosts.select("site_key", mode.alias("mode"), F.when(F.col("mode") == "section", section).otherwise(direct).alias("selectors"), F.when(n % 8 != 0, pattern).alias("patterns"))
+
+
 def _long(*rows: tuple[str, str]) -> str:
     """SQL of (page_id, field, value) for each page and given field and value expression."""
     return " UNION ALL ".join(f"SELECT page_id, '{f}' AS field, {v} AS value FROM {_P}" for f, v in rows)
@@ -110,9 +121,25 @@ def b19_section_mode(spark, d):
 @q(f"""SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 's' ELSE 'd' END AS site_key, field, value FROM ({_SECTION}) x WHERE page_id % 2 = 0
 UNION ALL SELECT page_id, 'd', 'quarto', CAST(page_id % 5 AS VARCHAR) FROM {_P} WHERE page_id % 2 = 1""")
 def b20_mode_switch(spark, d):
-    keyed = lambda df: df.withColumn("site_key", F.when(F.col("page_id") % 2 == 0, "s").otherwise("d"))
-    site = {k: v for k, v in SITE.items() if k not in ("title_selector", "text_patterns")}
-    return pairs.extract_pages(_nodes(spark, d), keyed(_pages(spark, d)), {"s": site, "d": {"mode": "unheard", "quarto_selector": "#a_lbl_valor_quarto"}})
+    """Both sites' settings are rows of a table; one of them has an unheard-of mode."""
+    pages = _pages(spark, d).withColumn("site_key", F.when(F.col("page_id") % 2 == 0, "s").otherwise("d"))
+    section = {k: v for k, v in SITE.items() if k.endswith("_section")}
+    sites = spark.createDataFrame([("s", "section", section, None), ("d", "unheard", {"quarto_selector": "#a_lbl_valor_quarto"}, {})], "site_key string, mode string, selectors map<string,string>, patterns map<string,string>")
+    return pairs.extract_sites(_nodes(spark, d), pages, sites)
+
+
+_HOSTED = f"(SELECT page_id, html, regexp_extract(url, '^https?://([^/?#]+)', 1) AS site_key, length(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS n FROM pages WHERE contains(html, '<article>'))"
+
+
+@q(f"""SELECT * FROM (SELECT page_id, site_key, 'price' AS field, CASE WHEN n % 2 = 0 OR n % 3 = 0 THEN concat(CAST(page_id * 1000 AS VARCHAR), ' €') WHEN n % 3 = 2 THEN {_ID} END AS value FROM {_HOSTED} x
+UNION ALL SELECT page_id, site_key, 'picture', concat('P', {_ID}) FROM {_HOSTED} x WHERE n % 2 = 1
+UNION ALL SELECT page_id, site_key, 'business_type', 'Venda' FROM {_HOSTED} x WHERE n % 2 = 0 UNION ALL SELECT page_id, site_key, 'energy_certificate', {_LETTER} FROM {_HOSTED} x WHERE n % 2 = 0
+UNION ALL SELECT page_id, site_key, 'bedrooms', CAST(page_id % 6 AS VARCHAR) FROM {_HOSTED} x WHERE n % 2 = 0 UNION ALL SELECT page_id, site_key, 'condition', 'Novo' FROM {_HOSTED} x WHERE n % 2 = 0
+UNION ALL SELECT page_id, site_key, 'track', regexp_extract(html, CASE WHEN n % 4 = 0 THEN 'track\\((\\d+)\\)' ELSE 'track\\(\\d*(\\d)\\)' END, 1) FROM {_HOSTED} x WHERE n % 2 = 0 AND n % 8 <> 0) y WHERE value <> ''""")
+def u2_site_settings(spark, d):
+    """Every host is a site with settings of its own, read as data."""
+    pages = _pages(spark, d).withColumn("site_key", F.regexp_extract("url", "^https?://([^/?#]+)", 1))
+    return pairs.extract_sites(_nodes(spark, d), pages, _settings(spark, d))
 
 
 @q("""SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'House' WHEN 1 THEN 'Apartment' END AS kind, concat('T', CAST(o_custkey % 6 AS VARCHAR)) AS typology,

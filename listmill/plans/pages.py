@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from listmill.operators import extract, sections
+from listmill.operators import embedded, extract, pairs, sections
 from listmill.plans.registry import q
 from listmill.sources.bindings import table, view
 
 NAV = "nav ul li"
 _ITEMS = "SELECT page_id, regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a[^>]*>([^<]*)</a>', 1) AS l FROM pages WHERE html <> ''"
 _PLAIN = "replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&')"
+_TEXT = "nullif(trim(regexp_replace(" + _PLAIN + ", '\\s+', ' ', 'g')), '')"
 
 
 def _nodes(spark, d):
@@ -27,6 +28,16 @@ def b9_feature_flags(spark, d):
     return sections.feature_flags(_nodes(spark, d), NAV, {"garage": ["the", "et"], "pool": ["and"]})
 
 
+@q("""SELECT page_id, field, CAST(n AS BIGINT) AS n FROM (SELECT page_id, 'ad' AS field, CASE WHEN contains(html, '<div class="ad">') THEN 1 ELSE 0 END AS n FROM pages
+UNION ALL SELECT page_id, 'link', len(regexp_extract_all(html, '<li><a href="/(The|la|der|de)"')) FROM pages
+UNION ALL SELECT page_id, 'bold', CASE WHEN regexp_matches(html, '(?s)<article>.*<b>') OR contains(html, '<footer>') THEN 1 ELSE 0 END FROM pages
+UNION ALL SELECT page_id, 'both', CASE WHEN contains(html, '<div class="ad">') AND regexp_matches(html, '(?s)<article>.*<b>') THEN 1 ELSE 0 END FROM pages) x WHERE n > 0""")
+def b2_has(spark, d):
+    """Elements by what they hold: a child, a link below, one of a list, and two things at once."""
+    fields = {"ad": "body:has(> div.ad)", "link": "li:has(a[href='/The'], a[href='/la'], > a[href='/der'], a[href='/de'])", "bold": "html:has(article b, footer) > body", "both": "body:has(.ad):has(article b)"}
+    return extract.select_many(_nodes(spark, d), fields).groupBy("page_id", "field").agg(F.count("*").alias("n"))
+
+
 @q(f"""SELECT page_id, field, arg_max(x, n) AS value FROM (SELECT page_id, n, trim({_PLAIN}) AS x, CASE WHEN contains(lower(x), 'the') THEN 'garage' WHEN contains(lower(x), 'and') THEN 'pool' WHEN contains(lower(x), 'le') THEN 'lift' END AS field
 FROM (SELECT page_id, unnest(l) AS x, generate_subscripts(l, 1) AS n FROM ({_ITEMS}) i) y) z WHERE field IS NOT NULL GROUP BY 1, 2""")
 def b11_characteristics(spark, d):
@@ -52,24 +63,64 @@ def b22_images(spark, d):
     return out.select("page_id", F.size("images").alias("n"), F.get("images", F.lit(0)).alias("first"))
 
 
-@q("""SELECT page_id, 'House' AS kind, CAST(page_id AS VARCHAR) AS name, CAST(page_id * 1000 AS VARCHAR) AS price FROM pages UNION ALL SELECT page_id, NULL, 'plain', NULL FROM pages WHERE page_id % 2 = 0""")
+_BLOCKS = [
+    """<script type="application/ld+json">{"@type": "House", "name": "N#", "offers": {"price": "#000"}, "numberOfRooms": 3}</script>""",
+    """<script type='application/ld+json' id=x>{"@type": ["Thing", "PRODUCT"], "name": "  N\\n # ", "offers": [{"x": 1}, {"price": "#"}], "image": "/i#.jpg", "floorSize": {"value": 70}}</script>""",
+    """<SCRIPT type=application/ld+json>{"@graph": [{"@type": "Person", "name": "x"}, {"name": "plain #", "address": "D1, , C2 ,P3,Q"}, [{"@type": "apartment", "headline": ["", "Flat t2+1"], "@graph": [{"title": "in"}]}]]}</script>""",
+    """<script type="application/ld+json">{broken</script><script type="application/ld+json">{"@type": "residence", "address": {"addressRegion": "R", "addressLocality": {"name": "L"}}, "image": ["a", {"url": "b"}, null, "a"]}</script>""",
+    """<script type="application/ld+json">[{"name": "N#", "price": 5, "category": "Villa", "itemCondition": true}, {"name": "N#", "price": "6"}, {"@type": [], "lotSize": {"name": "2 ha"}}, 7, null]</script>""",
+    "",
+]
+
+
+def _embedded(spark, d):
+    """The given pages with blocks of six shapes, by the page's id, behind them; pages have none of their own."""
+    block = F.replace(F.element_at(F.array(*map(F.lit, _BLOCKS)), (F.col("page_id") % 6 + 1).cast("int")), F.lit("#"), F.col("page_id").cast("string"))
+    return table(spark, d, "pages").withColumn("html", F.concat(F.coalesce("html", F.lit("")), block))
+
+
+_VALUES = """SELECT page_id, page_id % 6 AS k, CAST(page_id AS VARCHAR) AS i, unnest([
+ {'f': 'title', 'v': concat('N', i), 'k': 0}, {'f': 'price', 'v': concat(i, '000'), 'k': 0}, {'f': 'rooms', 'v': '3', 'k': 0}, {'f': 'property_type', 'v': 'House', 'k': 0},
+ {'f': 'title', 'v': concat('N ', i), 'k': 1}, {'f': 'price', 'v': i, 'k': 1}, {'f': 'images', 'v': concat('/i', i, '.jpg'), 'k': 1}, {'f': 'area', 'v': '70', 'k': 1},
+ {'f': 'title', 'v': concat('plain ', i, '|Flat t2+1|in'), 'k': 2}, {'f': 'district', 'v': 'D1', 'k': 2}, {'f': 'county', 'v': 'C2', 'k': 2}, {'f': 'parish', 'v': 'P3', 'k': 2}, {'f': 'property_type', 'v': 'Apartment', 'k': 2}, {'f': 'typology', 'v': 'T2+1', 'k': 2},
+ {'f': 'property_type', 'v': 'Residence', 'k': 3}, {'f': 'district', 'v': 'R', 'k': 3}, {'f': 'county', 'v': 'L', 'k': 3}, {'f': 'images', 'v': 'a|b', 'k': 3},
+ {'f': 'title', 'v': concat('N', i), 'k': 4}, {'f': 'price', 'v': '5|6', 'k': 4}, {'f': 'property_type', 'v': 'Villa', 'k': 4}, {'f': 'condition', 'v': 'True', 'k': 4}, {'f': 'land_area', 'v': '2 ha', 'k': 4}]) AS e
+FROM (SELECT page_id, CAST(page_id AS VARCHAR) AS i FROM pages) p"""
+
+
+@q(f"SELECT page_id, e.f AS field, e.v AS values FROM ({_VALUES}) x WHERE k = e.k")
 def b25_jsonld(spark, d):
-    """Blocks written into each page: an object, and for even ids a graph of which one type is not wanted."""
-    one = F.concat(F.lit('{"@type": "House", "name": "'), F.col("page_id"), F.lit('", "offers": {"price": '), F.col("page_id") * 1000, F.lit("}}"))
-    graph = F.when(F.col("page_id") % 2 == 0, '{"@graph": [{"@type": "Person", "name": "x"}, {"name": "plain"}]}').otherwise("{broken")
-    block = lambda c: F.concat(F.lit('<script type="application/ld+json">'), c, F.lit("</script>"))
-    pages = table(spark, d, "pages").withColumn("html", F.concat(F.coalesce("html", F.lit("")), block(one), block(graph)))
-    out = sections.jsonld(pages, ["House", "Residence", "Apartment"]).where("item.name IS NOT NULL")
-    return out.select("page_id", F.col("item.`@type`").alias("kind"), F.col("item.name").alias("name"), F.col("item.offers.price").alias("price"))
+    """Blocks with lists, graphs and types of several shapes, one of them broken."""
+    pages = _embedded(spark, d)
+    return embedded.jsonld_values(pages).select("page_id", "field", F.array_join("values", "|").alias("values"))
+
 
+_GAPS = {"title": "own title", "price": "9", "district": "Porto", "raw_description": "told"}
+_OWN = f"SELECT page_id, k, {', '.join(f'max(v) FILTER (f = {chr(39)}{f}{chr(39)}) AS {f}' for f in ('title', 'price', 'area', 'land_area', 'property_type', 'typology', 'condition', 'district', 'county', 'parish', 'images'))} FROM (SELECT page_id, k, e.f AS f, split_part(e.v, '|', 1) AS v FROM ({_VALUES}) x WHERE k = e.k UNION ALL SELECT page_id, page_id % 6, NULL, NULL FROM pages) y GROUP BY 1, 2"
 
-@q("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN concat('own ', CAST(page_id AS VARCHAR)) WHEN page_id % 3 = 1 THEN 'embedded' ELSE nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') END AS title, CASE WHEN page_id % 3 = 1 THEN '7' END AS price FROM pages")
+
+@q(f"""SELECT page_id, title, price, area, land_area, CASE WHEN property_type IS NULL AND contains(lower(title), 'moradia') THEN 'Moradia' ELSE property_type END AS property_type, typology, condition, NULL::VARCHAR AS business_type, district, county, parish,
+ CAST(CASE WHEN k = 1 THEN 1 WHEN k = 3 THEN 2 ELSE 0 END AS INTEGER) AS images, concat('D', CAST(page_id AS VARCHAR)) AS meta_description, CASE WHEN g THEN 'told' ELSE concat('D', CAST(page_id AS VARCHAR)) END AS raw_description,
+ nullif(concat_ws(', ', district, county, parish), '') AS location FROM (SELECT page_id, k, page_id % 4 = 1 AS g, CASE WHEN page_id % 4 = 1 THEN 'own title' ELSE coalesce(title, 'Moradia nova') END AS title, CASE WHEN page_id % 4 = 1 THEN '9' ELSE coalesce(price, '12') END AS price,
+ area, land_area, property_type, typology, condition, CASE WHEN page_id % 4 = 1 THEN 'Porto' ELSE district END AS district, county, parish FROM ({_OWN}) o) z""")
 def b28_fill_missing(spark, d):
-    pages = table(spark, d, "pages")
-    block = F.when(F.col("page_id") % 3 == 1, '<script type="application/ld+json">{"name": "embedded", "offers": {"price": "7"}}</script>').otherwise("")
-    raw = pages.select("page_id", F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("own "), "page_id")).otherwise(" ").alias("title"), F.lit("").alias("price"), "html")
-    out = sections.fill_missing(raw, sections.jsonld(pages.withColumn("html", F.concat("html", block))), extract.seo_title())
-    return out.select("page_id", "title", "price")
+    """Every fourth page has values of its own; the rest come from embedded objects, sharing tags, title and description."""
+    tags = '<meta property="og:title" content="Moradia  nova"><meta property="og:price" content="12"><meta name="description" content=""><meta property="description" content="D'
+    pages = _embedded(spark, d).withColumn("html", F.concat(F.lit(tags), F.col("page_id").cast("string"), F.lit('">'), "html"))
+    nodes = extract.page_nodes(pages)
+    raw = pages.select("page_id", *[F.when(F.col("page_id") % 4 == 1, v).otherwise("  ").alias(f) for f, v in _GAPS.items()])
+    out = embedded.fill_missing(raw, embedded.jsonld_values(pages), pairs.meta_values(nodes), embedded.seo_meta(nodes))
+    return out.select("page_id", *embedded.FILLED, F.coalesce(F.size("alt_texts"), F.lit(0)).alias("images"), "meta_description", "raw_description", "location")
+
+
+@q(f"""SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'shared' ELSE (SELECT {_TEXT} FROM (SELECT regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS x) t) END AS page_title,
+ CASE page_id % 4 WHEN 0 THEN 'named' WHEN 1 THEN 'tweeted' WHEN 2 THEN 'property' END AS meta_description FROM pages""")
+def b23_seo_meta(spark, d):
+    """Titles and descriptions by order of precedence; every fifth page has lost its title."""
+    tags = ['<meta property="og:description" content="late"><meta name="description" content="named">', '<meta name="description" content=""><meta name="description" content="second"><meta name="twitter:description" content="tweeted">', '<meta property="description" content="property">', ""]
+    extra = F.element_at(F.array(*map(F.lit, tags)), (F.col("page_id") % 4 + 1).cast("int"))
+    html = F.when(F.col("page_id") % 5 == 0, F.concat(F.lit('<meta property="og:title" content="shared">'), F.regexp_replace("html", "(?s)<title>.*?</title>", ""))).otherwise(F.col("html"))
+    return embedded.seo_meta(extract.page_nodes(table(spark, d, "pages").withColumn("html", F.concat(extra, html))))
 
 
 _STATES = ["Vendida", "RESERVADA", "reserved", "Negócio fechado", "Under offer", "à venda", ""]
@@ -119,7 +170,6 @@ def b41_preview_selector(spark, d):
     return out.select("page_id", "matches", F.coalesce(F.array_join("samples", "|"), F.lit("")).alias("samples"))
 
 
-_TEXT = "nullif(trim(regexp_replace(" + _PLAIN + ", '\\s+', ' ', 'g')), '')"
 _FIELDS = {"title": "article > h1", "ad": "div.ad", "page_title": "head > title", "top": "body > article > h1", "charset": "head > meta[charset]", "script": "head > script"} | {f"item_{k}": f"nav ul li:nth-of-type({k}) a[href]" for k in range(1, 15)}
 _FOUND = {"title": "<h1>(.*?)</h1>", "ad": '<div class="ad">(.*?)</div>', "page_title": "<title>(.*?)</title>", "top": "<h1>(.*?)</h1>"}
 
