@@ -17,7 +17,10 @@ results. Only doc_id and text are read, so that further columns cannot clash.
 from __future__ import annotations
 
 import hashlib
+import re
+from array import array
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,58 +29,154 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import ODD_SPACE, LibraryEncoder, _Cache, encoder, read_vocabulary
+from .bpe import WHITE, LibraryEncoder, encoder, read_vocabulary
 from .shared import give_back, written
 
 #: A tokens of a stretch; all stretches of a batch take about as many steps.
 STRETCH = 1024
 #: Bytes of text of a block, about: it is held at once by a task, in tokens and links.
-BLOCK_BYTES = 6 << 20
-
-
-class Pieces:
-    """A piece BPE model (sentencepiece file): ids of space and text, and the bytes of every id."""
+BLOCK_BYTES = 3 << 20
+#: Units that are encoded together.
+JOINED = 400
+#: White space other than spaces and line ends.
+RARE = re.compile(rf"[{WHITE.replace(' ', '')}](?<!\n)")
+
+
+class Units:
+    """A tokenizer that encodes what stands between single spaces alike wherever it stands.
+
+    Units are encoded many at once, joined by spaces: each begins with the one token of it whose bytes begin with a space. Where
+    that, or the bytes of the tokens, does not come out so, every unit is encoded apart.
+    """
+
+    strings: list[bytes]
+
+    def cut(self, text: str) -> list[str]:
+        return text.split(" ")
+
+    def joins(self, unit: str) -> bool:
+        return True
+
+    def spaced(self, texts: list[str]) -> list[list[int]]:
+        """Ids of space and text, for each text."""
+        raise NotImplementedError
+
+    def encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, number of ids of each unit, whether their bytes are those of space and unit)."""
+        apart = [k for k, u in enumerate(units) if not self.joins(u)]
+        lone, joining = set(apart), len(units) - len(apart)
+        order = [k for k in range(len(units)) if k not in lone] + apart if apart else [*range(len(units))]
+        chunks = [order[at : min(at + JOINED, joining)] for at in range(0, joining, JOINED)] + [[k] for k in order[joining:]]
+        texts = [" ".join([units[k] for k in c]) for c in chunks]
+        parts: list[np.ndarray] = []
+        counts, good = np.zeros(len(units), np.int64), np.ones(len(units), bool)
+        for chunk, text, ids in zip(chunks, texts, self.spaced(texts), strict=True):
+            own = np.array(ids, np.int64)
+            at = np.flatnonzero(self.begins[own])
+            fits = b"".join(map(self.strings.__getitem__, ids)) == (" " + text).encode()
+            if len(chunk) == 1:
+                counts[chunk[0]], good[chunk[0]] = len(own), fits
+            elif fits and len(at) == len(chunk):
+                counts[chunk] = np.diff(at, append=len(own))
+            else:
+                each = self.spaced([units[k] for k in chunk])
+                counts[chunk] = [len(e) for e in each]
+                good[chunk] = [b"".join([self.strings[i] for i in e]) == (" " + units[k]).encode() for k, e in zip(chunk, each, strict=True)]
+                own = np.fromiter(chain.from_iterable(each), np.int64)
+            parts.append(own)
+        ids = np.concatenate(parts) if parts else np.empty(0, np.int64)
+        if not apart:
+            return ids, counts, good
+        starts = np.empty(len(units), np.int64)  # back into the order of the units
+        starts[order] = np.concatenate(([0], np.cumsum(counts[order])))[:-1]
+        return ids[_ranges(starts, counts)], counts, good
+
+
+class Pieces(Units):
+    """A piece BPE model (sentencepiece file), which puts the space in front itself."""
 
     def __init__(self, model: bytes):
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
         names = [self.library.id_to_piece(i) for i in range(self.library.vocab_size())]
         self.strings = [bytes([int(p[3:5], 16)]) if self.library.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
-        # no piece reaches over the beginning of a word or over a line end: words encode alike wherever they stand
-        self.apart = not any("▁" in p[1:] or "\n" in p for p in names)
-        self.words = _Cache(self.word)
+        self.begins = np.array([s.startswith(b" ") for s in self.strings])
+        self.space = self.library.piece_to_id("▁")
+        self.apart = not any("▁" in p[1:] for p in names)  # no piece reaches over the space before a word
 
-    def encode(self, text: str) -> bytes:
-        return np.array(self.library.encode(text), "<u4").tobytes()
+    def cut(self, text: str) -> list[str]:
+        return text.split(" ") if self.apart else [text]
 
-    def word(self, word: str) -> bytes:
-        return self.encode(word) if word else np.array(self.library.piece_to_id(["▁"]), "<u4").tobytes()
+    def joins(self, unit: str) -> bool:
+        return self.apart and unit != ""
 
-    def spaced(self, text: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, text.split(" "))) if self.apart else self.encode(text)
+    def spaced(self, texts: list[str]) -> list[list[int]]:
+        return [ids if t else [self.space] for t, ids in zip(texts, self.library.encode(texts, num_threads=1), strict=True)]
 
 
-def spaced(a: LibraryEncoder, text: str) -> bytes:
-    """A's ids of space and text; special strings are plain text."""
-    if ODD_SPACE.search(text):
-        return a.by_pattern(" " + text)
-    out = []
-    first, inner = a.first.__getitem__, a.inner.__getitem__
-    for k, line in enumerate(text.split("\n")):
-        head, *rest = line.split(" ")
-        out += (first(head) if k else inner(head), *map(inner, rest), a.newline)
-    out.pop()
-    return b"".join(out)
+class Bytes(Units):
+    """A byte-level BPE (the vocabulary of LibraryEncoder); special strings are plain text."""
 
+    def __init__(self, vocabulary: str):
+        own = encoder(vocabulary, LibraryEncoder)
+        self.library = own.library
+        self.strings = [own.vocabulary.strings.get(i, b"") for i in range(max(own.vocabulary.strings) + 1)]
+        self.begins = np.array([s.startswith(b" ") for s in self.strings])
 
-class Tokens:
-    """Ids of the texts of a batch by one tokenizer, one after another, with the bytes of space and text that each ends at."""
+    def cut(self, text: str) -> list[str]:
+        """At spaces, unless white space stands otherwise than singly between words."""
+        return [text] if odd_space(text) else text.split(" ")
+
+    def joins(self, unit: str) -> bool:
+        return unit.isalnum() or not (" " in unit or odd_space(unit))
+
+    def spaced(self, texts: list[str]) -> list[list[int]]:
+        one = self.library.encode_ordinary
+        return [one(" " + t) for t in texts]
+
+
+def odd_space(text: str) -> bool:
+    """What ODD_SPACE finds, tested piece by piece."""
+    return "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1] in ("", " ", "\n") or text[-1] in " \n" or RARE.search(text) is not None
 
-    def __init__(self, encoded: list[bytes], lengths: np.ndarray):
-        self.ids = np.frombuffer(b"".join(encoded), "<u4").astype(np.int64)
-        self.count = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4
+
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """All of starts[k] to starts[k] + counts[k] - 1, one after another."""
+    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+
+
+class Tokens:
+    """Ids of the texts of a batch by one tokenizer, one after another, with the bytes of space and text that each ends at.
+
+    Texts are cut into units that encode apart, and each distinct unit of the batch is encoded once. `whole` says of each text
+    whether its tokens' bytes are those of space and text.
+    """
+
+    def __init__(self, tokenizer: Units, texts: list[str | None], lengths: np.ndarray):
+        number: dict[str, int] = {}
+        rows = array("q")
+        ends = []
+        for text in texts:
+            if text:
+                rows.extend([number.setdefault(u, len(number)) for u in tokenizer.cut(text)])
+            ends.append(len(rows))
+        self.lengths = lengths
+        self.unit_ids, self.unit_count, good = tokenizer.encode([*number])
+        self.rows, self.text = np.frombuffer(rows, np.int64), np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0))
+        self.whole = np.bincount(self.text[~good[self.rows]], minlength=len(texts)) == 0
+
+    def settle(self, kept: np.ndarray) -> Tokens:
+        """Leaves the tokens of the texts that are kept only."""
+        on = kept[self.text]
+        rows, text = self.rows[on], self.text[on]
+        count = self.unit_count[rows]
+        starts = np.concatenate(([0], np.cumsum(self.unit_count)))[rows]
+        self.ids = self.unit_ids[_ranges(starts, count)]
+        self.count = np.bincount(text, weights=count, minlength=len(kept)).astype(np.int64)
         self.first = np.concatenate(([0], np.cumsum(self.count)))
-        self.size = lengths[self.ids]
+        self.size = self.lengths[self.ids]
         self.ends = np.cumsum(self.size)  # over all texts, so that no two texts overlap
+        del self.rows, self.text, self.unit_ids, self.unit_count
+        return self
 
 
 def lockstep(a: Tokens, b: Tokens, stretch: int = STRETCH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -104,58 +203,34 @@ def lockstep(a: Tokens, b: Tokens, stretch: int = STRETCH) -> tuple[np.ndarray,
     return left, at - left, cut[at]
 
 
-def _digits(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Decimal digits of 0 to n - 1, right-aligned, and which of them count."""
-    wide = len(str(max(0, n - 1)))
-    powers = 10 ** np.arange(wide - 1, -1, -1)
-    digits = np.arange(n)[:, None] // powers
-    return (digits % 10 + 48).astype(np.uint8), (digits > 0) | (powers == 1)
-
-
-def group_strings(a: Tokens, b: Tokens, left: np.ndarray, right: np.ndarray, cut: np.ndarray, figures: tuple[np.ndarray, np.ndarray]) -> tuple[bytes, np.ndarray]:
-    """Groups of all texts as bytes, `a1,a2|b1;a3|b2,b3` for each text, and where each text ends."""
+def group_strings(a: Tokens, b: Tokens, left: np.ndarray, right: np.ndarray, cut: np.ndarray, figures: list[bytes]) -> Iterator[bytes]:
+    """Groups of each text, `a1,a2|b1;a3|b2,b3`; `figures` holds ids with a comma or the mark behind their group, first A's, then B's."""
     ends_a, ends_b = np.zeros(len(a.ids), bool), np.zeros(len(b.ids), bool)
     ends_a[left[cut]] = ends_b[right[cut]] = True
     group_a, group_b = (np.cumsum(e) - e for e in (ends_a, ends_b))
     # a token's place: the tokens of its own kind before it, and those of the other kind in groups before (B: up to) its own
     total_a, total_b = (np.concatenate(([0], np.flatnonzero(e) + 1)) for e in (ends_a, ends_b))
-    at_a = np.arange(len(a.ids)) + total_b[group_a]
-    at_b = np.arange(len(b.ids)) + total_a[group_b + 1]
-    digits, counted = figures
-    wide = digits.shape[1]
-    cells = np.empty((len(a.ids) + len(b.ids), wide + 1), np.uint8)
-    shown = np.ones(cells.shape, bool)
-    for at, t, e, mark in ((at_a, a, ends_a, "|"), (at_b, b, ends_b, ";")):
-        cells[at, :wide], shown[at, :wide] = digits[t.ids], counted[t.ids]
-        cells[at, wide] = np.where(e, ord(mark), ord(","))
-    final = (a.first + b.first)[1:]
-    shown[final[(a.count > 0)] - 1, wide] = False  # nothing behind the last group of a text
-    sizes = np.concatenate(([0], np.cumsum(shown.sum(axis=1))))
-    return cells[shown].tobytes(), sizes[final]
+    order = np.empty(len(a.ids) + len(b.ids), np.int64)
+    order[np.arange(len(a.ids)) + total_b[group_a]] = 2 * a.ids + ends_a
+    order[np.arange(len(b.ids)) + total_a[group_b + 1]] = 2 * (len(a.lengths) + b.ids) + ends_b
+    marked = list(map(figures.__getitem__, order.tolist()))
+    ends = (a.first + b.first).tolist()
+    for s, e in zip(ends[:-1], ends[1:], strict=True):
+        yield b"".join(marked[s:e])[:-1]
 
 
 class Aligner:
-    """Both tokenizers, and the bytes of their ids."""
+    """Both tokenizers, and the number of bytes and the figures of their ids."""
 
     def __init__(self, vocabulary: str, model: bytes):
-        self.a, self.b = encoder(vocabulary, LibraryEncoder), Pieces(model)
-        strings = self.a.vocabulary.strings
-        self.strings_a = [strings.get(i, b"") for i in range(max(strings) + 1)]
-        self.length_a, self.length_b = (np.array([len(s) for s in t], np.int64) for t in (self.strings_a, self.b.strings))
-        self.figures = _digits(max(len(self.strings_a), len(self.b.strings)))
-
-    def encode(self, text: str | None) -> tuple[bytes, bytes]:
-        if not text:
-            return b"", b""
-        want, out = (" " + text).encode(), (spaced(self.a, text), self.b.spaced(text))
-        for ids, strings in zip(out, (self.strings_a, self.b.strings), strict=True):
-            if b"".join(map(strings.__getitem__, memoryview(ids).cast("I"))) != want:
-                return b"", b""
-        return out
+        self.a, self.b = Bytes(vocabulary), Pieces(model)
+        self.length_a, self.length_b = (np.array([len(s) for s in t.strings], np.int64) for t in (self.a, self.b))
+        self.figures = [b"%d%c" % (i, mark) for n, end in ((len(self.length_a), b"|"), (len(self.length_b), b";")) for i in range(n) for mark in (b",", end)]
 
     def block(self, texts: list[str | None]) -> tuple[Tokens, Tokens, np.ndarray, np.ndarray, np.ndarray]:
-        encoded = [self.encode(t) for t in texts]
-        a, b = Tokens([x for x, _ in encoded], self.length_a), Tokens([y for _, y in encoded], self.length_b)
+        a, b = Tokens(self.a, texts, self.length_a), Tokens(self.b, texts, self.length_b)
+        whole = a.whole & b.whole
+        a, b = a.settle(whole), b.settle(whole)
         return a, b, *lockstep(a, b)
 
 
@@ -163,7 +238,7 @@ _aligners: dict[str, Aligner] = {}
 
 
 def aligner(vocabulary: str, model: bytes) -> Aligner:
-    """One for each pair of tokenizers and Python worker, so that the caches of words serve later tasks too."""
+    """One for each pair of tokenizers and Python worker."""
     key = hashlib.blake2b(vocabulary.encode() + model).hexdigest()
     if key not in _aligners:
         _aligners[key] = Aligner(vocabulary, model)
@@ -231,16 +306,14 @@ def _state(both: Aligner, block: int, ids: list, texts: list) -> Iterator[pa.Rec
     a, b, left, right, cut = both.block(texts)
     n = len(ids)
     owner = np.repeat(np.arange(n), a.count)[left]
-    joined, ends = group_strings(a, b, left, right, cut, both.figures)
-    view, begun = memoryview(joined), np.concatenate(([0], ends))
-    shas = [hashlib.sha256(view[s:e]).hexdigest() if e > s else "" for s, e in zip(begun[:-1].tolist(), begun[1:].tolist(), strict=True)]
+    shas = [hashlib.sha256(g).hexdigest() if g else "" for g in group_strings(a, b, left, right, cut, both.figures)]
     n_b = len(both.length_b)
-    pair = a.ids[left] * n_b + b.ids[right]
-    known, number = np.unique(pair, return_inverse=True)
-    own = np.sort(owner * len(known) + number) if len(known) else pair
+    span = len(both.length_a) * n_b
+    own = np.sort(owner * span + a.ids[left] * n_b + b.ids[right])
     new = np.flatnonzero(np.diff(own, prepend=-1))
     times, own = np.diff(np.append(new, len(own))), own[new]
-    of, number_of = (own // len(known), own % len(known)) if len(known) else (own, own)
+    of = own // span
+    known, number_of = np.unique(own - of * span, return_inverse=True)  # the block's pairs, and of each text which of them
     cuts = np.searchsorted(of, np.arange(n), side="right")
     steps = np.diff(number_of, prepend=0).astype("<i4")
     starts = np.concatenate(([0], cuts[:-1]))

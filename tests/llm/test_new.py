@@ -117,8 +117,10 @@ def test_alignment_of_nothing(spark):
 def test_encoders_equal_the_libraries(text):
     both = alignment.aligner(bpe.read_vocabulary(VOCABULARY), open(PIECES, "rb").read())
     want = plain_tokens(text)
-    a, b = both.encode(text)
-    assert (np.frombuffer(a, "<u4").tolist(), np.frombuffer(b, "<u4").tolist()) == ((want[0][0], want[1][0]) if want else ([], []))
+    a, b, *_ = both.block(["one two", text, text + " one"])
+    ids = [x.ids[x.first[1] : x.first[2]].tolist() for x in (a, b)]
+    assert ids == ([want[0][0], want[1][0]] if want else [[], []])
+    assert alignment.odd_space(text) == bool(not text or bpe.ODD_SPACE.search(text))
 
 
 # --- op12 -------------------------------------------------------------------------------------------------------------
