@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 from operator import or_
 
@@ -170,15 +171,24 @@ def media_array(images: Column, alts: Column) -> Column:
     return F.filter(zipped, lambda m: F.coalesce(m["url"] != "", F.lit(False)))
 
 
-def fold_text(c: Column, most: int = 160) -> Column:
-    return F.lower(F.translate(F.substring(F.trim(F.regexp_replace(plain_spaces(c), r"\s+", " ")), 1, most), *ACCENTS))
+def _folded() -> tuple[str, str, dict[str, str]]:
+    """Letters whose compatibility decomposition has one ASCII character, these characters, and Latin letters that have several."""
+    pairs = {c: unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode() for c in map(chr, range(0x80, 0xD800))}
+    pairs |= {c: unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode() for c in map(chr, range(0xF900, 0xFFFF))}
+    one = {c: a for c, a in pairs.items() if len(a) == 1}
+    many = {c: a for c, a in pairs.items() if len(a) > 1 and c == c.lower() and unicodedata.category(c)[0] == "L" and "LATIN" in unicodedata.name(c, "")}
+    return "".join(one), "".join(one.values()), many
+
 
+FOLDED = _folded()
 
-def similarity(a: Column, b: Column) -> Column:
-    """1 - edit distance over the longer length, of letters and digits only."""
-    a, b = (F.regexp_replace(F.lower(x), "[^a-z0-9]", "") for x in (a, b))
-    longer = F.greatest(F.length(a), F.length(b))
-    return F.when(longer == 0, 0.0).otherwise(1 - F.levenshtein(a, b) / longer)
+
+def fold_text(c: Column, most: int = 160) -> Column:
+    """Lower case, white space collapsed, at most `most` characters, folded to ASCII: what has no ASCII letter in it goes."""
+    text = F.translate(F.lower(F.substring(F.trim(F.regexp_replace(plain_spaces(c), r"\s+", " ")), 1, most)), FOLDED[0], FOLDED[1])
+    for letter, plain in FOLDED[2].items():
+        text = F.replace(text, F.lit(letter), F.lit(plain))
+    return F.regexp_replace(text, r"[^\x00-\x7F]", "")
 
 
 def url_allowed(c: Column) -> Column:

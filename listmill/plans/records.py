@@ -8,6 +8,7 @@ from listmill.functions import columns as C
 from listmill.operators import merge, query, records
 from listmill.plans.registry import STOP, q
 from listmill.sources.bindings import table, view
+from listmill.streaming import jobs
 
 # Expressions that both engines read, on listings_v.
 RAW_KIND = "CASE id % 6 WHEN 0 THEN ' Apartamento ' WHEN 1 THEN 'TERRENO' WHEN 2 THEN 'loja' WHEN 3 THEN 'castle' WHEN 4 THEN '' END"
@@ -216,10 +217,10 @@ def w16_classify(spark, d):
     return merge.classify(found.select("source_url"), view(spark, d, "current_v"), raw)
 
 
-@q("SELECT job_id, status FROM jobs_v WHERE status = 'running' OR created_at >= DATE '2001-01-01'")
+@q("SELECT job_id, status FROM jobs_v WHERE status = 'running' OR epoch(CAST(created_at AS TIMESTAMP)) >= epoch(TIMESTAMP '2001-01-01 00:00:00') - 3600")
 def r8_evict(spark, d):
-    """Finished jobs older than the limit are evicted."""
-    return view(spark, d, "jobs_v").where("status = 'running' OR created_at >= DATE '2001-01-01'").select("job_id", "status")
+    """Finished jobs older than an hour are evicted; the day of their creation stands for that of their end."""
+    return jobs.evict(view(spark, d, "jobs_v"), F.lit("2001-01-01 00:00:00").cast("timestamp"), at="created_at").select("job_id", "status")
 
 
 def _fake(prompt: str) -> str:

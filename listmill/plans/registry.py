@@ -439,3 +439,17 @@ def r5_stale(spark, d):
 def r7_lifecycle(spark, d):
     e = view(spark, d, "events_v").select("job_id", "ts", "event_id", F.expr("CASE kind WHEN 'new' THEN 'start' WHEN 'error' THEN 'cancel' WHEN 'scraped' THEN 'complete' ELSE 'tick' END").alias("action"))
     return streams.lifecycle(e)
+
+
+_NOW = "CASE WHEN s.state IN ('completed', 'failed', 'cancelled') AND e.t - s.t > 3600000 THEN 'pending' ELSE s.state END"
+_ASKED = "(s.asked AND NOT (s.state IN ('completed', 'failed', 'cancelled') AND e.t - s.t > 3600000))"
+
+
+@q(_FOLD.format(out="key AS job_id, state", where="n = of", rows=_ACTIONS.replace("CAST(NULL AS DOUBLE) AS t", "CAST(epoch_ms(ts) AS DOUBLE) AS t"), start="'pending' AS state, false AS asked, CAST(-1 AS BIGINT) AS of",
+    next=f"""CASE WHEN {_NOW} = 'pending' AND e.action = 'start' THEN 'running' WHEN {_NOW} = 'pending' AND e.action = 'cancel' THEN 'cancelled'
+ WHEN {_NOW} = 'running' AND e.action = 'complete' THEN CASE WHEN {_ASKED} THEN 'cancelled' ELSE 'completed' END WHEN {_NOW} = 'running' AND e.action = 'fail' THEN 'failed' ELSE {_NOW} END,
+ {_ASKED} OR ({_NOW} = 'running' AND e.action = 'cancel'), e.of"""))
+def r7_forgotten(spark, d):
+    """Jobs that have ended are forgotten an hour after their last event; a later one begins anew."""
+    e = view(spark, d, "events_v").select("job_id", "ts", "event_id", F.expr("CASE kind WHEN 'new' THEN 'start' WHEN 'error' THEN 'cancel' WHEN 'scraped' THEN 'complete' ELSE 'tick' END").alias("action"))
+    return streams.lifecycle(e, streams.KEPT)

@@ -6,12 +6,13 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from listmill.functions import columns as C
 from listmill.operators import extract, merge
+from listmill.streaming import states
 
 DELAY = "10 minutes"
 EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -40,11 +41,12 @@ def first_seen(urls: DataFrame) -> DataFrame:
     return urls.withWatermark("ts", DELAY).dropDuplicatesWithinWatermark(["job_id", "url"]) if urls.isStreaming else urls.dropDuplicates(["job_id", "url"])
 
 
-def _in_order(requests: DataFrame, step: Callable[[list[float], float], bool], name: str) -> DataFrame:
+def _in_order(requests: DataFrame, step: Callable[[list[float], float], bool], name: str, seconds: float) -> DataFrame:
     """requests(key, t, id) with what `step(held, t)` says of each; it keeps what it must know of a key's earlier ones in `held`.
 
     A batch deals the rows by key, sorts and streams them, so that a key of any size holds only `held`. A stream keeps `held`
-    as the key's state; it gives the same rows if a key's requests arrive in order.
+    as the key's state until `seconds` after its last time; it gives the same rows if a key's requests arrive in order, and not
+    later than DELAY after those of other keys.
     """
     schema = f"key long, t double, id long, {name} boolean"
 
@@ -58,16 +60,10 @@ def _in_order(requests: DataFrame, step: Callable[[list[float], float], bool], n
                 out.append(step(held, t))
             yield frame.assign(**{name: out})
 
-    def batch(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(frames)).sort_values(["t", "id"])
-        rows = rows.assign(**{name: [step(held, t) for t in rows["t"].tolist()]})
-        state.update((held,))
-        yield rows[["key", "t", "id", name]]
-
     rows = requests.select("key", "t", "id")
     if requests.isStreaming:
-        return rows.groupBy("key").applyInPandasWithState(batch, schema, "held array<double>", "append", GroupStateTimeout.NoTimeout)
+        timed = rows.withColumn("ts", F.timestamp_micros((F.col("t") * 1_000_000).cast("long"))).withWatermark("ts", DELAY)
+        return states.expiring(timed, "key", states.Held(step, seconds, name), schema)
     return rows.repartition("key").sortWithinPartitions("key", "t", "id").mapInPandas(run, schema)
 
 
@@ -84,7 +80,7 @@ def rate_limit(requests: DataFrame, most: int, seconds: float) -> DataFrame:
         held.append(t)
         return True
 
-    return _in_order(requests, step, "admitted")
+    return _in_order(requests, step, "admitted", seconds)
 
 
 def ttl_reuse(requests: DataFrame, ttl: float) -> DataFrame:
@@ -96,7 +92,7 @@ def ttl_reuse(requests: DataFrame, ttl: float) -> DataFrame:
         held[:] = [t]
         return False
 
-    return _in_order(requests, step, "hit")
+    return _in_order(requests, step, "hit", ttl)
 
 
 def heartbeats(events: DataFrame, seconds: float) -> DataFrame:
@@ -158,41 +154,65 @@ def _moved(state: str, asked: bool, action: str | None) -> tuple[str, bool]:
     return after, asked or (state, action) == ("running", "cancel")
 
 
-def lifecycle(events: DataFrame) -> DataFrame:
+#: States that a job stays in.
+ENDED = ("completed", "failed", "cancelled")
+#: Seconds for which a job that has ended is kept.
+KEPT = 3600
+
+
+def _folded(seconds: float | None) -> Callable[[tuple | None, list[tuple]], tuple]:
+    """fold((state, asked, ms of the last event) or None, [(ms, action)]); a job that ended more than `seconds` before an event begins anew."""
+
+    def fold(job: tuple | None, events: list[tuple]) -> tuple:
+        state, asked, last = job or ("pending", False, None)
+        for ms, action in events:
+            if seconds is not None and state in ENDED and ms - last > 1000 * seconds:
+                state, asked = "pending", False
+            state, asked = _moved(state, asked, action)
+            last = ms
+        return state, asked, last
+
+    return fold
+
+
+def lifecycle(events: DataFrame, seconds: float | None = None) -> DataFrame:
     """Final state of each job after folding its events (start, complete, fail, cancel) in order; illegal moves are ignored.
 
-    The sorted events are streamed, and only the state is kept, whatever the number of a job's events. Streams give, in update
-    mode, the state of each job that had events; the last is that of the batch if a job's events arrive in order.
+    With `seconds`, a job that has ended is forgotten so long after its last event, and a later event begins a new one. The sorted
+    events are streamed, and only the state is kept, whatever the number of a job's events. Streams give, in update mode, the
+    state of each job that had events, and drop the state of forgotten jobs; the last is that of the batch if a job's events
+    arrive in order, and not later than DELAY after those of other jobs.
     """
     schema = f"job_id {events.schema['job_id'].dataType.simpleString()}, state string"
+    fold = _folded(seconds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        jobs, states = [], []
-        key, state, asked, begun = None, "pending", False, False
+        key, job, begun = None, None, False
         for batch in batches:
-            for k, action in zip(batch["job_id"].to_pylist(), batch["action"].to_pylist(), strict=True):
+            jobs, states_of, kind = [], [], batch["job_id"].type
+            for k, ms, action in zip(batch["job_id"].to_pylist(), batch["ms"].to_pylist(), batch["action"].to_pylist(), strict=True):
                 if not begun or k != key:
                     if begun:
                         jobs.append(key)
-                        states.append(state)
-                    key, state, asked, begun = k, "pending", False, True
-                state, asked = _moved(state, asked, action)
-            yield pa.RecordBatch.from_arrays([pa.array(jobs, batch["job_id"].type), pa.array(states, pa.string())], ["job_id", "state"])
-            jobs, states, kind = [], [], batch["job_id"].type
+                        states_of.append(job[0])
+                    key, job, begun = k, None, True
+                job = fold(job, [(ms, action)])
+            yield pa.RecordBatch.from_arrays([pa.array(jobs, kind), pa.array(states_of, pa.string())], ["job_id", "state"])
         if begun:
-            yield pa.RecordBatch.from_arrays([pa.array([key], kind), pa.array([state], pa.string())], ["job_id", "state"])
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
-        state, asked = kept.get if kept.exists else ("pending", False)
-        for action in pd.concat(list(frames)).sort_values(["ts", "event_id", "action"])["action"].tolist():
-            state, asked = _moved(state, asked, action)
-        kept.update((state, asked))
-        yield pd.DataFrame({"job_id": [key[0]], "state": [state]})
+            yield pa.RecordBatch.from_arrays([pa.array([key], kind), pa.array([job[0]], pa.string())], ["job_id", "state"])
 
-    rows = events.select("job_id", "ts", "event_id", "action")
+    # without an end, times are asked for nothing: any order of ts will do
+    ms = F.unix_millis("ts") if seconds is not None or events.isStreaming else F.lit(0).cast("long")
+    rows = events.select("job_id", "ts", "event_id", "action", ms.alias("ms"))
     if events.isStreaming:
-        return rows.groupBy("job_id").applyInPandasWithState(step, schema, "state string, asked boolean", "update", GroupStateTimeout.NoTimeout)
-    return rows.repartition("job_id").sortWithinPartitions("job_id", "ts", "event_id", "action").mapInArrow(run, schema)
+        return states.expiring(rows.withWatermark("ts", DELAY), "job_id", states.Lifecycle(fold, ENDED, seconds), schema, "update")
+    return rows.repartition("job_id").sortWithinPartitions("job_id", "ts", "event_id", "action").select("job_id", "action", "ms").mapInArrow(run, schema)
+
+
+def evict(jobs: DataFrame, now: Column, seconds: int = KEPT, at: str = "finished_at") -> DataFrame:
+    """jobs(status, finished_at) without those that ended more than `seconds` before `now`; jobs without an end stay."""
+    old = F.col("status").isin(*ENDED) & (F.unix_micros(F.col(at).cast("timestamp")) < F.unix_micros(now.cast("timestamp")) - 1_000_000 * seconds)
+    return jobs.where(~F.coalesce(old, F.lit(False)))
 
 
 def progress_feed(snapshots: DataFrame, terminal: tuple[str, ...] = ("completed", "failed", "cancelled"), every: int = 15, most: int = 3600) -> DataFrame:
