@@ -5,7 +5,7 @@ Each returns the new table (or side table) as a DataFrame; the caller writes it
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -24,10 +24,18 @@ def upsert(current: DataFrame, incoming: DataFrame, fields: list[str], key: str
     return both.select(key, *rest, *[F.coalesce(f"_{f}", f).alias(f) for f in fields], state.alias("state"))
 
 
+def upsert_dated(current: DataFrame, incoming: DataFrame, fields: list[str], now: Column, key: str = "source_url") -> DataFrame:
+    """upsert() of rows with created_at, which stays, and updated_at: both `now` for new keys, updated_at for updated ones too."""
+    out = upsert(current, incoming, fields, key)
+    created = F.when(F.col("state") == "new", now).otherwise(F.col("created_at"))
+    return out.withColumns({"created_at": created, "updated_at": F.when(F.col("state") != "kept", now).otherwise(F.col("updated_at"))})
+
+
 def price_history_rows(current: DataFrame, incoming: DataFrame, key: str = "source_url") -> DataFrame:
-    """The old price of every listing whose price changes."""
+    """The old price (and currency, if the table has it) of every listing whose price changes."""
     new = winners(incoming, key).select(key, F.col("price_amount").alias("new_price"))
-    return current.join(new, key).where("price_amount <> new_price").select("id", key, F.col("price_amount").alias("old_price"), "new_price")
+    old = [F.col("price_currency").alias("old_currency")] if "price_currency" in current.columns else []
+    return current.join(new, key).where("price_amount <> new_price").select("id", key, F.col("price_amount").alias("old_price"), *old, "new_price")
 
 
 def replace_media(media: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from listmill.functions import columns as C
-from listmill.operators import extract, merge
-from listmill.streaming import states
+from listmill.operators import extract, sections
+from listmill.streaming import states, store
 
 DELAY = "10 minutes"
 EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -268,34 +268,34 @@ def ingest(pages: DataFrame, handle, checkpoint: str):
     return pages.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-#: Columns of the listing table that `ingest_listings` keeps.
-LISTING_SCHEMA = "source_url string, id long, title string, price_amount decimal(18,2), area double"
+def page_listings(pages: DataFrame, selectors: dict[str, str]) -> DataFrame:
+    """Rows for store.merge_batch() of pages(page_id, url, html[, site_key, job_id]); selectors names those of title, price, area and images.
 
-
-def ingest_listings(pages: DataFrame, selectors: dict[str, str], store: str, checkpoint: str):
-    """Pages(page_id, url, html) taken in micro-batches through extraction, normalisation and merge.
-
-    selectors names those of title, price and area. `store`/listings/k holds all listings after micro-batch k, made of those
-    after k - 1 and the batch; `store`/prices/k holds the prices that changed in it. A batch that runs again after a failure
-    writes the same two versions again. Of pages of one url in a batch the largest page_id wins; values not found leave those
-    of before. A store belongs to one checkpoint.
+    Without a site_key the url's host is the partner. Of pages of one url the largest page_id wins there.
+    """
+    nodes = extract.page_nodes(pages)
+    plain = {f: s for f, s in selectors.items() if f != "images"}
+    values = extract.extract_direct(nodes, plain) if plain else pages.select("page_id")
+    title, price, area = (F.col(c) if c in selectors else F.lit(None).cast("string") for c in ("title", "price", "area"))
+    rows = pages.where("url IS NOT NULL").join(values, "page_id")
+    if "images" in selectors:
+        rows = rows.join(sections.images(nodes, pages.select("page_id", "url"), selectors["images"]).select("page_id", "images"), "page_id", "left")
+    images = F.col("images") if "images" in selectors else F.lit(None).cast("array<string>")
+    partner = F.col("site_key") if "site_key" in pages.columns else store.host(F.col("url"))
+    job = F.col("job_id") if "job_id" in pages.columns else F.lit(None)
+    return rows.select(
+        F.col("url").alias("source_url"), partner.alias("source_partner"), C.clean_text(title).alias("title"), C.price_amount(price).cast("decimal(18,2)").alias("price_amount"), C.currency(price).alias("price_currency"),
+        C.area(area).cast("double").alias("area_useful_m2"), images.alias("images"), job.cast("long").alias("scrape_job_id"), F.col("page_id").alias("ord"),
+    )
+
+
+def ingest_listings(pages: DataFrame, selectors: dict[str, str], path: str, checkpoint: str):
+    """Pages taken in micro-batches through extraction, normalisation and merge into the listing table at `path` (store.py).
+
+    A micro-batch that runs again after a failure changes nothing twice. A store belongs to one checkpoint.
     """
 
     def handle(batch: DataFrame, k: int) -> None:
-        spark = batch.sparkSession
-        values = extract.extract_direct(extract.dom_nodes(batch), selectors)
-        title, price, area = (F.col(c) if c in selectors else F.lit(None).cast("string") for c in ("title", "price", "area"))
-        new = batch.where("url IS NOT NULL").select("page_id", "url").join(values, "page_id").select(
-            F.col("url").alias("source_url"), F.xxhash64("url").alias("id"), C.clean_text(title).alias("title"),
-            C.price_amount(price).cast("decimal(18,2)").alias("price_amount"), C.area(area).cast("double").alias("area"), F.col("page_id").alias("ord"),
-        )
-        new = new.persist()  # asked for twice
-        try:
-            current = spark.read.schema(LISTING_SCHEMA).parquet(f"{store}/listings/{k - 1}") if k else spark.createDataFrame([], LISTING_SCHEMA)
-            merge.price_history_rows(current, new).write.mode("overwrite").parquet(f"{store}/prices/{k}")
-            after = merge.upsert(current, new, ["id", "title", "price_amount", "area"])
-            after.select("source_url", "id", "title", "price_amount", "area").write.mode("overwrite").parquet(f"{store}/listings/{k}")
-        finally:
-            new.unpersist()
+        store.merge_batch(path, page_listings(batch, selectors), k)
 
     return ingest(pages, handle, checkpoint)

@@ -10,7 +10,7 @@ from listmill.functions import columns as C
 from listmill.operators import extract, merge, query
 from listmill.plans import registry
 from listmill.sources import tables
-from listmill.streaming import jobs
+from listmill.streaming import jobs, store
 
 from .conftest import DATA
 
@@ -173,16 +173,17 @@ def test_stale_stream_equals_batch(spark, tmp_path):
 
 def test_ingest_listings(spark, tmp_path):
     html = lambda title, price: f"<h1>{title}</h1><b class='price'>{price}</b><i class='area'>80 m²</i>"
-    batches = [[(1, "u1", html(" Flat  one ", "250 000 €")), (2, "u2", html("Two", "100 000 €")), (3, "u2", html("Two again", "110 000 €"))], [(4, "u1", html("Flat", "240 000 €")), (5, "u3", html("Three", "sob consulta")), (6, None, html("No url", "1 000 €"))], [(7, "u3", "")]]
+    batches = [[(1, "https://a/1", html(" Flat  one ", "250 000 €") + "<img src=/p.jpg>"), (2, "https://a/2", html("Two", "100 000 €")), (3, "https://a/2", html("Two again", "110 000 €"))], [(4, "https://a/1", html("Flat", "240 000 €")), (5, "https://b/3", html("Three", "sob consulta")), (6, None, html("No url", "1 000 €"))], [(7, "https://b/3", "")]]
     schema = "page_id long, url string, html string"
     for k, rows in enumerate(batches):
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / str(k)))
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
-    jobs.ingest_listings(source, {"title": "h1", "price": "b.price", "area": "i.area"}, str(tmp_path / "store"), str(tmp_path / "cp")).awaitTermination()
-    out = {r["source_url"]: (r["title"], r["price_amount"], r["area"]) for r in spark.read.parquet(str(tmp_path / "store" / "listings" / "2")).collect()}
-    assert out == {"u1": ("Flat", 240000, 80), "u2": ("Two again", 110000, 80), "u3": ("Three", None, 80)}
-    changed = [spark.read.parquet(str(tmp_path / "store" / "prices" / str(k))).select("source_url", "old_price", "new_price").collect() for k in range(3)]
-    assert [[tuple(r) for r in c] for c in changed] == [[], [("u1", 250000, 240000)], []]
+    path = str(tmp_path / "store")
+    jobs.ingest_listings(source, {"title": "h1", "price": "b.price", "area": "i.area", "images": "img"}, path, str(tmp_path / "cp")).awaitTermination()
+    out = {r["source_url"]: (r["title"], r["price_amount"], r["price_currency"], r["area_useful_m2"], r["images"]) for r in store.read_listings(spark, path).collect()}
+    assert out == {"https://a/1": ("Flat", 240000, "EUR", 80, ["https://a/p.jpg"]), "https://a/2": ("Two again", 110000, "EUR", 80, None), "https://b/3": ("Three", None, None, 80, None)}
+    prices = [(r["batch"], r["source_url"], r["old_price"], r["old_currency"], r["new_price"]) for r in store.read_prices(spark, path).collect()]
+    assert prices == [(1, "https://a/1", 250000, "EUR", 240000)]
 
 
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
