@@ -100,9 +100,10 @@ def price_per_m2(amount: Column, gross: Column, useful: Column) -> Column:
 
 
 def clean_description(c: Column) -> Column:
-    c = F.regexp_replace(F.trim(F.regexp_replace(plain_spaces(c), r"\s+", " ")), "^(?i)(descrição|description) *:? *", "")
-    c = F.regexp_replace(c, r" +([.,;:!?])", "$1")
-    return nullif_blank(F.trim(F.regexp_replace(F.regexp_replace(c, r"([.,;:!?])([^ .,;:!?0-9])", "$1 $2"), " +", " ")))
+    """A leading label with its colon or dash goes, as do blanks before punctuation; a blank is put behind the end of a sentence."""
+    c = F.regexp_replace(F.trim(F.regexp_replace(plain_spaces(c), r"\s+", " ")), r"^(?iu)(descriç[aã]o|description)\s*[:\-]?\s*", "")
+    c = F.regexp_replace(F.regexp_replace(c, r"\s+([,.;:!?])", "$1"), r"([.!?;:])(\S)", "$1 $2")
+    return nullif_blank(F.trim(F.regexp_replace(c, r"\s+", " ")))
 
 
 def address_or_null(c: Column) -> Column:
@@ -129,7 +130,7 @@ def addr_hier(c: Column) -> Column:
 
 
 def addr_url(url: Column) -> Column:
-    at = lambda i: nullif_blank(F.replace(F.regexp_extract(url, r"(?i)/imovel/[^/]+/[^/]+/([^/]+)/([^/]+)/([^/]+)/", i), F.lit("-"), F.lit(" ")))
+    at = lambda i: nullif_blank(F.replace(F.regexp_extract(url, r"/Imovel/[^/]+/[^/]+/([^/?#]+)/([^/?#]+)/([^/?#]+)/\d+", i), F.lit("-"), F.lit(" ")))
     return F.struct(at(1).alias("district"), at(2).alias("county"), at(3).alias("parish"))
 
 

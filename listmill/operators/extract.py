@@ -241,13 +241,33 @@ def _level(k: int):
     return one
 
 
-def listing_links(pages: DataFrame, pattern: str | None = None) -> DataFrame:
-    """(page_id, url, ord) of links in first-seen order, absolute, distinct for each page."""
-    links = pages.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit('<a[^>]*href="([^"]+)"'), F.lit(1))).alias("ord", "href"))
-    links = links.where("href NOT LIKE 'javascript:%' AND href NOT LIKE '#%'").select("page_id", url_join(F.col("url"), F.col("href")).alias("url"), "ord")
-    if pattern:
-        links = links.where(F.col("url").rlike(pattern))
-    return links.groupBy("page_id", "url").agg(F.min("ord").alias("ord"))
+def listing_links(nodes: DataFrame, pages: DataFrame, selector: str = "a", pattern: str | None = None) -> DataFrame:
+    """(page_id, url, ord): targets of the matching elements, absolute, distinct for each page; ord sorts them as they are first seen.
+
+    Targets come from the parsed elements, so that quotes and entities are read as they are meant. Empty ones are left out.
+    """
+    return absolute_links(select_nodes(nodes, selector), pages, F.lit(pattern) if pattern else None)
+
+
+def site_links(nodes: DataFrame, pages: DataFrame, sites: DataFrame) -> DataFrame:
+    """listing_links() of pages(page_id, site_key, url) by sites(site_key, link_selector, link_pattern), read as data.
+
+    Without a selector every link counts, without a pattern every url.
+    """
+    own = nodes.join(pages.select("page_id", "site_key"), "page_id")
+    selectors = sites.select("site_key", F.lit("link").alias("field"), F.coalesce("link_selector", F.lit("a")).alias("selector"))
+    found = matching.select_by_site(own, selectors)
+    patterns = pages.join(sites.select("site_key", F.coalesce("link_pattern", F.lit("")).alias("_pattern")), "site_key")
+    return absolute_links(found, patterns.select("page_id", "url", "_pattern"), F.col("_pattern"))
+
+
+def absolute_links(found: DataFrame, pages: DataFrame, pattern: Column | None = None) -> DataFrame:
+    """(page_id, url, ord) of the elements' targets as seen from their page's url."""
+    href = F.col("attrs")["href"]
+    rows = found.where(href != "").select("page_id", "node_id", href.alias("_href")).join(pages, "page_id")
+    rows = rows.withColumn("url", url_join(F.col("url"), F.col("_href")))
+    rows = rows if pattern is None else rows.where(F.rlike(F.col("url"), pattern))
+    return rows.groupBy("page_id", "url").agg(F.min("node_id").alias("ord"))
 
 
 def new_links(links: DataFrame, job: str) -> DataFrame:

@@ -88,11 +88,26 @@ def visited_prefix(visits: DataFrame, job: str, order: list[str], url: str) -> D
     return visits.withColumn("_r", again).withColumn("_r", F.max("_r").over(Window.partitionBy(job).orderBy(*order))).where("_r = 0").drop("_r")
 
 
-def link_report(links: DataFrame, pattern: str, show: int = 5) -> DataFrame:
-    """links(page_id, url, ord): found, matched, and the first matching and rejected urls of each page."""
-    rows = links.withColumn("ok", F.col("url").rlike(pattern))
+def link_report(nodes: DataFrame, pages: DataFrame, selector: str = "a", pattern: str = "", thumbnail: str | None = None, next_page_selector: str | None = None, show: int = 5) -> DataFrame:
+    """A row for each page: links found and matched, the first matching and rejected urls, thumbnails of the first elements, the next page."""
+    rows = extract.listing_links(nodes, pages, selector).withColumn("ok", F.col("url").rlike(pattern))
     some = lambda keep: F.slice(F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("ord", "url")))), lambda x: x["url"]), 1, show)
-    return rows.groupBy("page_id").agg(F.count("*").alias("found"), F.count_if("ok").alias("matched"), some(F.col("ok")).alias("accepted"), some(~F.col("ok")).alias("rejected"))
+    own = rows.groupBy("page_id").agg(F.count("*").alias("found"), F.count_if("ok").alias("matched"), some(F.col("ok")).alias("accepted"), some(~F.col("ok")).alias("rejected"))
+    none = F.array().cast("array<string>")
+    out = pages.select("page_id").join(own, "page_id", "left")
+    out = out.select("page_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("found", "matched")], *[F.coalesce(c, none).alias(c) for c in ("accepted", "rejected")])
+    thumbs = thumbnails(nodes, pages, thumbnail, show) if thumbnail else pages.select("page_id", none.alias("thumbnails")).where("false")
+    ahead = next_page(nodes, pages, next_page_selector) if next_page_selector else pages.select("page_id", F.lit("").alias("next")).where("false")
+    return out.join(thumbs, "page_id", "left").join(ahead, "page_id", "left").withColumn("thumbnails", F.coalesce("thumbnails", none))
+
+
+def thumbnails(nodes: DataFrame, pages: DataFrame, selector: str, show: int = 5) -> DataFrame:
+    """(page_id, thumbnails): absolute sources of the first `show` matching elements, those without one left out."""
+    first = extract.select_nodes(nodes, selector).withColumn("_n", F.row_number().over(Window.partitionBy("page_id").orderBy("node_id"))).where(F.col("_n") <= show)
+    source = F.coalesce(*[F.when(F.col("attrs")[a] != "", F.col("attrs")[a]) for a in SOURCES[:3]])
+    rows = first.select("page_id", "node_id", source.alias("src")).where("src IS NOT NULL").join(pages.select("page_id", F.col("url").alias("_base")), "page_id")
+    urls = F.array_sort(F.collect_list(F.struct("node_id", C.url_join(F.col("_base"), F.col("src")).alias("url"))))
+    return rows.groupBy("page_id").agg(F.transform(urls, lambda x: x["url"]).alias("thumbnails"))
 
 
 def validate_selectors(nodes: DataFrame, pages: DataFrame, selectors: dict[str, str], samples: int = 3, most: int = 200) -> DataFrame:

@@ -36,11 +36,26 @@ def a3_sitemap_urls(spark, d):
     return tables.sitemap_urls(maps)
 
 
+@q("""SELECT o_orderkey AS sitemap, unnest(CASE o_orderkey % 6 WHEN 0 THEN ['https://e/?a=1&b=' || k, 'https://e/<' || k || '>'] WHEN 1 THEN ['https://sm/' || k] WHEN 2 THEN ['https://c/' || k || '?x&y'] WHEN 5 THEN ['ab' || k] ELSE [] END) AS url
+FROM (SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS k FROM orders) o""")
+def a3_sitemap_forms(spark, d):
+    """Entities, prefixed tags, CDATA, a broken document, an index with urls, and text cut by a comment."""
+    forms = [
+        "<?xml version='1.0'?><urlset xmlns='http://www.sitemaps.org/schemas/sitemap/0.9'><url><loc>https://e/?a=1&amp;b=#</loc></url><url><loc> https://e/&lt;#&gt; </loc></url></urlset>",
+        "<sm:urlset xmlns:sm='s'><sm:url><sm:loc>https://sm/#</sm:loc><i:image xmlns:i='i'><i:loc>https://image/#</i:loc></i:image></sm:url></sm:urlset>",
+        "<urlset><url><loc><![CDATA[https://c/#?x&y]]></loc></url><url><loc><![CDATA[ ]]></loc></url></urlset>", "<urlset><url><loc>https://broken/#</loc></url>",
+        "<sitemapindex><sitemap><loc>m#</loc></sitemap><url><loc>https://index/#</loc></url></sitemapindex>", "<urlset><url><loc>a<!-- x -->b#</loc></url><url/></urlset>",
+    ]
+    xml = F.replace(F.element_at(F.array(*map(F.lit, forms)), (F.col("o_orderkey") % 6 + 1).cast("int")), F.lit("#"), F.col("o_orderkey").cast("string"))
+    maps = table(spark, d, "orders").select(F.col("o_orderkey").alias("sitemap"), xml.alias("xml"))
+    return tables.sitemap_urls(maps)
+
+
 @q("""SELECT k AS sitemap FROM (WITH RECURSIVE r AS (SELECT CAST(1 AS BIGINT) AS k UNION ALL SELECT CAST(c_custkey AS BIGINT) FROM customer JOIN r ON c_custkey // 2 = r.k WHERE c_custkey > 1)
 SELECT DISTINCT k FROM r) x WHERE k IN (SELECT c_custkey FROM customer)""")
 def a4_expand_sitemaps(spark, d):
     """An index of each customer names two others, so that the deepest is as many levels down as the count doubles."""
-    two = "concat('<sitemap><loc>', CAST(2 * c_custkey AS STRING), '</loc></sitemap><sitemap><loc> ', CAST(2 * c_custkey + 1 AS STRING), ' </loc></sitemap>')"
+    two = "concat('<sitemapindex><sitemap><loc>', CAST(2 * c_custkey AS STRING), '</loc></sitemap><sitemap><loc> ', CAST(2 * c_custkey + 1 AS STRING), ' </loc></sitemap></sitemapindex>')"
     maps = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("sitemap"), F.expr(two).alias("xml"))
     out = tables.expand_sitemaps(maps, maps.where("sitemap = '1'"))
     return out.select(F.col("sitemap").cast("long").alias("sitemap"))
@@ -56,9 +71,9 @@ def a6_mapping_dim(spark, d):
     return tables.mapping_dim(spark.sql(_RULES.replace("{text}", "STRING"), customer=table(spark, d, "customer")), "field", "s")
 
 
-@q("SELECT CAST(id AS VARCHAR) AS id, CAST(price_amount AS DOUBLE) AS price_amount, CAST(created_at AS VARCHAR) AS created_at FROM listings_v WHERE county ILIKE '%an%' AND price_amount >= 20000")
+@q("SELECT CAST(id AS VARCHAR) AS id, CAST(price_amount AS DOUBLE) AS price_amount, CAST(created_at AS VARCHAR) AS created_at FROM listings_v WHERE county ILIKE '%nation_1%' AND price_amount >= 20000")
 def a12_export_feed(spark, d):
-    feed = tables.export_feed(query.apply_filters(view(spark, d, "listings_v"), county="an", price_min=20000), most=(1 << 31) - 2)
+    feed = tables.export_feed(query.apply_filters(view(spark, d, "listings_v"), county="nation_1", price_min=20000), most=(1 << 31) - 2)
     return feed.select("id", "price_amount", "created_at")
 
 

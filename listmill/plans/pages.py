@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from listmill.operators import embedded, extract, pairs, sections
-from listmill.plans.registry import q
+from listmill.plans.registry import LINKS, q, requoted
 from listmill.sources.bindings import table, view
 
 NAV = "nav ul li"
@@ -134,10 +134,10 @@ def b30_is_sold(spark, d):
     return table(spark, d, "documents").select("doc_id", extract.is_sold(F.concat("text", F.lit(" "), state)).alias("sold"))
 
 
-@q("""SELECT page_id, concat(regexp_extract(url, '^(https?://[^/?#]+)', 1), h) AS next FROM (SELECT page_id, url, regexp_extract(html, '<nav><ul><li><a href="([^"]+)"', 1) AS h FROM pages) x WHERE h <> '' AND NOT contains(h, '&')""")
+@q(f"""SELECT page_id, concat(regexp_extract(url, '^(https?://[^/?#]+)', 1), {_PLAIN}) AS next FROM (SELECT page_id, url, regexp_extract(html, '<nav><ul><li><a href="([^"]+)"', 1) AS x FROM pages) p WHERE x <> ''""")
 def b33_next_page(spark, d):
-    pages = table(spark, d, "pages")
-    return sections.next_page(_nodes(spark, d), pages, "nav ul li a[href]").where("NOT contains(next, '&')")
+    pages = requoted(table(spark, d, "pages"))
+    return sections.next_page(extract.page_nodes(pages), pages, "nav ul li a[href]")
 
 
 @q("""SELECT job_id, event_id FROM (SELECT *, max(r) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS m FROM (SELECT *, CASE WHEN row_number() OVER (PARTITION BY job_id, kind ORDER BY ts, event_id) > 1 THEN 1 ELSE 0 END AS r FROM events_v) x) y WHERE m = 0""")
@@ -145,13 +145,20 @@ def b35_visited_prefix(spark, d):
     return sections.visited_prefix(view(spark, d, "events_v"), "job_id", ["ts", "event_id"], "kind").select("job_id", "event_id")
 
 
-@q("""SELECT page_id, count(*) AS found, count(*) FILTER (ok) AS matched, coalesce(string_agg(u, '|' ORDER BY n) FILTER (ok AND k <= 5), '') AS accepted, coalesce(string_agg(u, '|' ORDER BY n) FILTER (NOT ok AND k <= 5), '') AS rejected
-FROM (SELECT *, row_number() OVER (PARTITION BY page_id, ok ORDER BY n) AS k FROM (SELECT page_id, u, min(n) AS n, regexp_matches(u, '/[a-m][^/]*$') AS ok
-FROM (SELECT page_id, concat(regexp_extract(url, '^(https?://[^/?#]+)', 1), h) AS u, n FROM (SELECT page_id, url, unnest(hs) AS h, generate_subscripts(hs, 1) AS n
-FROM (SELECT page_id, url, regexp_extract_all(html, '<a[^>]*href="([^"]+)"', 1) AS hs FROM pages WHERE html IS NOT NULL) a) b) c GROUP BY 1, 2) d) e GROUP BY 1""")
+_REPORT = "SELECT page_id, count(*) AS found, count(*) FILTER (ok) AS matched, coalesce(string_agg(u, '|' ORDER BY n) FILTER (ok AND k <= 5), '') AS accepted, coalesce(string_agg(u, '|' ORDER BY n) FILTER (NOT ok AND k <= 5), '') AS rejected"
+_ORIGIN = "regexp_extract(p.url, '^(https?://[^/?#]+)', 1)"
+
+
+@q(f"""SELECT p.page_id, coalesce(found, 0) AS found, coalesce(matched, 0) AS matched, coalesce(accepted, '') AS accepted, coalesce(rejected, '') AS rejected,
+ CASE WHEN contains(html, '<div class="ad">') THEN concat({_ORIGIN}, '/a.jpg|', {_ORIGIN}, '/c.jpg') ELSE '' END AS thumbnails, (SELECT concat({_ORIGIN}, {_PLAIN}) FROM (SELECT regexp_extract(html, '<nav><ul><li><a href="([^"]+)"', 1) AS x) y WHERE x <> '') AS next
+FROM pages p LEFT JOIN ({_REPORT} FROM (SELECT *, row_number() OVER (PARTITION BY page_id, ok ORDER BY n) AS k FROM (SELECT *, regexp_matches(u, '/[a-m][^/]*$') AS ok FROM ({LINKS}) a) b) c GROUP BY 1) r ON r.page_id = p.page_id""")
 def b37_link_report(spark, d):
-    out = sections.link_report(extract.listing_links(table(spark, d, "pages").where("html IS NOT NULL")), "/[a-m][^/]*$")
-    return out.select("page_id", "found", "matched", F.array_join("accepted", "|").alias("accepted"), F.array_join("rejected", "|").alias("rejected"))
+    """Thumbnails are written before each advertisement, one of them without a source and a sixth beyond the first five."""
+    marks = '<img src="/a.jpg"><img alt="b"><img src="" data-src="c.jpg"><img alt="d"><img alt="e"><img src="/f.jpg"><div class="ad">'
+    pages = requoted(table(spark, d, "pages")).withColumn("html", F.replace("html", F.lit('<div class="ad">'), F.lit(marks)))
+    pages = pages.withColumn("url", F.regexp_extract("url", "^(https?://[^/?#]+)", 1))
+    out = sections.link_report(extract.page_nodes(pages), pages, "a", "/[a-m][^/]*$", "img", "nav ul li a[href]")
+    return out.withColumns({c: F.array_join(c, "|") for c in ("accepted", "rejected", "thumbnails")})
 
 
 @q("""SELECT page_id, f AS field, f <> 'bad' AS valid, CAST(CASE f WHEN 'ad' THEN len(regexp_extract_all(html, '<div class="ad">')) WHEN 'heading' THEN len(regexp_extract_all(html, '<h1>')) ELSE 0 END AS BIGINT) AS matches

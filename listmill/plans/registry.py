@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,6 +13,7 @@ from listmill.operators import extract, merge, query, stats
 from listmill.sources import tables
 from listmill.sources.bindings import table, view, with_views
 from listmill.streaming import jobs as streams
+from listmill.streaming import store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -134,9 +136,9 @@ def _small(df):
     return df.select("id", "source_partner", "typology", F.col("price_amount").cast("double").alias("price"))
 
 
-@q(f"SELECT {SMALL} FROM listings_v WHERE county ILIKE '%an%' AND typology = 'T3' AND price_amount >= 20000 AND price_amount <= 90000 AND is_enriched")
+@q(f"SELECT {SMALL} FROM listings_v WHERE county ILIKE '%nation_1%' AND typology = 'T3' AND price_amount >= 20000 AND price_amount <= 90000 AND is_enriched")
 def d1_filters(spark, d):
-    return _small(query.apply_filters(view(spark, d, "listings_v"), county="an", typology="T3", price_min=20000, price_max=90000, is_enriched=True))
+    return _small(query.apply_filters(view(spark, d, "listings_v"), county="nation_1", typology="T3", price_min=20000, price_max=90000, is_enriched=True))
 
 
 @q(f"SELECT {SMALL} FROM listings_v WHERE coalesce(title ILIKE '%urgent%', false) OR coalesce(county ILIKE '%urgent%', false)")
@@ -239,6 +241,17 @@ def c18_title_types(spark, d):
     return view(spark, d, "listings_v").select("id", C.typology_from_title(F.col("title")).alias("typology"), C.type_from_list(F.col("title"), TYPES).alias("kind"))
 
 
+_LABELLED = "concat(['Descrição - ', 'DESCRIPTION:', 'description', ''][doc_id % 4 + 1], regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '^', [' ', ''][doc_id % 2 + 1]))"
+
+
+@q(f"""SELECT doc_id, nullif(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim({_LABELLED}), '^(?i)(descriç[aã]o|description)\\s*[:\\-]?\\s*', ''), '\\s+([,.;:!?])', '\\1', 'g'), '([.!?;:])(\\S)', '\\1 \\2', 'g'), '\\s+', ' ', 'g')), '') AS clean FROM documents""")
+def c10_description(spark, d):
+    """Whole texts behind labels with a dash, a colon and neither."""
+    label = F.element_at(F.array(*map(F.lit, ["Descrição - ", "DESCRIPTION:", "description", ""])), (F.col("doc_id") % 4 + 1).cast("int"))
+    text = F.concat(label, F.when(F.col("doc_id") % 2 == 0, " ").otherwise(""), F.trim(F.regexp_replace("text", r"\s+", " ")))
+    return table(spark, d, "documents").select("doc_id", C.clean_description(text).alias("clean"))
+
+
 @q("SELECT doc_id, nullif(trim(regexp_replace(replace(text, chr(160), ' '), '\\s+', ' ', 'g')), '') AS clean FROM documents")
 def c6_clean_text(spark, d):
     return table(spark, d, "documents").select("doc_id", C.clean_text(F.col("text")).alias("clean"))
@@ -287,10 +300,22 @@ def w1_upsert(spark, d):
     return out.select("source_url", "id", "title", F.col("price_amount").cast("double").alias("price"), "state")
 
 
-@q(f"SELECT c.id, c.source_url, CAST(c.price_amount AS DOUBLE) AS old_price, CAST(i.price_amount AS DOUBLE) AS new_price FROM current_v c JOIN {_WON} i ON c.source_url = i.source_url WHERE c.price_amount <> i.price_amount")
+@q(f"""SELECT coalesce(c.source_url, i.source_url) AS source_url, coalesce(i.title, c.title) AS title, CASE WHEN i.ord IS NULL THEN 7 ELSE coalesce(i.ord % 9, 7) END AS scrape_job_id,
+ CASE WHEN c.source_url IS NULL THEN '2001-08-01' ELSE '1999-01-01' END AS created_at, CASE WHEN i.source_url IS NULL THEN '1999-01-01' ELSE '2001-08-01' END AS updated_at FROM current_v c FULL JOIN {_WON} i ON c.source_url = i.source_url""")
+def w1_upsert_dated(spark, d):
+    """Dates and job of the table's rows: those of the batch for what it brings, else as they were."""
+    old = F.lit("1999-01-01").cast("date")
+    current = view(spark, d, "current_v").withColumns({"created_at": old, "updated_at": old, "scrape_job_id": F.lit(7).cast("long")})
+    incoming = view(spark, d, "incoming_v").withColumn("scrape_job_id", F.col("ord") % 9)
+    out = merge.upsert_dated(current, incoming, [*FIELDS, "scrape_job_id"], F.lit(NOW).cast("date"))
+    return out.select("source_url", "title", "scrape_job_id", F.col("created_at").cast("string").alias("created_at"), F.col("updated_at").cast("string").alias("updated_at"))
+
+
+@q(f"SELECT c.id, c.source_url, CASE WHEN c.id % 3 > 0 THEN 'EUR' END AS old_currency, CAST(c.price_amount AS DOUBLE) AS old_price, CAST(i.price_amount AS DOUBLE) AS new_price FROM current_v c JOIN {_WON} i ON c.source_url = i.source_url WHERE c.price_amount <> i.price_amount")
 def w2_price_history(spark, d):
-    out = merge.price_history_rows(view(spark, d, "current_v"), view(spark, d, "incoming_v"))
-    return out.select("id", "source_url", F.col("old_price").cast("double").alias("old_price"), F.col("new_price").cast("double").alias("new_price"))
+    current = view(spark, d, "current_v").withColumn("price_currency", F.when(F.col("id") % 3 > 0, "EUR"))
+    out = merge.price_history_rows(current, view(spark, d, "incoming_v"))
+    return out.select("id", "source_url", "old_currency", F.col("old_price").cast("double").alias("old_price"), F.col("new_price").cast("double").alias("new_price"))
 
 
 @q("""SELECT listing_id, url, position FROM media_v WHERE listing_id % 5 <> 0 UNION ALL SELECT listing_id, concat(url, '?v=2'), position FROM media_v WHERE listing_id % 5 = 0 AND position = 1""")
@@ -375,10 +400,31 @@ def b24_headings(spark, d):
     return h.where(F.size("h") > 0).select("page_id", F.size("h").alias("n_h1"), F.regexp_extract("html", "(?is)<h1[^>]*>(.*?)</h1>", 1).alias("first_h1"))
 
 
-@q("""SELECT DISTINCT page_id, CASE WHEN regexp_matches(h, '^https?://') THEN h WHEN starts_with(h, '//') THEN concat(regexp_extract(url, '^(https?:)', 1), h) WHEN starts_with(h, '/') THEN concat(regexp_extract(url, '^(https?://[^/?#]+)', 1), h) END AS link
-FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a[^>]*href="([^"]+)"', 1)) AS h FROM pages) x WHERE regexp_matches(h, '^(https?://|/)')""")
+_HREFS = "SELECT page_id, url, unnest(l) AS x, generate_subscripts(l, 1) AS n FROM (SELECT page_id, url, regexp_extract_all(html, '<a[^>]*href=\"([^\"]+)\"', 1) AS l FROM pages) p"
+_HREF = "replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&')"
+#: Links of each page as SQL: absolute urls, and where each is seen first.
+LINKS = f"SELECT page_id, u, min(n) AS n FROM (SELECT page_id, n, CASE WHEN regexp_matches(h, '^[a-z]+:') THEN h WHEN starts_with(h, '//') THEN concat(regexp_extract(url, '^(https?:)', 1), h) ELSE concat(regexp_extract(url, '^(https?://[^/?#]+)', 1), h) END AS u FROM (SELECT page_id, url, n, {_HREF} AS h FROM ({_HREFS}) a) b) c GROUP BY 1, 2"
+
+
+def requoted(pages: DataFrame) -> DataFrame:
+    """Pages of which every other has its links in single quotes, upper-case tags and blanks around the sign."""
+    return pages.withColumn("html", F.when(F.col("page_id") % 2 == 1, F.regexp_replace("html", '<a([^>]*) href="([^"\']*)"', "<A$1 href = '$2'")).otherwise(F.col("html")))
+
+
+@q(f"SELECT page_id, u AS link, CAST(row_number() OVER (PARTITION BY page_id ORDER BY n) AS INTEGER) AS place FROM ({LINKS}) x")
 def b31_listing_links(spark, d):
-    return extract.listing_links(table(spark, d, "pages").where(r"html IS NOT NULL")).select("page_id", F.col("url").alias("link")).where(F.col("link").rlike("^https?://"))
+    pages = requoted(table(spark, d, "pages"))
+    links = extract.listing_links(extract.page_nodes(pages), pages)
+    return links.select("page_id", F.col("url").alias("link"), F.row_number().over(Window.partitionBy("page_id").orderBy("ord")).alias("place"))
+
+
+@q(f"SELECT page_id, u AS link FROM (SELECT l.page_id, u, length(regexp_extract(p.url, '^https?://([^/?#]+)', 1)) AS k FROM ({LINKS}) l JOIN pages p ON p.page_id = l.page_id) x WHERE k % 3 = 0 OR (k % 3 = 1 AND regexp_matches(u, '/[a-m][^/]*$'))")
+def b31_site_links(spark, d):
+    """Each host has a selector and a pattern of its own; of a third of them the selector matches nothing."""
+    pages = requoted(table(spark, d, "pages")).withColumn("site_key", F.regexp_extract("url", "^https?://([^/?#]+)", 1))
+    k = F.length("site_key") % 3
+    sites = pages.select("site_key").distinct().select("site_key", F.when(k == 1, "nav a[href], article a, footer a").when(k == 2, "table a").alias("link_selector"), F.when(k == 1, "/[a-m][^/]*$").alias("link_pattern"))
+    return extract.site_links(extract.page_nodes(pages), pages, sites).select("page_id", F.col("url").alias("link"))
 
 
 @q()
@@ -399,6 +445,19 @@ def r6_first_seen(spark, d):
     return streams.first_seen(view(spark, d, "events_v").withColumn("url", F.col("kind"))).select("job_id", "url")
 
 
+@q(f"""SELECT url AS source_url, arg_max(title, k) FILTER (title IS NOT NULL) AS title, arg_max(page_id, k) AS scrape_job_id, CAST(arg_max(page_id, k) * 10 + 1000 AS DOUBLE) AS price, 'EUR' AS price_currency, regexp_extract(url, '^https?://([^/?#]+)', 1) AS source_partner
+FROM (SELECT page_id, url, page_id % 3 * 1000000000 + page_id AS k, nullif(trim(regexp_replace({_HREF}, '\\s+', ' ', 'g')), '') AS title FROM (SELECT page_id, url, regexp_extract(html, '<h1>(.*?)</h1>', 1) AS x FROM pages WHERE url IS NOT NULL) p) q GROUP BY url""")
+def r9_ingest_pages(spark, d):
+    """All pages in three batches through extraction, normalisation and merge into a table in buckets."""
+    path = f"{tables.shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    price = F.concat(F.lit("<b class=price>"), F.col("page_id") * 10 + 1000, F.lit(" €</b>"))
+    pages = table(spark, d, "pages").select("page_id", "url", F.concat("html", price).alias("html"), F.col("page_id").alias("job_id"))
+    for k in range(3):
+        store.merge_batch(path, streams.page_listings(pages.where(F.col("page_id") % 3 == k), {"title": "article > h1", "price": "b.price"}), k)
+    out = store.read_listings(spark, path)
+    return out.select("source_url", "title", "scrape_job_id", F.col("price_amount").cast("double").alias("price"), "price_currency", "source_partner")
+
+
 #: Folds of a key's rows in order, as recursive SQL: {rows} numbers them, {start} is the state before them, {next} the state after one more.
 _FOLD = """SELECT {out} FROM (WITH RECURSIVE e AS ({rows}), s AS (SELECT key, CAST(0 AS BIGINT) AS n, CAST(NULL AS DOUBLE) AS t, CAST(NULL AS BIGINT) AS id, {start} FROM (SELECT DISTINCT key FROM e) k
  UNION ALL SELECT s.key, e.n, e.t, e.id, {next} FROM s JOIN e ON e.key = s.key AND e.n = s.n + 1) SELECT * FROM s) x WHERE {where}"""

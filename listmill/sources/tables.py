@@ -21,17 +21,29 @@ def read_jdbc(spark: SparkSession, url: str, table: str, column: str, low: int,
     return spark.read.jdbc(url, table, column=column, lowerBound=low, upperBound=high, numPartitions=parts)
 
 
+#: What is read of a sitemap: urls, or sitemaps of an index; any namespace will do. A document that is not well-formed has neither.
+SITEMAP = "url array<struct<loc:string>>, sitemap array<struct<loc:string>>, broken string"
+
+
+def _locations(sitemaps: DataFrame, kind: str) -> DataFrame:
+    """(sitemap, loc): the trimmed texts of the documents' elements of one kind; entities and CDATA are read as text."""
+    xml = F.from_xml("xml", SITEMAP, {"ignoreNamespace": "true", "columnNameOfCorruptRecord": "broken"})
+    rows = sitemaps.select("sitemap", xml.alias("x")).where("x.broken IS NULL")
+    own = F.filter(F.col(f"x.{kind}.loc"), lambda loc: loc.isNotNull())
+    # an index lists sitemaps only
+    own = own if kind == "sitemap" else F.when(F.coalesce(F.size("x.sitemap"), F.lit(0)) <= 0, own)
+    return rows.select("sitemap", F.explode(F.transform(own, lambda loc: F.regexp_replace(loc, r"^\s+|\s+$", ""))).alias("loc")).where("loc <> ''")
+
+
 def sitemap_urls(sitemaps: DataFrame, pattern: str | None = None) -> DataFrame:
-    """Distinct page urls in url sets (column xml), trimmed, blanks dropped, filtered by a pattern."""
-    loc = F.explode(F.expr(r"regexp_extract_all(xml, '<url>(?s:.*?)<loc>\\s*([^<]*?)\\s*</loc>', 1)"))
-    urls = sitemaps.select("sitemap", loc.alias("url")).where("url <> ''")
+    """sitemaps(sitemap, xml) -> (sitemap, url): page urls of url sets, trimmed, blanks dropped, filtered by a pattern."""
+    urls = _locations(sitemaps, "url").withColumnRenamed("loc", "url")
     return urls.where(F.col("url").rlike(pattern)) if pattern else urls
 
 
 def expand_sitemaps(sitemaps: DataFrame, roots: DataFrame) -> DataFrame:
     """sitemaps(sitemap, xml) reachable from roots(sitemap) through sitemap indexes, level by level until one brings nothing new."""
-    loc = r"regexp_extract_all(xml, '<sitemap>(?s:.*?)<loc>\\s*([^<]*?)\\s*</loc>', 1)"
-    children = written(sitemaps.select("sitemap", F.explode(F.expr(loc)).alias("child")))
+    children = written(_locations(sitemaps, "sitemap").withColumnRenamed("loc", "child"))
     seen = level = written(roots.select("sitemap").distinct())
     while not level.isEmpty():
         found = level.join(children, "sitemap").select(F.col("child").alias("sitemap")).distinct()
@@ -103,13 +115,18 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.option("ignoreNullFields", False).json(path)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """`df` written once as Parquet in the shared folder that spark.checkpoint.dir names (a local one where unset) and read back."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a local one only where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = tempfile.mkdtemp(prefix="spark-written-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/table-{uuid.uuid4().hex}"
+    return folder
+
+
+def written(df: DataFrame) -> DataFrame:
+    """`df` written once as Parquet in the shared folder and read back."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

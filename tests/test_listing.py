@@ -43,7 +43,8 @@ def test_price_per_m2(spark):
 
 def test_description(spark):
     text = "DescriçãoS. Pedro da Cova.Gondomar. Moradia V3 com garagem para 2 carros."
-    assert values(spark, C.clean_description, [text]) == ["S. Pedro da Cova. Gondomar. Moradia V3 com garagem para 2 carros."]
+    rows = [text, "Descrição - Casa", "DESCRICAO: a,b ; c", "Description  x !y", "descriçãoA 1.5 m", " ", None, "Descrição"]
+    assert values(spark, C.clean_description, rows) == ["S. Pedro da Cova. Gondomar. Moradia V3 com garagem para 2 carros.", "Casa", "DESCRICAO: a,b; c", "x! y", "A 1. 5 m", None, None, None]
 
 
 def test_urls(spark):
@@ -69,7 +70,7 @@ def test_extraction(spark):
     dim = spark.createDataFrame([("preço", "price", 0), ("tipologia", "typology", 1)], "key string, field string, rank int")
     pairs = {r["field"]: r["value"] for r in extract.label_pairs(nodes, "li.detail", ".name", ".value", dim).collect()}
     assert pairs == {"price": "500 000 €", "typology": "T4"}
-    assert [r["url"] for r in extract.listing_links(ok, "/property/").orderBy("ord").collect()] == ["https://e.test/property/1", "https://e.test/property/2"]
+    assert [r["url"] for r in extract.listing_links(nodes, ok, "a", "/property/").orderBy("ord").collect()] == ["https://e.test/property/1", "https://e.test/property/2"]
     with pytest.raises(ValueError):
         extract.select_nodes(nodes, "a:hover")
 
@@ -200,4 +201,4 @@ def test_query_equals_sql(spark, name):
     order = sorted(names)
     assert sorted(rows.columns) == order
     theirs = sorted(str([dict(zip(names, r, strict=True))[c] for c in order]) for r in cursor.fetchall())
-    assert sorted(str([r[c] for c in order]) for r in rows.collect()) == theirs
+    assert theirs and sorted(str([r[c] for c in order]) for r in rows.collect()) == theirs
