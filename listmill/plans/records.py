@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from listmill.functions import columns as C
-from listmill.operators import merge, query, records
+from listmill.operators import canonical, merge, query, records
 from listmill.plans.registry import STOP, q
 from listmill.sources.bindings import table, view
 from listmill.streaming import jobs
@@ -69,6 +69,64 @@ def c30_canonical_to_listing(spark, d):
     return flat.select("id", "area_useful_m2", "typology", "bedrooms", "property_type", "has_garage", "scrape_job_id", "price_currency")
 
 
+_RAW_LISTINGS = """SELECT k AS id, concat('p', CAST(k % 6 AS STRING)) AS source_partner,
+ concat('https://x.test/', CASE WHEN k % 6 = 4 AND k % 2 = 0 THEN 'Imovel/Arrendamento/b/Dis-trito/Con-celho/Par-te/' ELSE 'p/' END, CAST(k AS STRING)) AS url,
+ CASE k % 4 WHEN 0 THEN 'Moradia T3 em Lisboa' WHEN 1 THEN 'Bela loja V2' WHEN 2 THEN 'Vista  T1, Bairro, Cidade' END AS title,
+ CASE WHEN k % 7 = 0 THEN 'Sob consulta' WHEN k % 7 = 1 THEN NULL ELSE concat(CAST(100 + k % 900 AS STRING), ' 000 €') END AS price, CASE WHEN k % 5 = 0 THEN 'Arrendamento' WHEN k % 5 = 1 THEN '' END AS business_type, CASE WHEN k % 5 = 1 THEN 'Rent' END AS business_state,
+ CASE WHEN k % 9 = 0 THEN 'Casa' WHEN k % 9 = 1 THEN '' END AS property_type, CASE WHEN k % 8 = 0 THEN 'T5' END AS typology, CASE WHEN k % 10 = 0 THEN '2 quartos' END AS bedrooms, '3 wc' AS bathrooms, ' 1º  Dto ' AS floor, concat('em ', CAST(1950 + k % 70 AS STRING)) AS construction_year,
+ concat(CAST(20 + k % 100 AS STRING), ' m²') AS useful_area, CASE WHEN k % 3 = 0 THEN concat(CAST(50 + k % 100 AS STRING), ' m²') END AS area, CASE WHEN k % 4 = 0 THEN concat(CAST(200 + k % 100 AS STRING), ' m²') END AS gross_area, '1.500 m²' AS land_area,
+ CASE WHEN k % 11 = 0 THEN 'Braga  Norte' WHEN k % 11 = 1 THEN '' END AS district, CASE WHEN k % 13 = 0 THEN 'Maia' END AS county, CASE WHEN k % 3 = 0 THEN 'Centro. Muito bom' WHEN k % 3 = 1 THEN 'Sé' END AS parish,
+ CASE (k // 6) % 5 WHEN 0 THEN 'Porto > Gaia > Canidelo' WHEN 1 THEN 'Gaia > Afurada' WHEN 2 THEN 'Bairro, Cidade' WHEN 3 THEN 'Aveiro' END AS location, ' Rua  1 ' AS full_address,
+ CASE WHEN k % 2 = 0 THEN concat('Ref. ', CAST(k AS STRING)) ELSE '' END AS property_id, concat('r', CAST(k AS STRING)) AS reference, CASE WHEN k % 2 = 0 THEN 'Estado: Novo' END AS condition, 'B-' AS energy_certificate, 'Sim' AS garage, 'no' AS elevator,
+ concat(repeat('x', 600), CAST(k AS STRING)) AS page_title, 'told' AS meta_description, 'Agency' AS advertiser, '+351' AS contacts, concat('Descrição: casa', CAST(k AS STRING), ' ,boa.Sim') AS raw_description FROM (SELECT o_orderkey AS k FROM {orders}) o"""
+_TOLD = "CASE k % 4 WHEN 0 THEN 'Moradia' WHEN 1 THEN {one} WHEN 2 THEN {two} END"
+_AREA = "CASE WHEN f = 1 THEN CAST(CASE WHEN k % 3 = 0 THEN 50 ELSE 20 END + k % 100 AS DOUBLE) ELSE CAST(20 + k % 100 AS DOUBLE) END"
+_GROSS = "CASE WHEN k % 4 = 0 THEN CAST(200 + k % 100 AS DOUBLE) END"
+_AMOUNT = "CASE WHEN k % 7 > 1 THEN 1000 * (100 + k % 900) END"
+_CUT = "CASE WHEN f = 4 AND k % 4 = 2 AND l = 2 THEN 'Vista  T1,' ELSE t END"
+_DISTRICT, _COUNTY = "CASE WHEN k % 11 = 0 THEN {d} END", "CASE WHEN k % 13 = 0 THEN 'Maia' END"
+_PARISH = "CASE WHEN k % 3 = 0 THEN 'Centro. Muito bom' WHEN k % 3 = 1 THEN 'Sé' END"
+
+
+@q(f"""WITH x AS (SELECT o_orderkey AS k, o_orderkey % 6 AS f, (o_orderkey // 6) % 5 AS l, CASE o_orderkey % 4 WHEN 0 THEN 'Moradia T3 em Lisboa' WHEN 1 THEN 'Bela loja V2' WHEN 2 THEN 'Vista  T1, Bairro, Cidade' END AS t FROM orders),
+y AS (SELECT *, {_DISTRICT.format(d="'Braga Norte'")} AS d, {_COUNTY} AS c, {_PARISH} AS p, {_AREA} AS useful, {_GROSS} AS gross, {_AMOUNT} AS amount, f = 4 AND k % 2 = 0 AS folders FROM x)
+SELECT k AS id, concat('p', CAST(f AS VARCHAR)) AS source_partner,
+ CASE WHEN f = 0 AND k % 2 = 0 THEN concat('Ref. ', CAST(k AS VARCHAR)) WHEN f IN (0, 1) AND k % 2 = 1 THEN concat('r', CAST(k AS VARCHAR)) WHEN f = 1 THEN CAST(k AS VARCHAR) WHEN k % 2 = 0 THEN concat('Ref. ', CAST(k AS VARCHAR)) END AS partner_id,
+ trim(regexp_replace({_CUT}, '\\s+', ' ', 'g')) AS title, CASE WHEN k % 5 < 2 OR folders THEN 'rent' ELSE 'sale' END AS business_type,
+ CASE WHEN k % 9 = 0 THEN 'Casa' WHEN f = 1 THEN {_TOLD.format(one="'Moradia'", two="'Apartamento'")} WHEN f = 2 THEN {_TOLD.format(one="NULL", two="NULL")} WHEN f = 3 THEN {_TOLD.format(one="'Loja'", two="NULL")} END AS property_type,
+ CASE WHEN k % 8 = 0 THEN 'T5' END AS typology, CAST(CASE WHEN k % 10 = 0 THEN 2 WHEN f = 4 THEN CASE k % 4 WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 1 END WHEN k % 8 = 0 THEN 5 END AS INTEGER) AS bedrooms, 3 AS bathrooms, CASE WHEN f IN (0, 1, 2) THEN '1º Dto' END AS floor,
+ CAST(amount AS DOUBLE) AS price_amount, 'EUR' AS price_currency, round_even(amount / coalesce(gross, useful), 2) AS price_per_m2, k % 7 = 0 AS price_on_request, useful AS area_useful_m2, gross AS area_gross_m2, CAST(1500 AS DOUBLE) AS area_land_m2,
+ CASE f WHEN 0 THEN d WHEN 1 THEN CASE WHEN c IS NULL AND l = 0 THEN 'Porto' ELSE coalesce(d, c, CASE l WHEN 1 THEN 'Gaia' WHEN 2 THEN 'Bairro, Cidade' WHEN 3 THEN 'Aveiro' END) END
+  WHEN 2 THEN coalesce(d, CASE l WHEN 0 THEN 'Porto > Gaia > Canidelo' WHEN 1 THEN 'Gaia > Afurada' WHEN 2 THEN 'Bairro' WHEN 3 THEN 'Aveiro' END)
+  WHEN 3 THEN CASE WHEN d IS NULL AND c IS NULL AND l = 2 THEN 'Bairro' WHEN c IS NULL AND l = 0 THEN 'Porto' ELSE d END WHEN 4 THEN CASE WHEN folders THEN 'Dis trito' END END AS district,
+ CASE f WHEN 0 THEN c WHEN 1 THEN coalesce(c, CASE l WHEN 0 THEN 'Gaia' WHEN 1 THEN 'Gaia' WHEN 2 THEN 'Bairro, Cidade' WHEN 3 THEN 'Aveiro' END) WHEN 2 THEN coalesce(c, CASE l WHEN 2 THEN 'Cidade' END)
+  WHEN 3 THEN coalesce(c, CASE l WHEN 0 THEN 'Gaia' WHEN 1 THEN 'Gaia' WHEN 2 THEN CASE WHEN d IS NULL THEN 'Cidade' ELSE 'Bairro, Cidade' END WHEN 3 THEN 'Aveiro' END)
+  WHEN 4 THEN CASE WHEN folders THEN 'Con celho' ELSE CASE l WHEN 0 THEN 'Porto > Gaia > Canidelo' WHEN 1 THEN 'Gaia > Afurada' WHEN 2 THEN 'Cidade' WHEN 3 THEN 'Aveiro' END END END AS county,
+ CASE f WHEN 0 THEN p WHEN 1 THEN CASE WHEN c IS NOT NULL THEN p ELSE coalesce(p, CASE l WHEN 0 THEN 'Canidelo' WHEN 1 THEN 'Afurada' END) END WHEN 2 THEN CASE WHEN k % 3 = 1 THEN 'Sé' END
+  WHEN 3 THEN CASE WHEN c IS NOT NULL OR l NOT IN (0, 1) THEN p ELSE coalesce(p, CASE l WHEN 0 THEN 'Canidelo' ELSE 'Afurada' END) END WHEN 4 THEN CASE WHEN folders THEN 'Par te' WHEN l = 2 THEN 'Bairro' END END AS parish,
+ CASE f WHEN 0 THEN NULL WHEN 2 THEN 'Rua 1' ELSE CASE l WHEN 0 THEN 'Porto > Gaia > Canidelo' WHEN 1 THEN 'Gaia > Afurada' WHEN 2 THEN 'Bairro, Cidade' WHEN 3 THEN 'Aveiro' END END AS full_address,
+ true AS has_garage, false AS has_elevator, NULL::BOOLEAN AS has_balcony, NULL::BOOLEAN AS has_air_conditioning, NULL::BOOLEAN AS has_pool, 'B-' AS energy_certificate, CAST(CASE WHEN f <> 3 THEN 1950 + k % 70 END AS INTEGER) AS construction_year,
+ CASE WHEN f IN (0, 2) THEN 'Agency' END AS advertiser, CASE WHEN f IN (0, 2) THEN '+351' END AS contacts, concat('Descrição: casa', CAST(k AS VARCHAR), ' ,boa.Sim') AS raw_description, concat('casa', CAST(k AS VARCHAR), ',boa. Sim') AS description,
+ CASE WHEN f = 2 THEN repeat('x', 500) END AS page_title, CASE WHEN f = 2 THEN 'told' END AS meta_description, CAST(k % 40 AS BIGINT) AS scrape_job_id FROM y WHERE f < 5""")
+def c30_listing_rows(spark, d):
+    """Raw rows of five families, and of a partner of none, through the whole record to the flat row."""
+    partners = spark.createDataFrame([(f"p{k}", f) for k, f in enumerate(canonical.FAMILIES)], "source_partner string, family string")
+    raw = spark.sql(_RAW_LISTINGS.replace("(k // 6) % 5", "k DIV 6 % 5"), orders=table(spark, d, "orders"))
+    out = canonical.to_listing(canonical.build_canonical(raw, partners), (F.col("id") % 40).cast("long"))
+    return out.drop("latitude", "longitude", "description_quality_score", "headers", "raw_payload", "source_url").withColumn("price_amount", F.col("price_amount").cast("double"))
+
+
+@q("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 6 = 5 THEN 'unknown partner: p5' END AS error, CASE WHEN o_orderkey % 6 < 5 THEN 'Portugal' END AS country, CASE WHEN o_orderkey % 6 = 2 AND o_orderkey % 2 = 0 THEN true END AS is_new,
+ CASE WHEN o_orderkey % 6 = 5 THEN NULL WHEN o_orderkey % 6 = 4 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'Novo' END ELSE CASE WHEN o_orderkey % 2 = 0 THEN 'Estado: Novo' END END AS condition,
+ CASE WHEN o_orderkey % 6 < 5 THEN concat('casa', CAST(o_orderkey AS VARCHAR), ',boa. Sim') END AS told FROM orders""")
+def c25_canonical(spark, d):
+    """Members of the record that the flat row has not."""
+    partners = spark.createDataFrame([(f"p{k}", f) for k, f in enumerate(canonical.FAMILIES)], "source_partner string, family string")
+    raw = spark.sql(_RAW_LISTINGS.replace("(k // 6) % 5", "k DIV 6 % 5"), orders=table(spark, d, "orders"))
+    out = canonical.build_canonical(raw, partners)
+    return out.select("id", "error", F.col("record.address.country").alias("country"), F.col("record.features.is_new_construction").alias("is_new"), F.get_json_object("record.raw_partner_payload", "$.condition").alias("condition"), F.col("record.descriptions")["pt"].alias("told"))
+
+
 _FAULTY = """SELECT id, CAST(bedrooms - 1 AS INT) AS bedrooms, CAST(1 AS INT) AS bathrooms, CAST(1790 + id % 40 AS INT) AS construction_year, area_useful_m2, CAST(id % 200 - 100 AS DOUBLE) AS latitude, CAST(id % 400 - 200 AS DOUBLE) AS longitude,
  CAST(id % 120 AS INT) AS quality_score, CASE WHEN id % 13 = 0 THEN 'EURO' ELSE 'EUR' END AS price_currency, CASE WHEN id % 17 = 0 THEN 'swap' ELSE business_type END AS business_type,
  CASE WHEN id % 19 = 0 THEN 'a b' WHEN id % 19 = 1 THEN 'a-b_c' ELSE source_partner END AS source_partner FROM {rows}"""

@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from listmill.functions import columns as C
-from listmill.operators import extract, merge, query, stats
+from listmill.operators import extract, merge, query, stats, textindex
 from listmill.sources import tables
 from listmill.sources.bindings import table, view, with_views
+from listmill.sources.tables import written
 from listmill.streaming import jobs as streams
 from listmill.streaming import store
 
@@ -277,6 +278,23 @@ def d3_full_text(spark, d):
     return query.fts(docs, C.search_tokens(F.col("text"), STOP), ["with", "was"]).select("doc_id")
 
 
+_TOKENS = f"list_distinct(string_split(trim(regexp_replace(lower({_FOLD}), '[^a-z0-9]+', ' ', 'g')), ' '))"
+
+
+@q(f"""SELECT doc_id, 'built' AS stage FROM documents WHERE list_contains({_TOKENS}, 'with') AND list_contains({_TOKENS}, 'was')
+UNION ALL SELECT doc_id, 'updated' FROM documents WHERE doc_id % 10 <> 3 AND (list_contains({_TOKENS}, 'with') OR doc_id % 10 = 4) AND (list_contains({_TOKENS}, 'was') OR doc_id % 10 = 4)""")
+def d3_index_search(spark, d):
+    """All documents in an index; then every tenth is removed and every tenth gets both tokens."""
+    path = f"{tables.shared_folder(spark)}/search-{uuid.uuid4().hex}"
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), C.search_tokens(F.col("text"), STOP).alias("tokens"))
+    textindex.build_index(rows, path)
+    built = written(textindex.search_index(spark, path, ["was", "with"]))
+    more = rows.where("id % 10 = 4").withColumn("tokens", F.array_union("tokens", F.array(F.lit("was"), F.lit("with"))))
+    textindex.update_index(path, rows.where("id % 10 IN (3, 4)"), more)
+    updated = textindex.search_index(spark, path, ["was", "with"])
+    return built.select(F.col("id").alias("doc_id"), F.lit("built").alias("stage")).unionByName(updated.select(F.col("id").alias("doc_id"), F.lit("updated").alias("stage")))
+
+
 @q("""SELECT id, CAST(price_amount AS DOUBLE) AS price_amount, CAST(created_at AS VARCHAR) AS created_at, CAST(id AS VARCHAR) AS key FROM listings_v""")
 def a7_export_rows(spark, d):
     out = tables.export_rows(view(spark, d, "listings_v").select("id", "price_amount", "created_at"))
