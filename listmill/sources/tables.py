@@ -16,9 +16,41 @@ def read_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pages.where(ok), pages.where(~ok)
 
 
-def read_jdbc(spark: SparkSession, url: str, table: str, column: str, low: int, high: int, parts: int) -> DataFrame:
-    """A relational table read in parallel by ranges of a numeric column."""
-    return spark.read.jdbc(url, table, column=column, lowerBound=low, upperBound=high, numPartitions=parts)
+#: Schemas of the tables of a store of listings.
+TABLES = {
+    "listings": "id long, partner_id string, source_partner string, source_url string, title string, business_type string, property_type string, typology string, bedrooms int, bathrooms int, floor string, price_amount decimal(12,2), price_currency string, price_per_m2 decimal(12,2), area_useful_m2 double, area_gross_m2 double, area_land_m2 double, district string, county string, parish string, full_address string, latitude double, longitude double, description string, scrape_job_id long, created_at timestamp, updated_at timestamp",
+    "media": "id long, listing_id long, url string, alt_text string, type string, position int",
+    "prices": "id long, listing_id long, price_amount decimal(12,2), price_currency string, recorded_at timestamp",
+    "jobs": "job_id long, site_key string, status string, config string, progress string, created_at timestamp, started_at timestamp, finished_at timestamp",
+    "sites": "key string, name string, base_url string, mode string, selectors map<string,string>, patterns map<string,string>, link_pattern string, is_active boolean",
+    "ledger": "listing_id long, partner_id string, remote_id long, status string, last_error string, last_exported_at timestamp",
+}
+
+
+def read_table(spark: SparkSession, name: str, path: str) -> DataFrame:
+    """A table of TABLES from Parquet under `path`, by its schema: files are not asked for theirs, columns they lack are null, further ones left out."""
+    return spark.read.schema(TABLES[name]).parquet(f"{path}/{name}")
+
+
+def read_jdbc(spark: SparkSession, name: str, url: str, column: str, parts: int, properties: dict[str, str] | None = None) -> DataFrame:
+    """A table of TABLES from a relational database, read in parallel by ranges of a whole-number column.
+
+    The ranges come from the column's least and greatest values, which the database is asked for; rows without a value are read
+    with the first range. Tests and columns that are asked of the result reach the database. Columns that a database has no type
+    for (maps) are texts in it, of JSON.
+    """
+    properties = properties or {}
+    names = spark.read.jdbc(url, name, properties=properties).columns  # as the database writes them
+    own = {f.name: next((c for c in names if c.lower() == f.name.lower()), None) for f in spark.createDataFrame([], TABLES[name]).schema.fields}
+    kinds = {f.name: f.dataType.simpleString() for f in spark.createDataFrame([], TABLES[name]).schema.fields}
+    quote = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier
+    ends = spark.read.jdbc(url, f"(SELECT min({quote(own[column])}) AS low, max({quote(own[column])}) AS high FROM {name}) ends", properties=properties).first()
+    low, high = (int(x) if x is not None else 0 for x in ends)
+    nested = {c for c, kind in kinds.items() if kind.startswith(("map", "array", "struct"))}
+    typed = ", ".join(f"`{own[c]}` {'string' if c in nested else kind}" for c, kind in kinds.items() if own[c])  # no casts, which would keep tests from the database
+    rows = spark.read.jdbc(url, name, column=own[column], lowerBound=low, upperBound=high + 1, numPartitions=parts, properties=properties | {"customSchema": typed})
+    value = lambda c: F.lit(None).cast(kinds[c]) if own[c] is None else F.from_json(F.col(own[c]), kinds[c]) if c in nested else F.col(own[c])
+    return rows.select(*[value(c).alias(c) for c in kinds])
 
 
 #: What is read of a sitemap: urls, or sitemaps of an index; any namespace will do. A document that is not well-formed has neither.

@@ -23,6 +23,24 @@ def read_job_events(spark: SparkSession, path: str, files: int = 1) -> DataFrame
     return spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", files).parquet(path)
 
 
+def sink_table(rows: DataFrame, path: str, checkpoint: str, partition: str | None = None):
+    """A stream into a table, each row exactly once: a micro-batch has a folder of its own, which it writes again if it runs again.
+
+    The table is read with read_sink(); `partition` names a column by which each batch is dealt to folders. Takes what is there and stops.
+    """
+
+    def write(batch: DataFrame, k: int) -> None:
+        out = batch.write.mode("overwrite")
+        (out.partitionBy(partition) if partition else out).parquet(f"{path}/batch={k}")
+
+    return ingest(rows, write, checkpoint)
+
+
+def read_sink(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of sink_table() with `batch`, the micro-batch they came in."""
+    return spark.read.schema(f"{schema}, batch long").parquet(path)
+
+
 def counters(events: DataFrame, kinds: list[str]) -> DataFrame:
     """Counts of each kind for each job; the same code for a batch or, in update mode, a stream."""
     if events.isStreaming:
