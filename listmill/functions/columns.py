@@ -237,6 +237,33 @@ def quality_score(c: Column, groups: list[tuple[list[str], int]], least_chars: i
     return F.greatest(F.lit(0), F.least(F.lit(100), score - F.when(F.length(c) < least_chars, penalty).otherwise(0)))
 
 
+def _marks(c: Column, config: dict) -> tuple[Column, Column]:
+    low = F.lower(c)
+    hits = {g: contains_any(low, words) for g, words in config["keywords"].items()}
+    weights, penalties = config["weights"], config["penalties"]
+    plus = sum((F.when(hits[g], weights.get(g, 0)).otherwise(0) for g in hits if g != "marketing"), F.lit(0))
+    plus += F.when(F.length(c) >= config["good_length"], weights.get("length_bonus", 0)).otherwise(0) + F.when(hits.get("marketing", F.lit(False)), weights.get("marketing_penalty", 0)).otherwise(0)
+    bad = {
+        "short_description": F.length(c) < config["short_length"], "no_location": ~hits.get("location", F.lit(True)), "no_area": ~hits.get("area", F.lit(True)),
+        "all_caps": c.rlike(r"(?U)\p{Lu}") & ~c.rlike(r"(?U)\p{Ll}"), "contact_info": c.rlike(r"[\w.+-]+@[\w-]+\.\w|\+?\d[\d ]{7,}\d"),
+    }
+    return plus, sum((F.when(bad[k], v).otherwise(0) for k, v in penalties.items()), F.lit(0))
+
+
+def graded_quality(c: Column, config: dict) -> Column:
+    """struct(score, grade) of a description by a configuration row; a null text has neither.
+
+    config: keywords of each group, weights of groups, length_bonus and marketing_penalty, penalties, short_length, good_length,
+    base (points of a text without any) and grades (grade -> least score). The score is kept within 0 and 100.
+    """
+    plus, minus = _marks(c, config)
+    score = F.greatest(F.lit(0), F.least(F.lit(100), F.lit(config["base"]) + plus + minus))
+    grade = F.lit(None).cast("string")
+    for name, least in sorted(config["grades"].items(), key=lambda g: g[1]):
+        grade = F.when(score >= least, name).otherwise(grade)
+    return F.when(c.isNotNull(), F.struct(score.cast("int").alias("score"), grade.alias("grade")))
+
+
 def search_tokens(c: Column, stop_words: list[str]) -> Column:
     words = F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(F.translate(c, *ACCENTS)), "[^a-z0-9]+", " "), " "), lambda w: w != ""))
     return F.array_except(words, F.array(*map(F.lit, stop_words)).cast("array<string>"))

@@ -161,6 +161,24 @@ def apply_site_changes(sites: DataFrame, changes: DataFrame) -> DataFrame:
     return out.select("key", "name", F.when(made, True).when(F.col("result") == "deactivated", False).otherwise(F.col("is_active")).alias("is_active"), "result")
 
 
+def ingest_rows(classified: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(log, urls) of classified(source_url, outcome[, missing, error]): entries for the job's log (level, message, url), and the state of each url.
+
+    Sold listings leave an entry and no state; missing critical fields, a text array, are told of listings that were taken; pages
+    that could not be fetched are warnings, those that failed later (`error` is set) errors.
+    """
+    have = lambda c, kind: F.col(c) if c in classified.columns else F.lit(None).cast(kind)
+    outcome, error, missing = F.col("outcome"), have("error", "string"), have("missing", "array<string>")
+    entry = lambda level, message: F.struct(F.lit(level).alias("level"), message.alias("message"))
+    found = F.array_compact(F.array(
+        F.when((outcome == "errored") & error.isNull(), entry("warning", F.lit("Failed to fetch listing page"))), F.when((outcome == "errored") & error.isNotNull(), entry("error", F.concat(F.lit("Error processing listing: "), error))),
+        F.when(outcome == "sold", entry("info", F.lit("Listing marked as sold/reserved \u2014 skipped"))),
+        F.when(~outcome.isin("errored", "sold") & (F.size(missing) > 0), entry("warning", F.concat(F.lit("Critical parser fields missing: "), F.array_join(missing, ", ")))),
+    ))
+    log = classified.select("source_url", F.explode(found).alias("e")).select("e.level", "e.message", F.col("source_url").alias("url"))
+    return log, classified.where(outcome != "sold").select(F.when(outcome == "errored", "failed").otherwise("scraped").alias("state"), F.col("source_url").alias("url"))
+
+
 def classify(found: DataFrame, current: DataFrame, raw: DataFrame) -> DataFrame:
     """found(source_url) with `outcome`: errored (no raw row), sold, warned (no price), scraped_updated or scraped_new.
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from listmill.functions import columns as C
+from listmill.sources.tables import written
 
 # Codes of the remote system (fixed values).
 BUSINESS = {"sale": "To Buy", "rent": "To Rent"}
@@ -220,6 +221,55 @@ def strip_quotes(c: Column) -> Column:
     return F.when(c.rlike('(?s)^".*"$') & (F.length(c) > 1), c.substr(F.lit(2), F.length(c) - 2)).otherwise(c)
 
 
+def migrate(df: DataFrame, steps: list[tuple]) -> DataFrame:
+    """df after repairs in order: ("rename", old, new), ("unquote", column), ("cut", column, most), ("tail", column, last),
+    ("to_json", column) for nested values to JSON text, ("from_json", column, type) back, ("cast", column, type; null where it fails),
+    ("default", column, value) for nulls, ("drop", column)."""
+    for kind, column, *rest in steps:
+        c = F.col(column)
+        if kind == "rename":
+            df = df.withColumnRenamed(column, rest[0])
+        elif kind == "drop":
+            df = df.drop(column)
+        else:
+            new = {
+                "unquote": lambda: F.expr(f"trim(BOTH '\"' FROM CAST(`{column}` AS STRING))"), "cut": lambda: F.left(c, F.lit(rest[0])), "tail": lambda: F.right(c, F.lit(rest[0])), "to_json": lambda: F.to_json(c),
+                "from_json": lambda: F.from_json(c, rest[0]), "cast": lambda: c.try_cast(rest[0]), "default": lambda: F.coalesce(c, F.lit(rest[0])),
+            }[kind]
+            df = df.withColumn(column, new())
+    return df
+
+
+def bulk_enrich(listings: DataFrame, generate: Callable[[str], str], locales: list[str], prompt: Column, stored: str = "enriched_translations", ids: DataFrame | None = None, most: int | None = None, force: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(listings with new translations, results(id, status, locales, error)).
+
+    Chosen are the rows of ids(id), or those without translations, oldest first, at most `most` (null: all). Of each the locales
+    that are missing (all, with force) are asked for in one call; what comes back is laid over what is stored. Listings of which
+    nothing is missing are skipped, ids that do not exist too; an answer without any of the locales, or an exception, is an error.
+    """
+    none = F.create_map().cast(f"map<string,{OUTPUT}>")
+    if ids is not None:
+        chosen = ids.select("id").distinct()
+    else:
+        todo = listings.where(F.coalesce(F.size(stored), F.lit(0)) <= 0).orderBy("created_at", "id")
+        chosen = (todo.limit(most) if most is not None else todo).select("id")
+    chosen = written(chosen)
+    kept = F.coalesce(F.col(stored), none)
+    wanted = F.filter(F.array(*map(F.lit, locales)), lambda x: F.lit(force) | F.coalesce(F.try_element_at(kept, x)["title"], F.lit("")).eqNullSafe(""))
+    plan = listings.join(chosen, "id").select("id", wanted.alias("wanted"), prompt.alias("prompt"))
+    asked = enrich(plan.where(F.size("wanted") > 0), generate)
+    parsed = F.coalesce(parse_model_output(F.col("answer")), none)
+    new = F.map_filter(parsed, lambda k, v: F.array_contains("wanted", k) & (F.coalesce(v["title"], v["description"], v["meta_description"]).isNotNull()))
+    done = asked.select("id", new.alias("_new"), F.coalesce("error", F.when(F.size(new) == 0, "no translation in the answer")).alias("error"))
+    done = written(done)
+    results = chosen.join(done, "id", "left").join(listings.select("id", F.lit(True).alias("_there")), "id", "left")
+    status = F.when(F.col("_there").isNull() | F.col("_new").isNull(), "skipped").when(F.col("error").isNotNull(), "error").otherwise("enriched")
+    results = results.select("id", status.alias("status"), F.when(status == "enriched", F.array_sort(F.map_keys("_new"))).otherwise(F.array().cast("array<string>")).alias("locales"), F.when(F.col("_there").isNull(), "not found").otherwise(F.col("error")).alias("error"))
+    after = listings.join(done.where("error IS NULL").select("id", "_new"), "id", "left")
+    merged = F.when(F.col("_new").isNotNull(), F.map_zip_with(kept, F.coalesce("_new", none), lambda k, a, b: F.coalesce(b, a))).otherwise(F.col(stored))
+    return after.withColumn(stored, merged).drop("_new"), results
+
+
 def enrich(rows: DataFrame, generate: Callable[[str], str], prompt: str = "prompt") -> DataFrame:
     """rows with `answer` and `error`: the caller's provider on each prompt; its exceptions become the row's error."""
     kept = [c for c in rows.columns if c != prompt]

@@ -129,11 +129,28 @@ def job_counters(events: DataFrame, kinds: list[str]) -> DataFrame:
 
 
 def batch_summary(results: DataFrame) -> DataFrame:
+    """One row of counts; with a column `action` also created and updated. It failed if nothing was done and something failed."""
     ok = F.count_if(F.col("status").isin("published", "updated"))
     bad = F.count_if(F.col("status") == "failed")
-    return results.agg(F.count("*").alias("total"), ok.alias("done"), bad.alias("failed"), F.count_if(F.col("status") == "pending").alias("skipped")).withColumn("status", F.when((F.col("done") == 0) & (F.col("failed") > 0), "failed").otherwise("completed"))
+    acted = [F.count_if(F.col("action") == a).alias(a) for a in ("created", "updated")] if "action" in results.columns else []
+    counts = results.agg(F.count("*").alias("total"), ok.alias("done"), bad.alias("failed"), F.count_if(F.col("status") == "pending").alias("skipped"), *acted)
+    return counts.withColumn("status", F.when((F.col("done") == 0) & (F.col("failed") > 0), "failed").otherwise("completed"))
 
 
-def job_report(jobs: DataFrame) -> DataFrame:
+def duration(begun: Column, ended: Column) -> Column:
+    """Time between as text, `1h 2m 3s` without leading parts that are 0; a dash if either is null."""
+    total = F.floor((F.unix_micros(ended.cast("timestamp")) - F.unix_micros(begun.cast("timestamp"))) / 1_000_000)
+    h, m, s = (F.floor(total / 3600), F.floor(total / 60) % 60, total % 60)
+    part = lambda x, unit: F.concat(x.cast("long").cast("string"), F.lit(unit))
+    text = F.when(h != 0, F.concat_ws(" ", part(h, "h"), part(m, "m"), part(s, "s"))).when(m != 0, F.concat_ws(" ", part(m, "m"), part(s, "s"))).otherwise(part(s, "s"))
+    return F.coalesce(F.when(total.isNotNull(), text), F.lit("\u2014"))
+
+
+def job_report(jobs: DataFrame, now: Column | None = None) -> DataFrame:
+    """jobs with `success` in percent; with started_at and finished_at also `duration`, and with `now` the time `elapsed` of those that still run."""
     share = F.when(F.col("listings_found") > 0, F.floor(F.col("listings_scraped") * 100 / F.col("listings_found")).cast("int")).otherwise(0)
-    return jobs.withColumn("success", share)
+    out = jobs.withColumn("success", share)
+    if "started_at" not in jobs.columns:
+        return out
+    out = out.withColumn("duration", duration(F.col("started_at"), F.col("finished_at")))
+    return out if now is None else out.withColumn("elapsed", F.when(F.col("finished_at").isNull(), duration(F.col("started_at"), now)))

@@ -71,6 +71,13 @@ def a6_mapping_dim(spark, d):
     return tables.mapping_dim(spark.sql(_RULES.replace("{text}", "STRING"), customer=table(spark, d, "customer")), "field", "s")
 
 
+@q("SELECT 'preço' AS key, 'price' AS target_field UNION ALL SELECT 'quartos', 'bedrooms'")
+def a6_default_mapping(spark, d):
+    """No row is of the kind asked for, so that the defaults count."""
+    rows = spark.sql(_RULES.replace("{text}", "STRING"), customer=table(spark, d, "customer"))
+    return tables.mapping_dim(rows, "feature", "s", {"Preço": "price", "quartos": "bedrooms"})
+
+
 @q("SELECT CAST(id AS VARCHAR) AS id, CAST(price_amount AS DOUBLE) AS price_amount, CAST(created_at AS VARCHAR) AS created_at FROM listings_v WHERE county ILIKE '%nation_1%' AND price_amount >= 20000")
 def a12_export_feed(spark, d):
     feed = tables.export_feed(query.apply_filters(view(spark, d, "listings_v"), county="nation_1", price_min=20000), most=(1 << 31) - 2)

@@ -205,10 +205,13 @@ def c40_split_meta(spark, d):
     return out.select("job_id", F.size("s.scores").alias("n"), F.element_at("s.scores", F.lit("found")).alias("found"), "s.meta")
 
 
-@q("SELECT id, title AS name, right(county, 5) AS tail FROM listings_v")
+@q("""SELECT id, title AS name, right(county, 5) AS county, CASE WHEN id % 4 = 0 THEN NULL ELSE CAST(id AS INTEGER) END AS number, left(district, 3) AS district, coalesce(property_type, 'none') AS property_type,
+ CAST(bedrooms AS INTEGER) AS rooms FROM listings_v""")
 def c42_repairs(spark, d):
-    stored = F.expr("CASE WHEN id % 2 = 0 THEN concat('\"', title, '\"') ELSE title END")
-    return view(spark, d, "listings_v").select("id", records.strip_quotes(stored).alias("name"), F.right("county", F.lit(5)).alias("tail"))
+    """Quotes, renames, cuts from either side, casts, defaults, and nested values to text and back."""
+    rows = view(spark, d, "listings_v").select("id", F.expr("CASE WHEN id % 2 = 0 THEN concat('\"', title, '\"') ELSE title END").alias("title"), "county", F.expr("CASE WHEN id % 4 = 0 THEN 'x' ELSE CAST(id AS STRING) END").alias("number"), "district", "property_type", F.struct("bedrooms").alias("nested"), F.lit(1).alias("old"))
+    steps = [("unquote", "title"), ("rename", "title", "name"), ("tail", "county", 5), ("cast", "number", "int"), ("cut", "district", 3), ("default", "property_type", "none"), ("to_json", "nested"), ("from_json", "nested", "struct<bedrooms:int>"), ("drop", "old")]
+    return records.migrate(rows, steps).withColumn("rooms", F.col("nested.bedrooms")).drop("nested")
 
 
 # --- writes -------------------------------------------------------------------------------------------------------
@@ -275,6 +278,21 @@ def w16_classify(spark, d):
     return merge.classify(found.select("source_url"), view(spark, d, "current_v"), raw)
 
 
+_OUTCOME = "CASE WHEN f.n % 5 = 0 THEN 'errored' WHEN f.n % 5 = 1 THEN 'sold' WHEN f.n % 5 = 2 THEN 'warned' WHEN c.source_url IS NOT NULL THEN 'scraped_updated' ELSE 'scraped_new' END"
+
+
+@q(f"""SELECT 'log' AS kind, CASE WHEN n % 10 = 0 THEN 'error' WHEN n % 5 = 1 THEN 'info' ELSE 'warning' END AS state, CASE WHEN n % 10 = 0 THEN 'Error processing listing: e' WHEN n % 5 = 0 THEN 'Failed to fetch listing page' WHEN n % 5 = 1 THEN 'Listing marked as sold/reserved \u2014 skipped' ELSE 'Critical parser fields missing: price, title' END AS message, source_url AS url
+FROM (SELECT source_url, min(ord) AS n FROM incoming_v GROUP BY 1) f WHERE n % 5 < 3
+UNION ALL SELECT 'url', CASE WHEN {_OUTCOME} = 'errored' THEN 'failed' ELSE 'scraped' END, NULL, f.source_url FROM (SELECT source_url, min(ord) AS n FROM incoming_v GROUP BY 1) f LEFT JOIN current_v c ON c.source_url = f.source_url WHERE f.n % 5 <> 1""")
+def w16_ingest_rows(spark, d):
+    """Log entries and url states of a batch; every other failure came after the page was there."""
+    found = view(spark, d, "incoming_v").groupBy("source_url").agg(F.min("ord").alias("n"))
+    raw = found.where("n % 5 > 0").select("source_url", (F.col("n") % 5 == 1).alias("sold"), F.when(F.col("n") % 5 != 2, 1.0).alias("price_amount"))
+    classified = merge.classify(found.select("source_url"), view(spark, d, "current_v"), raw).join(found, "source_url")
+    log, urls = merge.ingest_rows(classified.withColumns({"error": F.when(F.col("n") % 10 == 0, "e"), "missing": F.when(F.col("n") % 5 == 2, F.array(F.lit("price"), F.lit("title")))}))
+    return log.select(F.lit("log").alias("kind"), F.col("level").alias("state"), "message", "url").unionByName(urls.select(F.lit("url").alias("kind"), "state", F.lit(None).cast("string").alias("message"), "url"))
+
+
 @q("SELECT job_id, status FROM jobs_v WHERE status = 'running' OR epoch(CAST(created_at AS TIMESTAMP)) >= epoch(TIMESTAMP '2001-01-01 00:00:00') - 3600")
 def r8_evict(spark, d):
     """Finished jobs older than an hour are evicted; the day of their creation stands for that of their end."""
@@ -295,6 +313,16 @@ def u3_model_provider(spark, d):
     return out.select("doc_id", F.try_element_at(records.parse_model_output(F.col("answer")), F.lit("en"))["title"].alias("title"), "error")
 
 
+@q("""SELECT id, CASE WHEN id % 4 = 0 THEN 'skipped' WHEN length(title) % 7 = 0 THEN 'error' ELSE 'enriched' END AS status, CASE WHEN id % 4 = 0 THEN '' WHEN length(title) % 7 = 0 THEN '' ELSE 'en' END AS locales,
+ CASE WHEN id % 4 = 0 THEN 'stored' WHEN length(title) % 7 <> 0 THEN CAST(length(title) AS VARCHAR) END AS title FROM listings_v""")
+def u6_bulk_driver(spark, d):
+    """All listings, of which every fourth has its translation: plan, generate, parse, apply, and a status for each."""
+    told = F.create_map(F.lit("en"), F.struct(F.lit("stored").alias("title"), F.lit("d").alias("description"), F.lit(None).cast("string").alias("meta_description")))
+    rows = view(spark, d, "listings_v").select("id", "title", "created_at", F.when(F.col("id") % 4 == 0, told).alias("enriched_translations"))
+    after, results = records.bulk_enrich(rows, _fake, ["en"], F.col("title"), ids=rows.select("id"))
+    return after.join(results, "id").select("id", "status", F.array_join("locales", ",").alias("locales"), F.try_element_at("enriched_translations", F.lit("en"))["title"].alias("title"))
+
+
 @q("""SELECT id, CASE WHEN length(title) % 7 = 0 THEN 'failed' ELSE 'enriched' END AS status, CASE WHEN length(title) % 7 <> 0 THEN CAST(length(title) AS VARCHAR) END AS title
 FROM (SELECT * FROM listings_v WHERE NOT is_enriched ORDER BY created_at, id LIMIT 50) x""")
 def u6_bulk_enrich(spark, d):

@@ -113,9 +113,10 @@ def g16_onboarding_gate(spark, d):
 
 
 @q("""SELECT count(*) AS total, count(*) FILTER (status IN ('published', 'updated')) AS done, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'pending') AS skipped,
- CASE WHEN count(*) FILTER (status IN ('published', 'updated')) = 0 AND count(*) FILTER (status = 'failed') > 0 THEN 'failed' ELSE 'completed' END AS status FROM ledger_v""")
+ count(*) FILTER (status = 'published') AS created, count(*) FILTER (status = 'updated') AS updated, CASE WHEN count(*) FILTER (status IN ('published', 'updated')) = 0 AND count(*) FILTER (status = 'failed') > 0 THEN 'failed' ELSE 'completed' END AS status FROM ledger_v""")
 def g11_batch_summary(spark, d):
-    return stats.batch_summary(view(spark, d, "ledger_v"))
+    results = view(spark, d, "ledger_v")
+    return stats.batch_summary(results.withColumn("action", F.when(F.col("status") == "published", "created").when(F.col("status") == "updated", "updated")))
 
 
 @q("SELECT job_id, " + ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in KINDS) + " FROM events_v GROUP BY 1")
@@ -123,9 +124,14 @@ def g13_job_counters(spark, d):
     return stats.job_counters(view(spark, d, "events_v"), KINDS)
 
 
-@q("SELECT *, CASE WHEN listings_found > 0 THEN CAST(floor(listings_scraped * 100 / listings_found) AS INTEGER) ELSE 0 END AS success FROM (SELECT job_id, listings_found, listings_scraped FROM jobs_v) j")
+@q("""SELECT job_id, success, CASE WHEN ended IS NULL THEN '\u2014' ELSE t END AS duration, CASE WHEN ended IS NULL THEN t END AS elapsed FROM (SELECT *, CASE WHEN n >= 3600 THEN concat(n // 3600, 'h ', n // 60 % 60, 'm ', n % 60, 's') WHEN n >= 60 THEN concat(n // 60, 'm ', n % 60, 's') ELSE concat(n, 's') END AS t
+FROM (SELECT job_id, CASE WHEN listings_found > 0 THEN CAST(floor(listings_scraped * 100 / listings_found) AS INTEGER) ELSE 0 END AS success, CASE WHEN status <> 'running' THEN 1 END AS ended, CASE WHEN status = 'running' THEN 90061 ELSE job_id * 7 % 10000 END AS n FROM jobs_v) j) x""")
 def c39_job_report(spark, d):
-    return stats.job_report(view(spark, d, "jobs_v").select("job_id", "listings_found", "listings_scraped"))
+    """Jobs last so many seconds by their id; running ones began a day, an hour, a minute and a second ago."""
+    now = F.lit(NOW).cast("timestamp")
+    began = F.when(F.col("status") == "running", F.expr(f"TIMESTAMP '{NOW}' - INTERVAL 90061 SECOND")).otherwise(F.timestamp_seconds(F.lit(1_000_000_000)))
+    ended = F.when(F.col("status") != "running", F.timestamp_seconds(F.lit(1_000_000_000) + F.col("job_id") * 7 % 10000))
+    return stats.job_report(view(spark, d, "jobs_v").withColumns({"started_at": began, "finished_at": ended}), now).select("job_id", "success", "duration", "elapsed")
 
 
 # --- read path ----------------------------------------------------------------------------------------------------
@@ -264,6 +270,27 @@ def c28_quality_score(spark, d):
     return table(spark, d, "documents").select("doc_id", C.quality_score(F.col("text"), GROUPS).alias("score"))
 
 
+#: A configuration row of descriptions: keywords of each group, weights, penalties, lengths, and the least score of each grade.
+QUALITY = {
+    "keywords": {"location": ["the", "der"], "rooms": ["and", "und"], "condition": ["ation"], "amenity": ["keit", "aux"], "area": ["ing", "ung"], "marketing": ["ment"]}, "weights": {"location": 15, "rooms": 10, "condition": 10, "amenity": 10, "area": 10, "length_bonus": 5, "marketing_penalty": -5},
+    "penalties": {"short_description": -20, "no_location": -15, "no_area": -10, "all_caps": -10, "contact_info": -5}, "short_length": 100, "good_length": 300, "base": 40, "grades": {"A+": 90, "A": 80, "B": 70, "C": 60, "D": 50, "E": 30, "F": 0},
+}
+
+
+def _graded_sql() -> str:
+    hit = lambda g: "(" + " OR ".join(f"contains(lower(text), '{w}')" for w in QUALITY["keywords"][g]) + ")"
+    plus = " + ".join(f"CASE WHEN {hit(g)} THEN {QUALITY['weights'][g]} ELSE 0 END" for g in ("location", "rooms", "condition", "amenity", "area"))
+    bad = {"short_description": "length(text) < 100", "no_location": f"NOT {hit('location')}", "no_area": f"NOT {hit('area')}", "all_caps": "regexp_matches(text, '\\p{Lu}') AND NOT regexp_matches(text, '\\p{Ll}')", "contact_info": "regexp_matches(text, '[\\w.+-]+@[\\w-]+\\.\\w|\\+?\\d[\\d ]{7,}\\d')"}
+    minus = " + ".join(f"CASE WHEN {bad[k]} THEN {v} ELSE 0 END" for k, v in QUALITY["penalties"].items())
+    score = f"CAST(greatest(0, least(100, 40 + {plus} + CASE WHEN length(text) >= 300 THEN 5 ELSE 0 END + CASE WHEN {hit('marketing')} THEN -5 ELSE 0 END + {minus})) AS INTEGER)"
+    return f"SELECT doc_id, score, CASE WHEN score >= 90 THEN 'A+' WHEN score >= 80 THEN 'A' WHEN score >= 70 THEN 'B' WHEN score >= 60 THEN 'C' WHEN score >= 50 THEN 'D' WHEN score >= 30 THEN 'E' ELSE 'F' END AS grade FROM (SELECT doc_id, {score} AS score FROM documents) x"
+
+
+@q(_graded_sql())
+def c28_graded_quality(spark, d):
+    return table(spark, d, "documents").select("doc_id", C.graded_quality(F.col("text"), QUALITY).alias("q")).select("doc_id", "q.*")
+
+
 _FOLD = f"translate(text, '{C.ACCENTS[0]}', '{C.ACCENTS[1]}')"
 
 

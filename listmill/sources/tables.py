@@ -89,13 +89,20 @@ def active_sites(sites: DataFrame, scheduled: bool = False, include_inactive: bo
     return out.where("schedule_enabled") if scheduled else out
 
 
-def mapping_dim(rows: DataFrame, kind: str, site: str | None = None) -> DataFrame:
-    """One target for each lower-cased source name: rows of the site first, then higher priority, then smaller id."""
+def mapping_dim(rows: DataFrame, kind: str, site: str | None = None, defaults: Mapping[str, str] | None = None) -> DataFrame:
+    """One target for each lower-cased source name: rows of the site first, then higher priority, then smaller id.
+
+    If no row of the kind is active for the site, the `defaults` (source name -> target) are the table.
+    """
     own = F.when(F.col("site_key") == F.lit(site), 0).when(F.col("site_key").isNull(), 1)
     rows = rows.where((F.col("mapping_type") == kind) & F.col("is_active")).withColumn("own", own).where("own IS NOT NULL")
     w = Window.partitionBy("key").orderBy("own", F.desc("priority"), "id")
     rows = rows.withColumn("key", F.lower("source_name")).withColumn("n", F.row_number().over(w))
-    return rows.where("n = 1").select("key", "target_field")
+    out = rows.where("n = 1").select("key", "target_field")
+    if not defaults:
+        return out
+    static = rows.sparkSession.createDataFrame([(k.lower(), v) for k, v in defaults.items()], "key string, target_field string")
+    return static if out.isEmpty() else out
 
 
 def export_rows(listings: DataFrame) -> DataFrame:
