@@ -139,21 +139,33 @@ def crm_codes(business: Column, kind: Column, condition: Column) -> Column:
 
 
 def crm_payload(listings: DataFrame, media: DataFrame) -> DataFrame:
-    """(id, payload): JSON for the remote system; null members are left out, at most MAX_IMAGES images by position."""
+    """(id, payload): JSON for the remote system; null and empty members are left out, at most MAX_IMAGES images by position.
+
+    Columns that listings lack count as null. Translations are those stored; without one for en, it is made of the listing's own texts.
+    """
     order = F.array_sort(F.collect_list(F.struct(F.coalesce("position", F.lit(999)).alias("p"), "url")))
     images = media.where("url <> ''").groupBy(F.col("listing_id").alias("id")).agg(F.slice(F.transform(order, lambda m: m["url"]), 1, MAX_IMAGES).alias("images"))
-    codes = crm_codes(F.col("business_type"), F.col("property_type"), F.lit(None).cast("string"))
-    some = lambda c: F.when(F.col(c) != "", F.col(c))
+    have = lambda c, kind="string": F.col(c) if c in listings.columns else F.lit(None).cast(kind)
+    some = lambda c: F.when(have(c) != "", have(c))
+    codes = crm_codes(F.col("business_type"), F.col("property_type"), have("condition"))
     price = F.when(F.col("price_amount").isNotNull(), F.struct(F.col("price_amount").cast("double").alias("price"), F.lit(True).alias("publishPrice")))
+    lat, lng = have("latitude", "double"), have("longitude", "double")
+    place = F.when(lat.isNotNull() & lng.isNotNull(), F.struct(lat.cast("string").alias("lat"), lng.cast("string").alias("lng"), F.lit(True).alias("publish")))
+    held = lambda cells: F.when(F.coalesce(*[c.cast("string") for c, _ in cells]).isNotNull(), F.struct(*[c.alias(n) for c, n in cells]))
+    areas = held([(have(f"area_{k}_m2", "double"), k) for k in ("useful", "gross", "land")])
+    rooms = held([(have(k, "int"), k) for k in ("bedrooms", "bathrooms")])
     entry = lambda title, text, meta: F.struct(title.alias("title"), text.alias("description"), meta.alias("shortDescription"))
-    blank = F.lit(None).cast("string")
     stored = F.transform_values("translations", lambda k, v: entry(*[C.nullif_blank(v[f]) for f in ("title", "description", "meta_description")]))
-    own = F.map_filter(stored, lambda k, v: F.coalesce(v["title"], v["description"], v["shortDescription"]).isNotNull())
-    told = F.when(F.map_contains_key(own, "en"), own).otherwise(F.map_concat(own, F.create_map(F.lit("en"), entry(some("title"), blank, blank))))
+    none = F.create_map().cast("map<string,struct<title:string,description:string,shortDescription:string>>")
+    own = F.coalesce(F.map_filter(stored, lambda k, v: F.coalesce(v["title"], v["description"], v["shortDescription"]).isNotNull()), none)
+    texts = entry(some("title"), some("description"), some("meta_description"))
+    english = F.when(F.coalesce(*[some(c) for c in ("title", "description", "meta_description")]).isNotNull(), F.create_map(F.lit("en"), texts)).otherwise(none)
+    told = F.when(F.map_contains_key(own, "en"), own).otherwise(F.map_concat(own, english))
     body = F.struct(
-        codes["business"].alias("businessType"), F.lit("Available").alias("availability"), F.lit(True).alias("isActive"), some("partner_id").alias("reference"), some("title").alias("title"), codes["kind"].alias("propertyType"),
-        F.struct(F.lit("Portugal").alias("country"), some("district").alias("district"), some("county").alias("county")).alias("location"), price.alias("pricing"),
-        F.when(F.col("area_useful_m2").isNotNull(), F.struct(F.col("area_useful_m2").alias("useful"))).alias("areas"), F.when(F.col("bedrooms").isNotNull(), F.struct("bedrooms")).alias("rooms"), "images", told.alias("translations"),
+        codes["business"].alias("businessType"), F.lit("Available").alias("availability"), F.lit(True).alias("isActive"), some("partner_id").alias("reference"), some("title").alias("title"), some("description").alias("description"),
+        some("meta_description").alias("shortDescription"), codes["kind"].alias("propertyType"), F.struct(F.lit("Portugal").alias("country"), some("district").alias("district"), some("county").alias("county"), some("parish").alias("parish")).alias("location"),
+        price.alias("pricing"), place.alias("coordinates"), codes["state"].alias("state"), areas.alias("areas"), rooms.alias("rooms"), F.when(some("energy_certificate").isNotNull(), F.struct(some("energy_certificate").alias("class"))).alias("energy"),
+        "images", F.when(F.size(told) > 0, told).alias("translations"),
     )
     return listings.join(images, "id", "left").select("id", F.to_json(body).alias("payload"))
 
@@ -289,14 +301,23 @@ def enrich(rows: DataFrame, generate: Callable[[str], str], prompt: str = "promp
     return rows.mapInPandas(run, f"{schema}, answer string, error string")
 
 
-def build_prompt(keywords: Column, garage: Column) -> Column:
-    """Labelled lines of a listing and its keywords; null reads as blank."""
-    of = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    labels = {"Title": "title", "Property type": "property_type", "Typology": "typology", "District": "district", "County": "county"}
-    lines = [F.concat(F.lit(f"{k}: "), of(c)) for k, c in labels.items()]
-    lines.insert(3, F.concat(F.lit("Price: "), of("price_amount"), F.lit(" EUR")))
-    lines.append(F.concat(F.lit("Features: garage="), F.coalesce(garage.cast("string"), F.lit("None"))))
+# Names of languages in a prompt (fixed values).
+LANGUAGES = {"en": "English", "pt": "European Portuguese", "es": "Spanish", "fr": "French", "de": "German"}
+
+
+def build_prompt(columns: list[str], keywords: Column, locales: list[str]) -> Column:
+    """Thirteen labelled lines of a listing, its keywords and the languages asked for; null, missing columns and 0 read as blank."""
+    have = lambda c: F.col(c).cast("string") if c in columns else F.lit(None).cast("string")
+    of = lambda c: F.coalesce(F.when(have(c).try_cast("double").eqNullSafe(0.0), F.lit("")).otherwise(have(c)), F.lit(""))
+    flag = lambda c: F.concat(F.lit(f"{c}="), F.coalesce(F.initcap(have(f"has_{c}")), F.lit("None")))
+    line = lambda label, *parts: F.concat(F.lit(f"{label}: "), *parts)
+    lines = [line(k, of(c)) for k, c in {"Title": "title", "Property type": "property_type", "Typology": "typology", "Bedrooms": "bedrooms", "Bathrooms": "bathrooms"}.items()]
+    lines += [line("Price", of("price_amount"), F.lit(" "), of("price_currency")), line("Area (useful)", of("area_useful_m2"), F.lit(" m²"))]
+    lines += [line(k, of(c)) for k, c in {"District": "district", "County": "county", "Parish": "parish", "Energy certificate": "energy_certificate"}.items()]
+    lines.append(line("Features", F.concat_ws(", ", *[flag(c) for c in ("garage", "pool", "elevator", "balcony")])))
+    lines.append(line("Description", F.coalesce(F.when(have("description") != "", have("description")), of("raw_description"))))
     rest = F.array_join(F.slice(keywords, 2, F.greatest(F.size(keywords), F.lit(1))), ", ")
     none = "None provided"
-    lines += [F.concat(F.lit("Primary keyword: "), F.coalesce(F.get(keywords, F.lit(0)), F.lit(none))), F.concat(F.lit("Secondary keywords: "), F.when(F.size(keywords) > 1, rest).otherwise(none))]
+    lines += [line("Primary keyword", F.coalesce(F.get(keywords, F.lit(0)), F.lit(none))), line("Secondary keywords", F.when(F.size(keywords) > 1, rest).otherwise(none))]
+    lines.append(F.lit("Locales: " + ", ".join(f"{x} ({LANGUAGES.get(x, x)})" for x in locales)))
     return F.concat_ws("\n", *lines)

@@ -160,11 +160,17 @@ def c32_crm_codes(spark, d):
 
 
 @q("""SELECT l.id, CASE l.business_type WHEN 'rent' THEN 'To Rent' ELSE 'To Buy' END AS business, CAST(l.price_amount AS DOUBLE) AS price, l.district, CASE WHEN l.id % 3 = 2 THEN concat('EN ', l.title) WHEN l.id % 3 = 0 THEN l.title END AS en_title,
- CAST(CASE WHEN m.n > 20 THEN 20 ELSE m.n END AS INTEGER) AS n_images, l.partner_id AS reference FROM listings_v l LEFT JOIN (SELECT listing_id, count(*) AS n FROM media_v GROUP BY 1) m ON m.listing_id = l.id""")
+ CAST(CASE WHEN m.n > 20 THEN 20 ELSE m.n END AS INTEGER) AS n_images, l.partner_id AS reference, CASE WHEN l.id % 2 = 0 THEN '{"lat":"38.5","lng":"-9.0","publish":true}' END AS coordinates, CASE WHEN l.id % 4 = 0 THEN '{"class":"B-"}' END AS energy,
+ concat('{"useful":', CAST(area_useful_m2 AS VARCHAR), ',"land":7.5}') AS areas, CASE WHEN l.id % 5 = 0 THEN 'New' END AS state, concat('{"bedrooms":', CAST(bedrooms AS VARCHAR), ',"bathrooms":2}') AS rooms, CASE WHEN l.id % 3 = 0 AND l.id % 2 = 1 THEN 'told' END AS en_description, CASE WHEN l.id % 2 = 1 THEN 'told' END AS description
+FROM listings_v l LEFT JOIN (SELECT listing_id, count(*) AS n FROM media_v GROUP BY 1) m ON m.listing_id = l.id""")
 def c33_crm_payload(spark, d):
-    out = records.crm_payload(_translated(view(spark, d, "listings_v")), view(spark, d, "media_v"))
+    rows = _translated(view(spark, d, "listings_v"))
+    even = F.col("id") % 2 == 0
+    rows = rows.withColumns({"latitude": F.when(even, 38.5), "longitude": F.lit(-9.0), "energy_certificate": F.when(F.col("id") % 4 == 0, "B-").otherwise(""), "area_land_m2": F.lit(7.5), "bathrooms": F.lit(2), "condition": F.when(F.col("id") % 5 == 0, " novo"), "description": F.when(~even, "told")})
+    out = records.crm_payload(rows, view(spark, d, "media_v"))
     at = lambda p: F.get_json_object("payload", f"$.{p}")
-    return out.select("id", at("businessType").alias("business"), at("pricing.price").cast("double").alias("price"), at("location.district").alias("district"), at("translations.en.title").alias("en_title"), F.json_array_length(at("images")).alias("n_images"), at("reference").alias("reference"))
+    return out.select("id", at("businessType").alias("business"), at("pricing.price").cast("double").alias("price"), at("location.district").alias("district"), at("translations.en.title").alias("en_title"), F.json_array_length(at("images")).alias("n_images"), at("reference").alias("reference"),
+                      *[at(c).alias(c) for c in ("coordinates", "energy", "areas", "state", "rooms", "description")], at("translations.en.description").alias("en_description"))
 
 
 @q("SELECT id, concat_ws('|', property_type, typology, district, county) AS keywords FROM listings_v")
@@ -333,11 +339,16 @@ def u6_bulk_enrich(spark, d):
     return out.select("id", F.when(F.col("error").isNotNull(), "failed").otherwise("enriched").alias("status"), title.alias("title"))
 
 
-@q("""SELECT id, md5(concat('Title: ', title, chr(10), 'Property type: ', coalesce(property_type, ''), chr(10), 'Typology: ', typology, chr(10), 'Price: ', coalesce(CAST(price_amount AS VARCHAR), ''), ' EUR', chr(10), 'District: ', district, chr(10), 'County: ', county, chr(10),
- 'Features: garage=None', chr(10), 'Primary keyword: ', typology, chr(10), 'Secondary keywords: ', CASE WHEN id % 2 = 0 THEN district ELSE 'None provided' END)) AS prompt FROM listings_v""")
+@q("""SELECT id, md5(concat('Title: ', title, chr(10), 'Property type: ', coalesce(property_type, ''), chr(10), 'Typology: ', typology, chr(10), 'Bedrooms: ', CASE WHEN bedrooms = 0 THEN '' ELSE CAST(bedrooms AS VARCHAR) END, chr(10), 'Bathrooms: ', chr(10),
+ 'Price: ', coalesce(CAST(price_amount AS VARCHAR), ''), ' EUR', chr(10), 'Area (useful): ', CAST(area_useful_m2 AS VARCHAR), ' m²', chr(10), 'District: ', district, chr(10), 'County: ', county, chr(10), 'Parish: ', chr(10), 'Energy certificate: B', chr(10),
+ 'Features: garage=', CASE WHEN is_enriched THEN 'True' ELSE 'False' END, ', pool=None, elevator=None, balcony=None', chr(10), 'Description: ', CASE WHEN id % 2 = 0 THEN 'raw' ELSE 'own' END, chr(10),
+ 'Primary keyword: ', typology, chr(10), 'Secondary keywords: ', CASE WHEN id % 2 = 0 THEN district ELSE 'None provided' END, chr(10), 'Locales: en (English), xx (xx)')) AS prompt FROM listings_v""")
 def c35_prompt(spark, d):
-    words = records.infer_keywords(F.col("typology"), F.expr("CASE WHEN id % 2 = 0 THEN district END"))
-    return view(spark, d, "listings_v").select("id", F.md5(records.build_prompt(words, F.lit(None).cast("boolean"))).alias("prompt"))
+    """Digests of whole prompts, with columns that are missing, blank and 0."""
+    rows = view(spark, d, "listings_v").withColumns({"price_currency": F.lit("EUR"), "energy_certificate": F.lit("B"), "has_garage": F.col("is_enriched"), "description": F.when(F.col("id") % 2 == 1, "own").otherwise(""), "raw_description": F.lit("raw")})
+    keywords = records.infer_keywords(F.col("typology"), F.when(F.col("id") % 2 == 0, F.col("district")))
+    return rows.select("id", F.md5(records.build_prompt(rows.columns, keywords, ["en", "xx"])).alias("prompt"))
+
 
 
 @q("""SELECT id, CASE id % 6 WHEN 0 THEN 'Moradia' WHEN 1 THEN 'Apartamento' WHEN 2 THEN 'Escritório' WHEN 4 THEN 'Quintinha' END AS kind FROM listings_v""")
