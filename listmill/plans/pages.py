@@ -44,6 +44,12 @@ def b11_characteristics(spark, d):
     return sections.characteristics(_nodes(spark, d), NAV, {"the": "garage", "and": "pool", "le": "lift"})
 
 
+@q("SELECT page_id, tag, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)[ >]', 1)) AS tag FROM pages) x GROUP BY 1, 2")
+def b1_tag_counts(spark, d):
+    """Every element of every page, by its tag."""
+    return _nodes(spark, d).groupBy("page_id", "tag").agg(F.count("*").alias("n"))
+
+
 @q()
 def b7_description(spark, d):
     return sections.first_long(_nodes(spark, d), ["div.ad", "article p", "article"])
