@@ -4,7 +4,8 @@ Merging runs on a doubly linked list of symbols with a priority queue of (merge
 have since been merged are skipped as stale. Decoding concatenates the vocabulary's byte strings.
 
 Results: null text counts as empty (no ids, empty decoded text); special tokens of the vocabulary file that occur in a
-text become their own id, as the file's own library does by default. Repeated rows and extra columns are kept as they are.
+text become their own id, as the file's own library does by default. Repeated rows count each; of further columns only the
+caller's id and text are read. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ WHITE = r"\t-\r \x85\xa0  -     　"
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 #: Beyond single spaces and single line ends, cutting at every space would differ from the pattern.
 ODD_SPACE = re.compile(rf"[{WHITE.replace(' ', '')}](?<!\n)|[ \n][ \n]|\A[ \n]|[ \n]\Z")
-#: Bytes that a cache of words, or of pieces between spaces, may take before it is emptied.
+#: Bytes that a cache of words, or of pieces between spaces, may take.
 CACHE_BYTES = 32 << 20
 
 
@@ -99,19 +100,26 @@ class Vocabulary:
 
 
 class _Cache(dict):
-    """Piece of text -> what `make` gives for it; emptied when keys and values take CACHE_BYTES, about."""
+    """Piece of text -> what `make` gives for it, in two generations of half of `most` bytes, about.
 
-    def __init__(self, make):
+    When the younger one is full it becomes the older one, whose pieces come back to the younger as they are asked for: what is
+    often asked for stays, and pieces that were met once go.
+    """
+
+    def __init__(self, make, most: int = 0):
         super().__init__()
-        self.make, self.held = make, 0
+        self.make, self.held, self.older = make, 0, {}
+        self.most = (most or CACHE_BYTES) // 2
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
         size = len(key) + (len(value) if isinstance(value, bytes) else 32) + 200
-        if self.held + size > CACHE_BYTES:
+        if self.held + size > self.most:
+            self.older, self.held = dict(self), 0
             self.clear()
-            self.held = 0
-        if size < CACHE_BYTES:
+        if size < self.most:
             self[key] = value
             self.held += size
         return value
@@ -120,12 +128,15 @@ class _Cache(dict):
 class Encoder:
     """Text -> ids as little-endian unsigned 32-bit integers, and back."""
 
+    #: Bytes of the cache of pieces between spaces: to merge a word anew costs far more than to look it up.
+    PIECES = 160 << 20
+
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.pattern = regex.compile(WORDS)
         self.words = _Cache(lambda w: vocabulary.merge(w.encode()).tobytes())
         self.first = _Cache(self.by_pattern)
-        self.inner = _Cache(lambda s: self.by_pattern(" " + s))
+        self.inner = _Cache(lambda s: self.by_pattern(" " + s), self.PIECES)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, vocabulary.special)) + ")") if vocabulary.special else None
         self.newline = self.by_pattern("\n")
 
@@ -159,6 +170,8 @@ class LibraryEncoder(Encoder):
     Its ranks are the vocabulary's ids: in such a file ids follow the order of the merges.
     """
 
+    PIECES = CACHE_BYTES
+
     def __init__(self, vocabulary: Vocabulary):
         special = set(vocabulary.special.values())
         ranks = {b: i for i, b in vocabulary.strings.items() if i not in special}
