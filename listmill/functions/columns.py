@@ -142,11 +142,16 @@ def typology_from_title(c: Column) -> Column:
     return nullif_blank(F.upper(F.regexp_extract(c, r"\b([TtVv][0-9]+)\b", 1)))
 
 
-def type_from_list(c: Column, types: list[str]) -> Column:
-    out = F.lit(None).cast("string")
-    for t in reversed(types):
-        out = F.when(F.lower(c).contains(t.lower()), t).otherwise(out)
-    return out
+def type_from_list(c: Column, types: list[str], begins: bool = False) -> Column:
+    """The first of the types that the text holds or, with `begins`, begins with, whatever the case."""
+    low = F.lower(F.trim(c))
+    return F.coalesce(*[F.when(low.startswith(t.lower()) if begins else low.contains(t.lower()), t) for t in types])
+
+
+def title_without(title: Column, place: Column) -> Column:
+    """A title without the place that it names; null if nothing is left."""
+    text = F.trim(F.coalesce(title, F.lit("")))
+    return nullif_blank(F.trim(F.when(F.contains(text, place), F.replace(text, place, F.lit(""))).otherwise(text)))
 
 
 def type_from_code(c: Column) -> Column:

@@ -105,8 +105,7 @@ def _address(family: str) -> Column:
 
 def _type_by_title(family: str) -> Column:
     """Property type that the title tells, for the families that ask it."""
-    low = F.lower(F.trim("title"))
-    told = [F.when(low.contains(t.lower()) if family == "mixed" else low.startswith(t.lower()), t) for t in TYPES[family]]
+    told = [C.type_from_list(F.col("title"), TYPES[family], begins=family != "mixed")]
     if family == "hierarchy":
         told += [F.when(F.col("title").rlike(rf"(?iU)\b{letter}\d+\b"), kind) for letter, kind in (("T", "Apartamento"), ("V", "Moradia"))]
     return F.coalesce(*told)
@@ -114,8 +113,7 @@ def _type_by_title(family: str) -> Column:
 
 def _clean_title() -> Column:
     """Of family url: the title without the location."""
-    title, location = F.trim(F.coalesce("title", F.lit(""))), _collapsed(F.col("location"))
-    return C.nullif_blank(F.trim(F.when(F.contains(title, location), F.replace(title, location, F.lit(""))).otherwise(title)))
+    return C.title_without(F.col("title"), _collapsed(F.col("location")))
 
 
 def _unlabelled(c: str) -> Column:

@@ -37,8 +37,7 @@ def c13_addr_hier(spark, d):
 @q("SELECT id, partner_id AS ref, typology AS label, title AS plain, typology AS short FROM listings_v")
 def c16_prefix_and_title(spark, d):
     rows = view(spark, d, "listings_v")
-    inside = F.concat_ws(" ", "typology", "county")
-    short = F.when(inside.contains(F.col("county")), F.trim(F.replace(inside, F.col("county"), F.lit(""))))
+    short = C.title_without(F.concat_ws(" ", "typology", "county"), F.col("county"))
     return rows.select("id", C.strip_prefix(F.concat(F.lit("Ref. "), "partner_id")).alias("ref"), C.strip_prefix(F.concat(F.lit("Tipo:  "), "typology")).alias("label"), C.strip_prefix(F.col("title")).alias("plain"), short.alias("short"))
 
 

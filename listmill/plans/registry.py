@@ -112,6 +112,13 @@ def g16_onboarding_gate(spark, d):
     return stats.onboarding_gate(_confidence(spark, d), "scrape_job_id", 0.85)
 
 
+@q(f"SELECT scrape_job_id, bool_and(score >= 0.5) AND scrape_job_id NOT IN (SELECT scrape_job_id FROM listings_v WHERE property_type IS NULL AND typology = 'T1') AS stable FROM ({CONFIDENCE_SQL}) c GROUP BY 1")
+def g16_gate_with_warnings(spark, d):
+    """Jobs with a warning of a missing critical field are not stable, whatever their scores."""
+    warned = view(spark, d, "listings_v").where("property_type IS NULL AND typology = 'T1'").select("scrape_job_id")
+    return stats.onboarding_gate(_confidence(spark, d), "scrape_job_id", 0.5, warned)
+
+
 @q("""SELECT count(*) AS total, count(*) FILTER (status IN ('published', 'updated')) AS done, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'pending') AS skipped,
  count(*) FILTER (status = 'published') AS created, count(*) FILTER (status = 'updated') AS updated, CASE WHEN count(*) FILTER (status IN ('published', 'updated')) = 0 AND count(*) FILTER (status = 'failed') > 0 THEN 'failed' ELSE 'completed' END AS status FROM ledger_v""")
 def g11_batch_summary(spark, d):
@@ -148,6 +155,13 @@ def d1_filters(spark, d):
     return _small(query.apply_filters(view(spark, d, "listings_v"), county="nation_1", typology="T3", price_min=20000, price_max=90000, is_enriched=True))
 
 
+@q(f"SELECT {SMALL} FROM listings_v WHERE id % 3 = 1 AND area_useful_m2 BETWEEN 30 AND 90 AND bedrooms BETWEEN 1 AND 4 AND created_at >= DATE '1995-01-01' AND business_type = 'sale'")
+def d2_null_translations(spark, d):
+    """Not enriched are rows whose translations are null; with ranges of area, bedrooms and time."""
+    rows = view(spark, d, "listings_v").withColumn(query.ENRICHED, F.when(F.col("id") % 3 != 1, F.create_map(F.lit("en"), F.lit("x"))))
+    return _small(query.apply_filters(rows, is_enriched=False, area_min=30, area_max=90, bedrooms_min=1, bedrooms_max=4, created_min="1995-01-01", business_type="sale"))
+
+
 @q(f"SELECT {SMALL} FROM listings_v WHERE coalesce(title ILIKE '%urgent%', false) OR coalesce(county ILIKE '%urgent%', false)")
 def d4_ilike_search(spark, d):
     return _small(query.ilike_any(view(spark, d, "listings_v"), " urgent ", ["title", "county"]))
@@ -248,6 +262,11 @@ def c18_title_types(spark, d):
     return view(spark, d, "listings_v").select("id", C.typology_from_title(F.col("title")).alias("typology"), C.type_from_list(F.col("title"), TYPES).alias("kind"))
 
 
+@q("SELECT id, CASE WHEN title ILIKE '1%' THEN '1' WHEN title ILIKE '2-h%' THEN '2-H' WHEN title ILIKE '3%' THEN '3-' END AS kind FROM listings_v")
+def c19_title_begins(spark, d):
+    return view(spark, d, "listings_v").select("id", C.type_from_list(F.concat(F.lit("  "), "title"), ["1", "2-H", "igh", "3-"], begins=True).alias("kind"))
+
+
 _LABELLED = "concat(['Descrição - ', 'DESCRIPTION:', 'description', ''][doc_id % 4 + 1], regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '^', [' ', ''][doc_id % 2 + 1]))"
 
 
@@ -328,6 +347,13 @@ def a7_export_rows(spark, d):
     return out.select(F.col("id").cast("long").alias("id"), "price_amount", "created_at", F.col("id").alias("key"))
 
 
+@q("SELECT key, 'scheduled' AS list FROM sites_v WHERE is_active AND length(key) % 2 = 0 UNION ALL SELECT key, 'all' FROM sites_v")
+def a5_scheduled_sites(spark, d):
+    sites = view(spark, d, "sites_v").withColumn("schedule_enabled", F.length("key") % 2 == 0)
+    lists = {"scheduled": tables.active_sites(sites, scheduled=True), "all": tables.active_sites(sites, include_inactive=True)}
+    return lists["scheduled"].select("key", F.lit("scheduled").alias("list")).unionByName(lists["all"].select("key", F.lit("all").alias("list")))
+
+
 @q("SELECT key, name FROM sites_v WHERE is_active")
 def a5_active_sites(spark, d):
     return tables.active_sites(view(spark, d, "sites_v")).select("key", "name")
@@ -401,6 +427,18 @@ def w9_upsert_ledger(spark, d):
     return merge.upsert_ledger(view(spark, d, "ledger_v"), spark.sql(_RESULTS, orders=table(spark, d, "orders")))
 
 
+@q("""SELECT coalesce(g.listing_id, r.listing_id) AS listing_id, coalesce(r.remote_id, g.remote_id) AS remote_id, coalesce(r.status, g.status) AS status, CASE WHEN r.status = 'failed' THEN r.error END AS last_error,
+ CASE WHEN r.status = 'published' THEN r.at ELSE CASE WHEN g.listing_id IS NOT NULL THEN '1999-01-01' END END AS last_exported_at FROM ledger_v g FULL JOIN (SELECT l_orderkey AS listing_id, arg_max(CASE WHEN l_linenumber % 2 = 0 THEN 'failed' ELSE 'published' END, l_linenumber) AS status,
+ arg_max(CASE WHEN l_linenumber % 2 = 0 THEN -1 ELSE l_orderkey END, l_linenumber) AS x, CASE WHEN max(l_linenumber) % 2 = 1 THEN max(l_orderkey) + max(l_linenumber) END AS remote_id, concat('e', CAST(max(l_linenumber) AS VARCHAR)) AS error, concat('2000-01-0', CAST(max(l_linenumber) AS VARCHAR)) AS at FROM lineitem GROUP BY 1) r ON r.listing_id = g.listing_id""")
+def w9_ledger_times(spark, d):
+    """Several results of a listing, one for each line of an order, of which the last counts; failures keep the time of before."""
+    n = F.col("l_linenumber")
+    results = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("listing_id"), F.when(n % 2 == 0, "failed").otherwise("published").alias("status"), F.when(n % 2 == 1, F.col("l_orderkey") + n).alias("remote_id"),
+                                                 F.concat(F.lit("e"), n.cast("string")).alias("error"), n.alias("seq"), F.concat(F.lit("2000-01-0"), n.cast("string")).alias("at"))
+    ledger = view(spark, d, "ledger_v").withColumn("last_exported_at", F.lit("1999-01-01"))
+    return merge.upsert_ledger(ledger, results).drop("partner_id")
+
+
 @q("SELECT l.id, CASE WHEN g.remote_id IS NULL THEN 'create' ELSE 'update' END AS action FROM listings_v l LEFT JOIN ledger_v g ON g.listing_id = l.id")
 def w11_export_action(spark, d):
     return merge.export_action(view(spark, d, "listings_v").select("id"), view(spark, d, "ledger_v")).select("id", "action")

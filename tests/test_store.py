@@ -25,7 +25,8 @@ def at(day):
     return F.lit(f"2024-01-0{day} 00:00:00").cast("timestamp")
 
 
-def test_small_batch_writes_little(spark, tmp_path):
+def test_small_batch_writes_little(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "PARTS", 4)
     path = str(tmp_path / "s")
     hosts = [f"host{k}" for k in range(100)]
     store.merge_batch(path, rows_of(spark, hosts, list(range(100)), 100, 1), 0, at(1))
