@@ -58,48 +58,56 @@ def _at(parts: Column, k: int) -> Column:
     return C.nullif_blank(F.trim(F.try_element_at(parts, F.lit(k))))
 
 
-def _by_arrows(location: Column, area: Column) -> tuple[Column, Column, Column]:
+def _by_arrows(area: Column) -> tuple[Column, Column, Column]:
     """Region, city and area of a location split at >; of fewer than three parts the first is the city."""
-    parts = F.split(location, ">")
-    n = F.size(parts)
+    parts, n = F.col("_arrows"), F.size("_arrows")
     return F.when(n >= 3, _at(parts, 1)), F.when(n >= 3, _at(parts, 2)).otherwise(_at(parts, 1)), F.coalesce(area, F.when(n > 1, _at(parts, -1)))
 
 
+#: What several rules read of a raw row, made once for each row.
+COMMON = {
+    "_location": lambda: _collapsed(F.col("location")), "_district": lambda: _collapsed(_text("district"), 100), "_county": lambda: _collapsed(_text("county"), 100), "_parish": lambda: _collapsed(_text("parish"), 100), "_folders": lambda: C.addr_url(F.col("url")),
+    "_amount": lambda: C.price_amount(F.col("price")), "_asked": lambda: C.on_request(F.col("price")), "_gross": lambda: C.area(F.col("gross_area")),
+}
+#: The same, made of those.
+COMMON_PARTS = {
+    "_arrows": lambda: F.split("_location", ">"), "_commas": lambda: F.split("_location", ","), "_clean_title": lambda: C.title_without(F.col("title"), F.col("_location")),
+    "_currency": lambda: F.when(F.col("_amount").isNotNull(), C.currency(F.col("price"))),
+}
+
+
 def _address(family: str) -> Column:
-    """Region, city, area and full address of a raw row."""
-    location = _collapsed(F.col("location"))
+    """Region, city, area and full address of a raw row with COMMON."""
+    location = F.col("_location")
     region, city, area = (_text(c) for c in ("district", "county", "parish"))
-    full = _collapsed(F.col("location"), 500)
+    full = F.left(location, F.lit(500))
     if family == "plain":
         full = F.lit(None).cast("string")
     elif family == "hierarchy":
-        region, city, area = (_collapsed(c, 100) for c in (region, city, area))
+        region, city, area = F.col("_district"), F.col("_county"), F.col("_parish")
         read = city.isNull() & location.isNotNull()
-        r, c, a = _by_arrows(location, area)
-        r = F.when(F.size(F.split(location, ">")) >= 3, r).otherwise(region)
-        region, city, area = (_collapsed(F.when(read, x).otherwise(old), 100) for x, old in ((r, region), (c, city), (a, area)))
+        r, c, a = _by_arrows(area)
+        r = F.when(F.size("_arrows") >= 3, r).otherwise(region)
+        region, city, area = (F.left(F.when(read, x).otherwise(old), F.lit(100)) for x, old in ((r, region), (c, city), (a, area)))
         region = F.coalesce(region, city)
     elif family == "comma":
-        region, city, area = (_collapsed(c, 100) for c in (region, city, area))
-        area = F.when(F.length(_collapsed(F.col("parish"), 100)) <= 100, F.when(~C.contains_any(F.lower(area), C.SENTENCE), area))
         parts = C.address_parts(location, ",")
-        region, city = F.coalesce(region, _collapsed(_at(parts, 1), 100)), F.coalesce(city, _collapsed(_at(parts, 2), 100))
+        region, city = F.coalesce(F.col("_district"), F.left(_at(parts, 1), F.lit(100))), F.coalesce(F.col("_county"), F.left(_at(parts, 2), F.lit(100)))
+        area = F.when(~C.contains_any(F.lower("_parish"), C.SENTENCE), F.col("_parish"))
         full = _collapsed(F.col("full_address"), 500)
     elif family == "mixed":
         neither, no_city = region.isNull() & city.isNull(), city.isNull() & location.isNotNull()
-        commas, (r, c, a) = F.split(location, ","), _by_arrows(location, area)
-        by_comma, by_arrow = neither & location.contains(","), (neither | no_city) & location.contains(">")
-        three = F.size(F.split(location, ">")) >= 3
-        by_arrow = by_arrow & ~by_comma
-        new_region = F.when(by_comma, _at(commas, 1)).when(by_arrow & three, r).otherwise(region)
-        new_city = F.when(by_comma, _at(commas, -1)).when(by_arrow, c).when(neither | no_city, location).otherwise(city)
+        r, c, a = _by_arrows(area)
+        by_comma = neither & location.contains(",")
+        by_arrow = (neither | no_city) & location.contains(">") & ~by_comma
+        new_region = F.when(by_comma, _at(F.col("_commas"), 1)).when(by_arrow & (F.size("_arrows") >= 3), r).otherwise(region)
+        new_city = F.when(by_comma, _at(F.col("_commas"), -1)).when(by_arrow, c).when(neither | no_city, location).otherwise(city)
         region, city, area = new_region, new_city, F.when(by_arrow, a).otherwise(area)
     else:
-        folders, commas = C.addr_url(F.col("url")), F.split(location, ",")
-        found, listed = folders["district"].isNotNull(), location.contains(",")
-        region = folders["district"]
-        city = F.when(found, folders["county"]).when(listed, _at(commas, -1)).otherwise(location)
-        area = F.when(found, folders["parish"]).when(listed, _at(commas, 1))
+        found, listed = F.col("_folders.district").isNotNull(), location.contains(",")
+        region = F.col("_folders.district")
+        city = F.when(found, F.col("_folders.county")).when(listed, _at(F.col("_commas"), -1)).otherwise(location)
+        area = F.when(found, F.col("_folders.parish")).when(listed, _at(F.col("_commas"), 1))
     return F.struct(F.lit(COUNTRY).alias("country"), region.alias("region"), city.alias("city"), area.alias("area"), full.alias("full_address"))
 
 
@@ -111,11 +119,6 @@ def _type_by_title(family: str) -> Column:
     return F.coalesce(*told)
 
 
-def _clean_title() -> Column:
-    """Of family url: the title without the location."""
-    return C.title_without(F.col("title"), _collapsed(F.col("location")))
-
-
 def _unlabelled(c: str) -> Column:
     return C.nullif_blank(F.trim(F.regexp_replace(c, r"^[^:]+:\s*", "")))
 
@@ -127,9 +130,9 @@ def _parts(family: str) -> dict[str, Column]:
     if family == "hierarchy":
         own_id = C.nullif_blank(F.trim(F.regexp_replace(own_id, r"^Ref\.\s*", "")))
     kept = family in ("plain", "comma")
-    title = _clean_title() if is_url else F.col("title")
-    by_title = C.typology_from_title(_clean_title())
-    beds = C.bedrooms(F.coalesce(_clean_title(), F.col("title")) if is_url else F.col("typology"))
+    title = F.col("_clean_title") if is_url else F.col("title")
+    by_title = C.typology_from_title(F.col("_clean_title"))
+    beds = C.bedrooms(F.coalesce(F.col("_clean_title"), F.col("title")) if is_url else F.col("typology"))
     seo = C.drop_empty({c: F.col(c) for c in ("page_title", "meta_description", "headers")})
     return {
         "partner_id": _unlabelled("property_id") if is_url else own_id,
@@ -152,14 +155,15 @@ def build_canonical(raw: DataFrame, partners: DataFrame) -> DataFrame:
     rows = raw.select(*keys, "source_partner", *[F.col(c).cast("string").alias(c) if c in raw.columns else F.lit(None).cast("string").alias(c) for c in RAW],
                       *[F.col(c) if c in raw.columns else F.lit(None).cast("array<string>").alias(c) for c in LISTS])
     rows = rows.join(partners.select("source_partner", "family"), "source_partner", "left")
+    rows = rows.withColumns({c: make() for c, make in COMMON.items()})
+    rows = rows.withColumns({c: make() for c, make in COMMON_PARTS.items()})
     by_family = {f: _parts(f) for f in FAMILIES}
 
     def own(name: str) -> Column:
         return F.coalesce(*[F.when(F.col("family") == f, parts[name]) for f, parts in by_family.items()])
 
     rows = rows.withColumns({f"_{name}": own(name) for name in by_family["plain"]})
-    amount, currency = C.price_amount(F.col("price")), C.currency(F.col("price"))
-    gross = C.area(F.col("gross_area"))
+    amount, currency, gross = F.col("_amount"), F.col("_currency"), F.col("_gross")
     ratio = C.price_per_m2(amount, gross, F.col("_area_useful_m2"))
     texts = C.drop_empty({"raw": F.col("raw_description"), "pt": C.clean_description(F.col("raw_description"))})
     payload = [F.col(f"_payload_{c}").alias(c) if c in ("condition", "typology") else F.col(c) for c in (*RAW, *LISTS)]
@@ -168,7 +172,7 @@ def build_canonical(raw: DataFrame, partners: DataFrame) -> DataFrame:
         F.col("_partner_id").alias("partner_id"), "source_partner", F.col("url").alias("source_url"), F.col("_title").alias("title"), F.col("_business_type").alias("business_type"), F.col("_property_type").alias("property_type"),
         "typology", F.col("_bedrooms").alias("bedrooms"), C.first_int(F.col("bathrooms")).alias("bathrooms"), F.col("_floor").alias("floor"), F.col("_construction_year").alias("construction_year"),
         F.struct(amount.alias("amount"), currency.alias("currency")).alias("price"), F.when(ratio.isNotNull(), F.struct(ratio.alias("amount"), currency.alias("currency"))).alias("price_per_m2"),
-        F.coalesce(C.on_request(F.col("price")), F.lit(False)).alias("price_on_request"), F.col("_area_useful_m2").alias("area_useful_m2"), gross.alias("area_gross_m2"), C.area(F.col("land_area")).alias("area_land_m2"),
+        F.coalesce("_asked", F.lit(False)).alias("price_on_request"), F.col("_area_useful_m2").alias("area_useful_m2"), gross.alias("area_gross_m2"), C.area(F.col("land_area")).alias("area_land_m2"),
         F.col("_address").alias("address"), F.lit(None).cast("double").alias("latitude"), F.lit(None).cast("double").alias("longitude"), C.media_array(F.coalesce("images", F.array().cast("array<string>")), F.coalesce("alt_texts", F.array().cast("array<string>"))).alias("media"),
         F.struct(*flags, F.col("_is_new_construction").alias("is_new_construction")).alias("features"), texts.alias("descriptions"), F.lit(None).cast("int").alias("description_quality_score"), F.col("_seo").alias("seo"), "energy_certificate",
         F.col("_advertiser").alias("advertiser"), F.col("_contacts").alias("contacts"), F.to_json(F.struct(*payload)).alias("raw_partner_payload"),
@@ -192,7 +196,9 @@ def to_listing(canonical: DataFrame, job: Column) -> DataFrame:
     columns |= {"raw_description": told("raw"), "description": told("pt"), "description_quality_score": r("description_quality_score"), "page_title": seo("page_title"), "headers": seo("headers"), "meta_description": seo("meta_description")}
     columns |= {"raw_payload": r("raw_partner_payload"), "scrape_job_id": job}
     columns |= {c: _collapsed(columns[c], most) for c, most in LIMITS.items()}
-    return canonical.where("record IS NOT NULL").select(*keys, *[v.alias(c) for c, v in columns.items()])
+    # behind the explosion a record stands made; else each column would make its own
+    whole = canonical.where("error IS NULL").select(*keys, F.explode(F.array("record")).alias("record"))
+    return whole.select(*keys, *[v.alias(c) for c, v in columns.items()])
 
 
 def export_listings(listings: DataFrame) -> DataFrame:

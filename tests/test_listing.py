@@ -201,4 +201,5 @@ def test_query_equals_sql(spark, name):
     order = sorted(names)
     assert sorted(rows.columns) == order
     theirs = sorted(str([dict(zip(names, r, strict=True))[c] for c in order]) for r in cursor.fetchall())
-    assert theirs and sorted(str([r[c] for c in order]) for r in rows.collect()) == theirs
+    assert theirs or name == "g6_duplicates"  # the smallest tables have none
+    assert sorted(str([r[c] for c in order]) for r in rows.collect()) == theirs
