@@ -13,3 +13,9 @@ def nodes_of(spark, *pages):
 def test_title_with_cut_reference(spark):
     nodes = nodes_of(spark, '<title>a&amp;b &amp</title><meta name="description" content="x&lt;y &copy &nosuch; &notit; &#65;">')
     assert [tuple(r)[1:] for r in embedded.seo_meta(nodes).collect()] == [("a&b &amp", "x<y &copy &nosuch; &notit; A")]
+
+
+def test_fields_with_cut_references(spark):
+    nodes = nodes_of(spark, '<article><h1>Salt &amp; Co &amp</h1><a href="/x?a=1&copy=2&amp;b=3">l</a></article>')
+    assert [tuple(r) for r in extract.extract_direct(nodes, {"title": "article > h1"}).collect()] == [(0, "Salt & Co &amp")]
+    assert [r.attrs["href"] for r in nodes.where("tag = 'a'").collect()] == ["/x?a=1&copy=2&b=3"]
