@@ -19,3 +19,8 @@ def test_fields_with_cut_references(spark):
     nodes = nodes_of(spark, '<article><h1>Salt &amp; Co &amp</h1><a href="/x?a=1&copy=2&amp;b=3">l</a></article>')
     assert [tuple(r) for r in extract.extract_direct(nodes, {"title": "article > h1"}).collect()] == [(0, "Salt & Co &amp")]
     assert [r.attrs["href"] for r in nodes.where("tag = 'a'").collect()] == ["/x?a=1&copy=2&b=3"]
+
+
+def test_ingested_title_with_cut_reference(spark):
+    pages = spark.createDataFrame([(1, "https://a.test/1", "<h1>T &amp</h1><b>1 200 €</b>")], "page_id long, url string, html string")
+    assert [(r.title, float(r.price_amount)) for r in jobs.page_listings(pages, {"title": "h1", "price": "b"}).collect()] == [("T &amp", 1200.0)]
