@@ -224,8 +224,9 @@ def g8_field_rules(spark, d):
 @q(f"""SELECT s.key, j.job_id, CAST(j.listings_found AS BIGINT) AS samples, p.score AS price FROM sites_v s LEFT JOIN (SELECT site_key, arg_max(job_id, (created_at, job_id)) AS job_id, arg_max(listings_found, (created_at, job_id)) AS listings_found
  FROM (SELECT site_key, job_id % 40 AS job_id, listings_found, created_at FROM jobs_v) k GROUP BY 1) j ON j.site_key = s.key LEFT JOIN ({_SCORES}) p ON p.job_id = j.job_id AND p.field = 'price'""")
 def g10_site_confidence(spark, d):
-    jobs = view(spark, d, "jobs_v").select("site_key", (F.col("job_id") % 40).alias("job_id"), F.col("listings_found").cast("long").alias("samples"), F.col("created_at").alias("at"))
-    jobs = jobs.groupBy("site_key", "job_id", "at").agg(F.max("samples").alias("samples"))
+    """Of jobs of one number and day the first stands for all, as in the order of the table."""
+    jobs = view(spark, d, "jobs_v").groupBy("site_key", (F.col("job_id") % 40).alias("number"), F.col("created_at").alias("at"))
+    jobs = jobs.agg(F.min_by(F.col("listings_found").cast("long"), "job_id").alias("samples")).withColumnRenamed("number", "job_id")
     out = stats.site_confidence(_scores(spark, d), view(spark, d, "sites_v"), jobs)
     return out.select("key", "meta.job_id", "meta.samples", F.try_element_at("confidence", F.lit("price")).alias("price"))
 
