@@ -43,3 +43,9 @@ def test_latest_jobs_of_one_number_and_day(spark, tmp_path):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet')")
     rows = entry.queries()["g10_site_confidence"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, rows), key=str) == sorted(con.execute(entry.oracle_sql()["g10_site_confidence"]).fetchall(), key=str)
+
+
+def test_labels_are_whole_words(spark):
+    page = "<body><p>Stateain and more</p><p>Zonas rest</p><li>Estado Novo</li><li>EstadoUsado</li><li><i>Concelho</i><i>porto</i></li><p>Quartos: 3</p></body>"
+    found = {(r.field, r.sample) for r in mining.structured_pairs(nodes_of(spark, page)).collect()}
+    assert found == {("condition", "Novo"), ("condition", "Usado"), ("county", "porto"), ("rooms", "3")}
