@@ -29,7 +29,7 @@ def nullif_blank(c: Column) -> Column:
 
 
 def plain_spaces(c: Column) -> Column:
-    return F.regexp_replace(c, " ", " ")
+    return F.replace(c, F.lit(" "), F.lit(" "))
 
 
 def contains_any(c: Column, words: list[str]) -> Column:
@@ -191,10 +191,12 @@ FOLDED = _folded()
 
 def fold_text(c: Column, most: int = 160) -> Column:
     """Lower case, white space collapsed, at most `most` characters, folded to ASCII: what has no ASCII letter in it goes."""
-    text = F.translate(F.lower(F.substring(F.trim(F.regexp_replace(plain_spaces(c), r"\s+", " ")), 1, most)), FOLDED[0], FOLDED[1])
+    low = F.lower(F.substring(F.trim(F.regexp_replace(plain_spaces(c), r"\s+", " ")), 1, most))
+    text = F.translate(low, FOLDED[0], FOLDED[1])
     for letter, plain in FOLDED[2].items():
         text = F.replace(text, F.lit(letter), F.lit(plain))
-    return F.regexp_replace(text, r"[^\x00-\x7F]", "")
+    # a text of as many bytes as characters has nothing to fold
+    return F.when(F.octet_length(low) == F.length(low), low).otherwise(F.regexp_replace(text, r"[^\x00-\x7F]", ""))
 
 
 def url_allowed(c: Column) -> Column:

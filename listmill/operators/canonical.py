@@ -31,6 +31,8 @@ TYPES = {
     "comma": ["Moradia Geminada", "Moradia", "Apartamento", "Loja", "Escritório", "Armazém", "Terreno", "Garagem", "Quintal"],
     "mixed": ["Moradia Geminada", "Moradia", "Apartamento", "Loja", "Escritório", "Armazém", "Terreno", "Garagem"],
 }
+# Most partners that are sent to every task.
+MOST = 100_000
 # Most characters of the listing row's texts (fixed values).
 LIMITS = {
     "partner_id": 255, "source_partner": 50, "source_url": 2048, "title": 500, "business_type": 20, "property_type": 50, "typology": 10, "floor": 20, "price_currency": 3, "district": 100, "county": 100, "parish": 100,
@@ -149,12 +151,21 @@ def _parts(family: str) -> dict[str, Column]:
     }
 
 
-def build_canonical(raw: DataFrame, partners: DataFrame) -> DataFrame:
-    """Raw rows as nested records: (key columns of raw beyond RAW, LISTS and source_partner), source_partner, record, error."""
+def _small(partners: DataFrame) -> DataFrame:
+    """Broadcast if counted as small: a shuffle by partner would leave the rows of one to one task."""
+    return F.broadcast(partners) if partners.limit(MOST + 1).count() <= MOST else partners
+
+
+def _known() -> Column:
+    return F.coalesce(F.col("family").isin(FAMILIES), F.lit(False))
+
+
+def _made(raw: DataFrame, partners: DataFrame) -> tuple[list[str], DataFrame, Column]:
+    """Key columns, raw rows with what the rules of their family make of them, and the record as a column of these."""
     keys = [c for c in raw.columns if c not in (*RAW, *LISTS, "source_partner")]
     rows = raw.select(*keys, "source_partner", *[F.col(c).cast("string").alias(c) if c in raw.columns else F.lit(None).cast("string").alias(c) for c in RAW],
                       *[F.col(c) if c in raw.columns else F.lit(None).cast("array<string>").alias(c) for c in LISTS])
-    rows = rows.join(partners.select("source_partner", "family"), "source_partner", "left")
+    rows = rows.join(_small(partners.select("source_partner", "family")), "source_partner", "left")
     rows = rows.withColumns({c: make() for c, make in COMMON.items()})
     rows = rows.withColumns({c: make() for c, make in COMMON_PARTS.items()})
     by_family = {f: _parts(f) for f in FAMILIES}
@@ -177,14 +188,30 @@ def build_canonical(raw: DataFrame, partners: DataFrame) -> DataFrame:
         F.struct(*flags, F.col("_is_new_construction").alias("is_new_construction")).alias("features"), texts.alias("descriptions"), F.lit(None).cast("int").alias("description_quality_score"), F.col("_seo").alias("seo"), "energy_certificate",
         F.col("_advertiser").alias("advertiser"), F.col("_contacts").alias("contacts"), F.to_json(F.struct(*payload)).alias("raw_partner_payload"),
     )
-    known = F.coalesce(F.col("family").isin(FAMILIES), F.lit(False))
-    error = F.when(~known, F.concat(F.lit("unknown partner: "), F.coalesce("source_partner", F.lit(""))))
-    return rows.select(*keys, "source_partner", F.when(known, record).alias("record"), error.alias("error"))
+    return keys, rows, record
+
+
+def build_canonical(raw: DataFrame, partners: DataFrame) -> DataFrame:
+    """Raw rows as nested records: (key columns of raw beyond RAW, LISTS and source_partner), source_partner, record, error."""
+    keys, rows, record = _made(raw, partners)
+    error = F.when(~_known(), F.concat(F.lit("unknown partner: "), F.coalesce("source_partner", F.lit(""))))
+    return rows.select(*keys, "source_partner", F.when(_known(), record).alias("record"), error.alias("error"))
+
+
+def listing_rows(raw: DataFrame, partners: DataFrame, job: Column) -> DataFrame:
+    """to_listing() of build_canonical(); members of the record that no column reads are not made."""
+    keys, rows, record = _made(raw, partners)
+    return _flat(rows.where(_known()).select(*keys, record.alias("record")), keys, job)
 
 
 def to_listing(canonical: DataFrame, job: Column) -> DataFrame:
     """Records as flat listing rows with all columns of the table; texts of LIMITS collapsed and cut; rows without a record are left out."""
     keys = [c for c in canonical.columns if c not in ("record", "error", "source_partner")]
+    # behind the explosion a record stands made; else each column would make its own
+    return _flat(canonical.where("error IS NULL").select(*keys, F.explode(F.array("record")).alias("record")), keys, job)
+
+
+def _flat(records: DataFrame, keys: list[str], job: Column) -> DataFrame:
     r = lambda path: F.col(f"record.{path}")
     seo = lambda c: F.try_element_at(r("seo"), F.lit(c))
     columns = {c: r(c) for c in ("partner_id", "source_partner", "source_url", "title", "business_type", "property_type", "typology", "bedrooms", "bathrooms", "floor")}
@@ -196,9 +223,7 @@ def to_listing(canonical: DataFrame, job: Column) -> DataFrame:
     columns |= {"raw_description": told("raw"), "description": told("pt"), "description_quality_score": r("description_quality_score"), "page_title": seo("page_title"), "headers": seo("headers"), "meta_description": seo("meta_description")}
     columns |= {"raw_payload": r("raw_partner_payload"), "scrape_job_id": job}
     columns |= {c: _collapsed(columns[c], most) for c, most in LIMITS.items()}
-    # behind the explosion a record stands made; else each column would make its own
-    whole = canonical.where("error IS NULL").select(*keys, F.explode(F.array("record")).alias("record"))
-    return whole.select(*keys, *[v.alias(c) for c, v in columns.items()])
+    return records.select(*keys, *[v.alias(c) for c, v in columns.items()])
 
 
 def export_listings(listings: DataFrame) -> DataFrame:

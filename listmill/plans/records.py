@@ -78,6 +78,14 @@ _RAW_LISTINGS = """SELECT k AS id, concat('p', CAST(k % 6 AS STRING)) AS source_
  CASE (k // 6) % 5 WHEN 0 THEN 'Porto > Gaia > Canidelo' WHEN 1 THEN 'Gaia > Afurada' WHEN 2 THEN 'Bairro, Cidade' WHEN 3 THEN 'Aveiro' END AS location, ' Rua  1 ' AS full_address,
  CASE WHEN k % 2 = 0 THEN concat('Ref. ', CAST(k AS STRING)) ELSE '' END AS property_id, concat('r', CAST(k AS STRING)) AS reference, CASE WHEN k % 2 = 0 THEN 'Estado: Novo' END AS condition, 'B-' AS energy_certificate, 'Sim' AS garage, 'no' AS elevator,
  concat(repeat('x', 600), CAST(k AS STRING)) AS page_title, 'told' AS meta_description, 'Agency' AS advertiser, '+351' AS contacts, concat('Descrição: casa', CAST(k AS STRING), ' ,boa.Sim') AS raw_description FROM (SELECT o_orderkey AS k FROM {orders}) o"""
+
+
+def _raw_listings(spark, d):
+    """The keys alone are dealt to all cores, as the table has fewer row groups than a cluster has cores."""
+    keys = table(spark, d, "orders").select("o_orderkey").repartition(4 * spark.sparkContext.defaultParallelism)
+    return spark.sql(_RAW_LISTINGS.replace("(k // 6) % 5", "k DIV 6 % 5"), orders=keys)
+
+
 _TOLD = "CASE k % 4 WHEN 0 THEN 'Moradia' WHEN 1 THEN {one} WHEN 2 THEN {two} END"
 _AREA = "CASE WHEN f = 1 THEN CAST(CASE WHEN k % 3 = 0 THEN 50 ELSE 20 END + k % 100 AS DOUBLE) ELSE CAST(20 + k % 100 AS DOUBLE) END"
 _GROSS = "CASE WHEN k % 4 = 0 THEN CAST(200 + k % 100 AS DOUBLE) END"
@@ -110,8 +118,7 @@ SELECT k AS id, concat('p', CAST(f AS VARCHAR)) AS source_partner,
 def c30_listing_rows(spark, d):
     """Raw rows of five families, and of a partner of none, through the whole record to the flat row."""
     partners = spark.createDataFrame([(f"p{k}", f) for k, f in enumerate(canonical.FAMILIES)], "source_partner string, family string")
-    raw = spark.sql(_RAW_LISTINGS.replace("(k // 6) % 5", "k DIV 6 % 5"), orders=table(spark, d, "orders"))
-    out = canonical.to_listing(canonical.build_canonical(raw, partners), (F.col("id") % 40).cast("long"))
+    out = canonical.listing_rows(_raw_listings(spark, d), partners, (F.col("id") % 40).cast("long"))
     return out.drop("latitude", "longitude", "description_quality_score", "headers", "raw_payload", "source_url").withColumn("price_amount", F.col("price_amount").cast("double"))
 
 
@@ -121,8 +128,7 @@ def c30_listing_rows(spark, d):
 def c25_canonical(spark, d):
     """Members of the record that the flat row has not."""
     partners = spark.createDataFrame([(f"p{k}", f) for k, f in enumerate(canonical.FAMILIES)], "source_partner string, family string")
-    raw = spark.sql(_RAW_LISTINGS.replace("(k // 6) % 5", "k DIV 6 % 5"), orders=table(spark, d, "orders"))
-    out = canonical.build_canonical(raw, partners)
+    out = canonical.build_canonical(_raw_listings(spark, d), partners)
     return out.select("id", "error", F.col("record.address.country").alias("country"), F.col("record.features.is_new_construction").alias("is_new"), F.get_json_object("record.raw_partner_payload", "$.condition").alias("condition"), F.col("record.descriptions")["pt"].alias("told"))
 
 

@@ -3,8 +3,9 @@
 import os
 
 import duckdb
+from pyspark.sql import functions as F
 
-from listmill.operators import embedded, extract, mining
+from listmill.operators import canonical, embedded, extract, mining
 from listmill.streaming import jobs
 from tests.conftest import DATA
 
@@ -49,3 +50,14 @@ def test_labels_are_whole_words(spark):
     page = "<body><p>Stateain and more</p><p>Zonas rest</p><li>Estado Novo</li><li>EstadoUsado</li><li><i>Concelho</i><i>porto</i></li><p>Quartos: 3</p></body>"
     found = {(r.field, r.sample) for r in mining.structured_pairs(nodes_of(spark, page)).collect()}
     assert found == {("condition", "Novo"), ("condition", "Usado"), ("county", "porto"), ("rooms", "3")}
+
+
+def test_partners_are_not_shuffled(spark):
+    """The rows of one partner are not left to one task, and members that the flat row lacks are not made."""
+    partners = spark.createDataFrame([("p", "plain"), ("c", "comma")], "source_partner string, family string")
+    raw = spark.range(9).select("id", F.element_at(F.array(F.lit("p"), F.lit("c"), F.lit("x")), (F.col("id") % 3 + 1).cast("int")).alias("source_partner"), F.concat(F.lit("T "), "id").alias("title"), F.lit("2 000 €").alias("price"))
+    flat = canonical.listing_rows(raw, partners, F.lit(1))
+    assert sorted(map(str, flat.collect())) == sorted(map(str, canonical.to_listing(canonical.build_canonical(raw, partners), F.lit(1)).collect()))
+    assert flat.count() == 6
+    plan = flat.drop("raw_payload")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "to_json" not in plan
