@@ -61,3 +61,10 @@ def test_partners_are_not_shuffled(spark):
     assert flat.count() == 6
     plan = flat.drop("raw_payload")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan and "to_json" not in plan
+
+
+def test_whole_records_are_not_shuffled_by_partner(spark):
+    partners = spark.createDataFrame([("p", "plain")], "source_partner string, family string")
+    out = canonical.build_canonical(spark.range(4).select("id", F.lit("p").alias("source_partner"), F.lit("t").alias("title")), partners)
+    assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+    assert [r.record.title for r in out.collect()] == ["t"] * 4
