@@ -16,6 +16,8 @@ from listmill.sources.tables import shared_folder, written
 
 #: Buckets of an index, for good, and files that a bucket is dealt to at most.
 BUCKETS, SPREAD = 256, 8
+#: What becomes of a row of the index; 0 stands for nothing.
+ADDED, REMOVED = 1, 2
 SCHEMA = "token string, id long, bucket int"
 
 
@@ -24,13 +26,18 @@ def _bucket(token):
 
 
 def postings(rows: DataFrame) -> DataFrame:
-    """rows(id, tokens array) as (token, id, bucket); null and repeated tokens and null ids are left out."""
+    """rows(id, tokens array) as (token, id, bucket); null and repeated tokens of a row and null ids are left out."""
     each = rows.where("id IS NOT NULL").select(F.explode(F.array_distinct("tokens")).alias("token"), F.col("id").cast("long").alias("id"))
-    return each.where("token IS NOT NULL").distinct().withColumn("bucket", _bucket(F.col("token")))
+    return each.where("token IS NOT NULL").withColumn("bucket", _bucket(F.col("token")))
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """rows(token, id, bucket) as they are written: a shuffle that also brings repeated rows together, so that they need none of their own."""
+    return rows.withColumn("spread", F.pmod(F.xxhash64("id"), F.lit(SPREAD))).repartition("bucket", "spread")
 
 
 def _write(rows: DataFrame, path: str) -> None:
-    dealt = rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(SPREAD))).sortWithinPartitions("bucket", "token", "id")
+    dealt = _dealt(rows).dropDuplicates(["bucket", "spread", "token", "id"]).select("token", "id", "bucket").sortWithinPartitions("bucket", "token", "id")
     dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
@@ -62,15 +69,16 @@ def update_index(path: str, before: DataFrame, after: DataFrame) -> None:
     New rows stand in `after` alone, removed ones in `before` alone.
     """
     spark = before.sparkSession
-    old, new = postings(before).withColumn("was", F.lit(True)), postings(after).withColumn("now", F.lit(True))
-    changed = written(old.join(new, ["token", "id", "bucket"], "full").where("was IS NULL OR now IS NULL"))
+    both = postings(before).withColumn("now", F.lit(0)).unionByName(postings(after).withColumn("now", F.lit(1)))
+    changed = both.groupBy("token", "id", "bucket").agg(F.min("now").alias("was"), F.max("now").alias("now"))
+    changed = written(changed.where("was = now").select("token", "id", "bucket", F.when(F.col("now") == 1, ADDED).otherwise(REMOVED).alias("change")))
     touched = [r["bucket"] for r in changed.select("bucket").distinct().collect()]  # at most BUCKETS
     if not touched:
         return
-    kept = read_index(spark, path, touched).join(changed.where("now IS NULL").select("token", "id"), ["token", "id"], "left_anti")
-    added = changed.where("was IS NULL").select("token", "id", "bucket")
+    every = read_index(spark, path, touched).withColumn("change", F.lit(0)).unionByName(changed)
+    every = _dealt(every).groupBy("bucket", "spread", "token", "id").agg(F.max("change").alias("change")).where(F.col("change") != REMOVED)
     staged = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
-    kept.select("token", "id", "bucket").unionByName(added).distinct().write.parquet(staged)
+    every.select("token", "id", "bucket").write.parquet(staged)
     rows = spark.read.schema(SCHEMA).parquet(staged)
     _write(rows, path)
     left = {r["bucket"] for r in rows.select("bucket").distinct().collect()}  # at most BUCKETS

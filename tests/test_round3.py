@@ -5,7 +5,7 @@ import os
 import duckdb
 from pyspark.sql import functions as F
 
-from listmill.operators import canonical, embedded, extract, mining
+from listmill.operators import canonical, embedded, extract, mining, textindex
 from listmill.streaming import jobs
 from tests.conftest import DATA
 
@@ -68,3 +68,17 @@ def test_whole_records_are_not_shuffled_by_partner(spark):
     out = canonical.build_canonical(spark.range(4).select("id", F.lit("p").alias("source_partner"), F.lit("t").alias("title")), partners)
     assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
     assert [r.record.title for r in out.collect()] == ["t"] * 4
+
+
+def test_index_is_written_in_one_shuffle(spark, tmp_path):
+    """Rows repeated under one id are put together by the shuffle that deals them; an update takes rows away and adds others, also twice."""
+    rows = spark.createDataFrame([(1, ["a", "b"]), (1, ["a"]), (2, ["a", None])], "id long, tokens array<string>")
+    assert textindex.postings(rows)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 0
+    path = str(tmp_path / "index")
+    textindex.build_index(rows, path)
+    found = lambda *tokens: sorted(r.id for r in textindex.search_index(spark, path, list(tokens)).collect())
+    assert found("a") == [1, 2] and found("a", "b") == [1]
+    after = spark.createDataFrame([(1, ["a", "c"]), (3, ["c"])], "id long, tokens array<string>")
+    for _ in range(2):
+        textindex.update_index(path, rows.where("id = 1"), after)
+        assert found("a") == [1, 2] and found("b") == [] and found("c") == [1, 3]
