@@ -259,3 +259,32 @@ def test_kneser_ney_sums_to_one(spark):
 
     for h in ("", "t", "\x02t", "\x02th", "zz"):
         assert abs(sum(p(h, c) for c in letters) + np.exp(logp[""]) * np.exp(sum(scores.bow.get(h[j:], 0.0) for j in range(len(h)))) - 1) < 0.02
+
+
+def test_blocks_of_unlike_lines_need_few_edit_distances(monkeypatch):
+    """Lines of the same few words pass the SimHash, but not the numbers of their letters; links are those of brute force."""
+    rng, decided = np.random.default_rng(4), []
+    words = [edited(rng, "lorem ipsum dolor", 9)[:7].replace(" ", "x") for _ in range(40)]
+    rows = [" ".join(words[k] for k in rng.integers(0, 40, 12)) for _ in range(150)]
+    rows += [edited(rng, x, 3) for x in rows[1:51]]
+    some = [lines.normalise(x.encode()) for x in rows]
+    side = np.where(np.arange(len(some)) % 2, 1, -1)
+    h, whole = lines.simhashes(some), lines.alike_pairs
+    monkeypatch.setattr(lines, "alike_pairs", lambda a, b: (decided.extend(a), whole(a, b))[1])
+    for sides in (side, 0 * side):
+        passed = [(i, j) for i in range(len(some)) for j in range(i) if (h[i] ^ h[j]).bit_count() <= lines.DISTANCE and (not sides[i] or sides[i] != sides[j])]
+        want = {(i, j) for i, j in passed if lines.alike(some[i].decode(), some[j].decode())}
+        decided.clear()
+        links = lines.block_links(some, sides)
+        assert len(decided) < len(passed) / 5
+        roots = [plain_components({i: i for i in range(len(some))}, lambda a, b, found=found: (max(a, b), min(a, b)) in found) for found in ({(max(x), min(x)) for x in links}, want)]
+        assert roots[0] == roots[1] and len(want) > 10
+
+
+def test_passes_have_all_keys_once():
+    rng = np.random.default_rng(5)
+    some = [bytes(rng.integers(97, 123, n).astype(np.uint8)) for n in np.geomspace(lines.SHORTEST, 900, 120).astype(int)]
+    chars = np.array(list(map(len, some)))
+    rows = lambda *classes: list(zip(*(c.tolist() for c in lines.keys(some, chars, *classes)), strict=True))
+    parts = [rows(classes) for classes in lines.PASSES]
+    assert sorted(sum(parts, [])) == sorted(rows()) and max(map(len, parts)) < 0.7 * len(rows())
