@@ -6,6 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from listmill.operators import canonical, embedded, extract, mining, textindex
+from listmill.sources import tables
 from listmill.streaming import jobs
 from tests.conftest import DATA
 
@@ -82,3 +83,14 @@ def test_index_is_written_in_one_shuffle(spark, tmp_path):
     for _ in range(2):
         textindex.update_index(path, rows.where("id = 1"), after)
         assert found("a") == [1, 2] and found("b") == [] and found("c") == [1, 3]
+
+
+def test_selectors_are_made_from_the_nodes_concerned(spark):
+    """The steps after the first read no whole nodes; ways by classes, by an ancestor and by position come out as they should."""
+    page = "<main><section id='s'><p class='x y'>a</p><p>b</p></section><ul class='l'><li>c</li><li class='k'>d</li></ul><footer><p>e</p></footer></main>"
+    nodes = tables.written(nodes_of(spark, page, page.replace("id='s'", "")))
+    out = mining.unique_selectors(nodes, nodes.where("tag in ('p', 'li')").select("page_id", "node_id"))
+    assert not set(nodes.inputFiles()) & set(out.inputFiles())
+    got = {(r.page_id, r.node_id): r.selector for r in out.collect()}
+    assert [got[0, k] for k in (2, 3, 5, 6, 8)] == ["p.x.y", "#s p:nth-of-type(2)", "ul.l li:nth-of-type(1)", "li.k", "footer p"]
+    assert [got[1, k] for k in (2, 3, 5, 6, 8)] == ["p.x.y", "section p:nth-of-type(2)", "ul.l li:nth-of-type(1)", "li.k", "footer p"]
