@@ -288,3 +288,12 @@ def test_passes_have_all_keys_once():
     rows = lambda *classes: list(zip(*(c.tolist() for c in lines.keys(some, chars, *classes)), strict=True))
     parts = [rows(classes) for classes in lines.PASSES]
     assert sorted(sum(parts, [])) == sorted(rows()) and max(map(len, parts)) < 0.7 * len(rows())
+
+
+def test_letters_are_fetched_only_for_lines_not_yet_connected(spark, monkeypatch):
+    rng, asked, whole = np.random.default_rng(6), [], lines._passing
+    row = "".join(map(chr, rng.integers(97, 123, 200)))
+    docs = spark.createDataFrame([(i, row[: 8 * i] + "#" + row[8 * i + 1 :].replace("#", "x") + "ab"[i % 2]) for i in range(12)], "doc_id long, text string")
+    monkeypatch.setattr(lines, "_passing", lambda some, pairs: (asked.append(pairs.count()), whole(some, pairs))[1])
+    assert sum(r["n_dropped"] for r in lines.deduplicate_lines(docs).collect()) == 11
+    assert asked[0] > 0 and asked[1] == 0
