@@ -297,3 +297,37 @@ def test_letters_are_fetched_only_for_lines_not_yet_connected(spark, monkeypatch
     monkeypatch.setattr(lines, "_passing", lambda some, pairs: (asked.append(pairs.count()), whole(some, pairs))[1])
     assert sum(r["n_dropped"] for r in lines.deduplicate_lines(docs).collect()) == 11
     assert asked[0] > 0 and asked[1] == 0
+
+
+def test_lines_of_several_crowded_nodes_are_compared_in_the_least_alone(spark):
+    rng = np.random.default_rng(7)
+    rows = ["".join(map(chr, rng.integers(97, 123, 90))) for _ in range(30)]
+    rows += [edited(rng, x, 3) for x in rows[:20]]
+    clean = [lines.normalise(x.encode()) for x in rows]
+    assert lines.block_links(clean, np.zeros(len(clean), int))
+    held = [np.array([5] if i % 2 else [5, 6]) for i in range(len(clean))]
+    assert lines.links_of_blocks([(clean, np.zeros(len(clean), int), held)]) == [[]]  # all share node 5
+    some = spark.createDataFrame([(i, len(x), bytearray(x)) for i, x in enumerate(clean)], "line long, bytes int, clean binary")
+    nodes = spark.createDataFrame([(i, n) for i in range(len(clean)) for n in ((1, 2) if i < 25 else (2, 3) if i < 40 else (1, 3))], "line long, node long")
+    got = {(min(x), max(x)) for x in lines._decided(some.select("line", "clean"), some, spark.createDataFrame([], "a long, b long"), nodes).collect()}
+    want = {(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if lines.alike(clean[i].decode(), clean[j].decode())}
+    assert got == want and len(want) >= 15
+
+
+def test_lines_of_other_n_grams_need_no_edit_distance(monkeypatch):
+    rng, decided, whole = np.random.default_rng(8), [], lines.distances
+    words = ["".join("abcdefghij éçã"[c] for c in rng.integers(0, 10, 7)) + "é" for _ in range(60)]
+    a = [" ".join(words[k] for k in rng.permutation(60)[:40]) for _ in range(150)]
+    b = [x[::-1] if i % 2 else edited(rng, x, 9) for i, x in enumerate(a)]
+    monkeypatch.setattr(lines, "distances", lambda a, b, most: (decided.extend(a), whole(a, b, most))[1])
+    assert lines.alike_pairs(a, b).tolist() == [lines.alike(x, y) for x, y in zip(a, b, strict=True)]
+    assert 60 <= len(decided) <= 80
+
+
+def test_only_lines_with_candidates_are_joined(spark, monkeypatch):
+    rng, joined, whole = np.random.default_rng(9), [], lines._passing
+    rows = ["".join(map(chr, rng.integers(97, 123, 120))) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate([*rows, rows[0][:60] + "#x" + rows[0][61:]])), "doc_id long, text string")
+    monkeypatch.setattr(lines, "_passing", lambda some, pairs: (joined.append(some.count()), whole(some, pairs))[1])
+    assert sum(r["n_dropped"] for r in lines.deduplicate_lines(docs).collect()) == 1
+    assert joined[0] == 2
